@@ -24,7 +24,7 @@ from lotwise.llm.common import map_arrow, table
 
 NONE = np.int64(1) << 50
 #: entries of a worker's piece cache; it starts anew when full
-CACHE = 600_000
+CACHE = 400_000
 
 
 class BytePairEncoder:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from lotwise.llm import bpe, records
+from lotwise.llm import bpe, decontaminate, pii, records
 
 QUERIES = {
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_pii": pii.op6_pii,
     "op10_token_records": records.op10_token_records,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": decontaminate.oracle(),
+    "op6_pii": pii.oracle(),
+}
