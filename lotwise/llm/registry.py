@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lotwise.llm import bpe, decontaminate, pii, records
+from lotwise.llm import bpe, decontaminate, language, pii, records
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_pii": pii.op6_pii,
+    "op7_language_id": language.op7_language_id,
     "op10_token_records": records.op10_token_records,
 }
 
