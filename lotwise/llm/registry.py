@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lotwise.llm import bpe, decontaminate, language, pii, records
+from lotwise.llm import bpe, decontaminate, language, pii, records, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_pii": pii.op6_pii,
