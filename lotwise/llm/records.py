@@ -161,7 +161,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, ids): start counts the ids of all documents before; ids as little-endian u32. Checks every checksum."""
     # a row per file, so this window is small
     at = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.withColumn("base", at).repartition("path").select("path", "base", "width")
+    files = manifest.withColumn("base", at).select("path", "base", "width").repartition(max(1, manifest.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base_dir = open_fs(folder)

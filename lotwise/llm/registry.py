@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lotwise.llm import bpe, decontaminate, jaccard, language, pii, records, toxicity
+from lotwise.llm import bpe, decontaminate, embeddings, jaccard, language, pii, records, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_embedding_dedup": embeddings.op4_embedding_dedup,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_pii": pii.op6_pii,
     "op7_language_id": language.op7_language_id,
