@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lotwise.llm import bpe, decontaminate, embeddings, jaccard, language, pii, records, toxicity
+from lotwise.llm import bpe, decontaminate, embeddings, jaccard, language, pii, records, toxicity, wrappers
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_html_extraction": wrappers.op2_html_extraction,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_embedding_dedup": embeddings.op4_embedding_dedup,
     "op5_byte_bpe": bpe.op5_byte_bpe,
