@@ -43,6 +43,10 @@ FIRST = 3
 SALTS = 32
 P = np.uint64(0x9E3779B97F4A7C15)
 
+BYTES = np.arange(256)
+SPACE = (BYTES == 32) | ((BYTES >= 9) & (BYTES <= 13))
+LOWER = (np.where((BYTES >= 65) & (BYTES <= 90), BYTES + 32, BYTES) + 1).astype(np.uint64)
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -63,12 +67,12 @@ def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words between the bytes 9 to 13 and 32, A-Z lower-cased."""
     b = np.frombuffer(text.encode(), np.uint8)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
+    space = SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64)
-    low = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint64) + np.uint64(1)
+    low = LOWER[b]
     up, down = powers(max(16, int(len(b)).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low * up[: len(b)])])
     return mix(mix((total[end] - total[start]) * down[start]) + (end - start).astype(np.uint64))
@@ -243,6 +247,10 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return saved(left.join(right, ["b", "salt"]).select("a", "b", "g", "sa", "sb").mapInArrow(run, "a long, b long, g long"), "links")
 
 
+def both_sides(pairs: DataFrame) -> DataFrame:
+    return saved(pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct(), "sides")
+
+
 def near_sizes(a: str, b: str):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
@@ -295,13 +303,14 @@ def similar(docs: DataFrame) -> DataFrame:
     classes = saved(
         rows.filter("class_id is not null").groupBy("class_id").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.first("mins").alias("mins"))
         .join(active, "class_id", "left_semi"), "classes")
-    sets = class_sets(docs, classes.select("class_id"))
-    near = compare(leader_pairs(classes).withColumn("g", F.lit(0).cast("long")), sets).select("a", "b")
+    tried = saved(leader_pairs(classes).withColumn("g", F.lit(0).cast("long")), "tried")
+    near = compare(tried, class_sets(docs, both_sides(tried))).select("a", "b")
     groups = components(near)
     grouped = probes.join(groups.select(F.col("node").alias("c"), "root"), "c", "left").select("token", "c", "pos", "n", F.coalesce("root", "c").alias("g"))
     pairs = cross_pairs(saved(grouped, "grouped"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a", "g").orderBy(F.desc("k"), "b")))
     ranked = saved(ranked, "ranked")
+    sets = class_sets(docs, both_sides(ranked))
     found = compare(ranked.filter(F.col("rank") <= FIRST), sets)
     rest = compare(ranked.filter(F.col("rank") > FIRST).join(found.select("a", "g").distinct(), ["a", "g"], "left_anti"), sets)
     links = near.union(found.select("a", "b")).union(rest.select("a", "b"))

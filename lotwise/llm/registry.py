@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.llm import bpe, decontaminate, embeddings, jaccard, language, pii, records, toxicity, wrappers
+from lotwise.llm import bpe, decontaminate, embeddings, jaccard, language, pii, quality, records, toxicity, wrappers
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_pii": pii.op6_pii,
     "op7_language_id": language.op7_language_id,
+    "op8_quality": quality.op8_quality,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_token_records": records.op10_token_records,
 }
