@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import table
+from lotwise.llm.common import saved, table
 
 WIDTH, RUN, MAX_SLOTS = 8, 6, 3
 #: the benchmark's windows are broadcast up to so many rows (16 bytes and the slots each), else both sides shuffle
@@ -107,7 +107,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, doc_text: str = "text", bench_
 
 def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """docs without those that hold a passage of the benchmark."""
-    bad = find_leaks(docs, bench).select(F.col("doc_id").alias("bad_id")).distinct()
+    # as a table: whether the ids are small enough to broadcast is then known before the documents are dealt out
+    bad = saved(find_leaks(docs, bench).select(F.col("doc_id").alias("bad_id")).distinct(), "leaks")
     return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id), "left_anti")
 
 

@@ -323,10 +323,11 @@ def similar(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id, and of its repeated rows the first by
-    text; rows without an id stay."""
+    """docs with one document of each component, the one with the smallest doc_id. Rows that share a doc_id are one
+    document and stay or go together; rows without an id stay."""
     found = similar(docs)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    # as a table: whether the ids are small enough to broadcast is then known before the documents are dealt out
+    gone = saved(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
 
 

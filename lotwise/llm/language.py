@@ -137,13 +137,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without texts that have no language ("und")."""
+    """docs without texts that are rejected: "und", those that no codeword can be told for. A model that was fitted on no
+    row knows no language and rejects only texts without a letter."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            keep = [sent.value.predict(t)[0] != "und" for t in batch.column(names.index("text")).to_pylist()]
+            model = sent.value
+            keep = [model.predict(t)[0] != "und" if model.langs else bool(t) and len(grams(t)) > 0 for t in batch.column(names.index("text")).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
