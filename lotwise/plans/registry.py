@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lotwise.plans import market
+
+QUERIES: dict = {**market.QUERIES}
+ORACLES: dict[str, str] = {**market.ORACLES}
