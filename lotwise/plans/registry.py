@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from lotwise.plans import market
+from lotwise.plans import texts as _texts  # registers its queries too
 
-QUERIES: dict = {**market.QUERIES}
-ORACLES: dict[str, str] = {**market.ORACLES}
+QUERIES: dict = market.QUERIES
+ORACLES: dict[str, str] = market.ORACLES
+__all__ = ["ORACLES", "QUERIES", "_texts"]
