@@ -22,20 +22,19 @@ without an id link as others do, a component's id is its smallest id that is not
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotwise.llm.common import components, map_arrow, saved, table
+from lotwise.llm.common import components, saved, table
+from lotwise.llm.counting import table_parts
 
 N, PERCENT = 5, 75
-COUNTERS = 1 << 20
+COUNTERS = 1 << 23
 #: min-hash values of a class that look for leaders
 SEEDS = 6
 #: members of an opened group that are compared first
@@ -111,27 +110,6 @@ def slot(h: np.ndarray, size: int) -> np.ndarray:
     return (h >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def table_parts(total: np.ndarray) -> list[tuple[int, bytes]]:
-    """A counting table cut into parts, empty ones left out."""
-    each = 1 << 14
-    return [(k, c.tobytes()) for k in range(len(total) // each) if (c := np.minimum(total[k * each : (k + 1) * each], 2**31 - 1).astype("<i4")).any()]
-
-
-def table_sum(parts: DataFrame, size: int) -> np.ndarray:
-    """The sum of partial tables (part, counts): Spark adds them up part by part; the result has a fixed size."""
-    def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << 14, np.int64)
-        for f in frames:
-            for raw in f["counts"]:
-                total += np.frombuffer(raw, "<i4")
-        yield pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
-
-    out = np.zeros(size, np.int32)
-    for r in parts.groupBy("part").applyInPandas(add, "part int, counts binary").collect():
-        out[r.part << 14 : (r.part + 1) << 14] = np.frombuffer(r.counts, "<i4")
-    return out
-
-
 def summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """Rows (doc_id, n, class_id, mins), mins the min-hash values, and the counting table of all shingles."""
     kind = docs.schema["doc_id"].dataType
@@ -153,17 +131,19 @@ def summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         ], names=["doc_id", "n", "class_id", "mins", "part", "counts"])
 
     def run(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
-                total += np.bincount(slot(np.concatenate([np.empty(0, np.uint64), *sets]), COUNTERS), minlength=COUNTERS)
+                np.add.at(total, slot(np.concatenate([np.empty(0, np.uint64), *sets]), COUNTERS), 1)
                 yield rows(part.column(0), sets, [])
         if total.any():
             yield rows(pa.nulls(0, arrow_id), [], table_parts(total))
 
     got = saved(docs.mapInArrow(run, schema), "summaries")
+    from lotwise.llm.counting_sum import table_sum  # with pandas, which most workers do without
+
     mine = got.filter("part is null").select("doc_id", "n", "class_id", "mins")
     return mine, table_sum(got.filter("part is not null").select("part", "counts"), COUNTERS)
 
@@ -197,16 +177,18 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class_id, s): the sorted shingles of the wanted (class_id) classes. A table of fixed size holds most others
     back before the join, so that their sets are not shuffled."""
-    size = 1 << 23
+    size = 1 << 22
 
     def marks(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, np.int32)
         for batch in batches:
             np.add.at(total, slot(mix(np.asarray(batch.column(0)).astype(np.uint64)), size), 1)
         if total.any():
             parts = table_parts(total)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["part", "counts"])
 
+    from lotwise.llm.counting_sum import table_sum
+
     member = table_sum(wanted.select("class_id").coalesce(8).mapInArrow(marks, "part int, counts binary"), size) > 0
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(member))
 
@@ -264,7 +246,9 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
     keys = saved(keys.join(fame, "class_id"), "keys")
     lead = keys.groupBy("seed", "key").agg(F.max(F.struct("fame", "copies", "class_id", "n")).alias("top")).select("seed", "key", F.col("top.class_id").alias("b"), F.col("top.n").alias("nb"))
     tried = keys.join(lead, ["seed", "key"]).filter((F.col("class_id") != F.col("b")) & near_sizes("n", "nb"))
-    return tried.select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
+    # half of the values in common: a pair that is left out here is still found below
+    often = tried.groupBy("class_id", "b").agg(F.count("*").alias("same")).filter(F.col("same") * 2 >= SEEDS)
+    return often.select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
 
 
 def cross_pairs(probes: DataFrame) -> DataFrame:
