@@ -30,7 +30,7 @@ SAMPLE = 20_000
 PER_LIST, MAX_LISTS = 2000, 1024
 SUBSPACES, CODEWORDS = 8, 32
 #: how much farther than the nearest centroid a probed one may be
-MARGIN = 0.25
+MARGIN = 0.12
 BLOCK = 2048
 
 
@@ -72,10 +72,10 @@ class Quantizer:
         return home, code, np.sqrt((res * res).sum(1)), d <= d.min(1)[:, None] + MARGIN
 
     def approximate(self, q: np.ndarray, home: int, code: np.ndarray) -> np.ndarray:
-        """Queries times codes: sums of looked-up partial products."""
-        out = np.repeat((q @ self.centroids[home])[:, None], len(code), 1)
+        """Codes times queries: sums of looked-up partial products, in single precision."""
+        out = np.repeat((q @ self.centroids[home]).astype(np.float32)[None, :], len(code), 0)
         for m, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            out += (q[:, a:b] @ book.T)[:, code[:, m]]
+            out += (book @ q[:, a:b].T).astype(np.float32)[code[:, m]]
         return out
 
 
@@ -88,15 +88,16 @@ def unit(batch: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of the rows and columns of a bipartite link matrix: the first row of their component, -1 without links."""
-    far = len(link)
-    row = np.where(link.any(1), np.arange(far), far)
+def forest(r: np.ndarray, c: np.ndarray, rows: int, cols: int) -> tuple[np.ndarray, np.ndarray]:
+    """For links (row r, column c): each row's and column's first row of its component, ``rows`` without links."""
+    row, col = np.full(rows, rows), np.full(cols, rows)
+    row[r] = r
     while True:
-        col = np.where(link, row[:, None], far).min(0)
-        new = np.minimum(row, np.where(link, col[None, :], far).min(1))
+        np.minimum.at(col, c, row[r])
+        new = row.copy()
+        np.minimum.at(new, r, col[c])
         if (new == row).all():
-            return np.where(row < far, row, -1), np.where(col < far, col, -1)
+            return row, col
         row = new
 
 
@@ -161,22 +162,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         ids = i["cid"].to_numpy()
         x = np.frombuffer(b"".join(i["x"]), np.float64).reshape(len(i), dim)
         code = np.frombuffer(b"".join(i["code"]), np.uint8).reshape(len(i), -1)
-        low, copies, frames = cosine - i["err"].to_numpy() - 1e-9, i["copies"].to_numpy(), [none]
+        low, copies, frames = (cosine - i["err"].to_numpy() - 1e-4).astype(np.float32), i["copies"].to_numpy(), [none]
         for at in range(0, len(q), BLOCK):
             mine = q.iloc[at : at + BLOCK]
             me = mine["cid"].to_numpy()
             y = np.frombuffer(b"".join(mine["x"]), np.float64).reshape(len(mine), dim)
-            maybe = model.approximate(y, home, code) >= low[None, :]
-            maybe &= me[:, None] != ids[None, :]
-            r, c = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
+            c, r = np.nonzero(model.approximate(y, home, code) >= low[:, None])
+            other = me[r] != ids[c]
+            r, c = r[other], c[other]
+            near = np.concatenate([np.einsum("ij,ij->i", y[r[k : k + 50_000]], x[c[k : k + 50_000]]) >= cosine for k in range(0, max(len(r), 1), 50_000)])
+            r, c = r[near], c[near]
             if not len(r):
                 continue
-            link = maybe[np.ix_(r, c)] & (y[r] @ x[c].T >= cosine)
-            n = link @ copies[c]
-            row, col = forest(link)
-            nodes, roots = np.concatenate([me[r], ids[c]]), np.concatenate([row, col])
-            has = roots >= 0
-            frames.append(pd.DataFrame({"a": np.concatenate([me[r][n > 0], nodes[has]]), "b": np.concatenate([me[r][n > 0], me[r][roots[has]]]), "n": np.concatenate([n[n > 0], np.zeros(has.sum(), np.int64)])}))
+            n = np.bincount(r, weights=copies[c], minlength=len(me)).astype(np.int64)
+            row, col = forest(r, c, len(me), len(ids))
+            nodes, roots = np.concatenate([me, ids]), np.concatenate([row, col])
+            has = roots < len(me)
+            frames.append(pd.DataFrame({"a": np.concatenate([me[n > 0], nodes[has]]), "b": np.concatenate([me[n > 0], me[roots[has]]]), "n": np.concatenate([n[n > 0], np.zeros(has.sum(), np.int64)])}))
         return pd.concat(frames, ignore_index=True)
 
     got = saved(dealt.groupBy("dim", "list", "bi", "bq").applyInPandas(block, "a long, b long, n long"), "blocks")
