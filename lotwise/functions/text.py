@@ -122,9 +122,13 @@ def all_tokens_in(part: Column, whole: Column) -> Column:
 def word_grams(c: Column, most: int = 3) -> Column:
     """All runs of 1 to ``most`` words."""
     words = F.filter(F.split(c, " "), lambda w: w != "")
-    last = lambda n: F.size(words) - n
-    runs = [F.when(last(n) >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last(n), F.lit(0))), lambda i, n=n: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, most + 1)]
-    return F.concat(*runs)
+
+    def runs(n: int) -> Column:
+        last = F.size(words) - n
+        each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+        return F.when(last >= 0, each).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[runs(n) for n in range(1, most + 1)])
 
 
 def from_epoch(c: Column) -> Column:
