@@ -40,21 +40,18 @@ def raw_tokens(text: Column) -> Column:
 
 
 def canonical(t: Column) -> Column:
+    """A raw token's canonical form. The marks sort before digits and digits before letters, so most words cost two
+    comparisons and one lower-casing."""
     low = F.lower(t)
-    return (
-        F.when((t >= "0") & (t < ":"), "#")
-        .when(t.startswith(MARK_UNIT), "%")
-        .when(t.startswith(MARK_START), F.substring(low, 2, 1 << 30))
-        .when(low == t, t)
-        .when((F.length(t) > 1) & (F.substring(low, 2, 1 << 30) == F.substring(t, 2, 1 << 30)), "@")
-        .otherwise(low)
-    )
+    title = (F.length(t) > 1) & (F.substring(low, 2, 1 << 30) == F.substring(t, 2, 1 << 30))
+    marked = F.when(t.startswith(MARK_UNIT), "%").otherwise(F.substring(low, 2, 1 << 30))
+    return F.when(t < "0", marked).when(t < ":", "#").when(low == t, t).when(title, "@").otherwise(low)
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, pos, h, slots): slots is the raw values of a window's placeholders joined by \\x01, '' if it has none."""
     c = docs.select(id_col, raw_tokens(F.col(text_col)).alias("raw")).withColumn("can", F.transform("raw", canonical))
-    is_slot = lambda x: x.isin("#", "@", "%")
+    is_slot = lambda x: x < "A"  # noqa: E731  placeholders, as words are in lower case
     c = c.filter(F.size("can") > 0).select(
         id_col,
         F.transform("can", lambda x: F.xxhash64(x)).alias("hs"),
