@@ -92,6 +92,27 @@ def j4_bracket_volumes(s, d):
     return v.read(s, d, "part").select("p_partkey", parse.total_volume(parse.bracket_volumes(t)).alias("ml"))
 
 
+@query("SELECT p_partkey, CAST(CASE p_partkey % 3 WHEN 0 THEN p_size * 750 WHEN 1 THEN p_size * 10 ELSE floor(p_size * 284.15) END AS BIGINT) AS ml FROM part")
+def j7_pack_volume(s, d):
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    t = F.when(k == 0, F.concat(n, F.lit(" x 75cl"))).when(k == 1, F.concat(n, F.lit("cl"))).otherwise(F.concat(n, F.lit(" x 1/2 pint")))
+    return v.read(s, d, "part").select("p_partkey", parse.pack_ml(t).alias("ml"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_size END AS qty, CASE p_partkey % 3 WHEN 0 THEN 'bottle' WHEN 1 THEN 'magnum' END AS unit, CASE p_partkey % 3 WHEN 0 THEN p_size * 750 WHEN 1 THEN p_size * 1500 END::DOUBLE AS ml FROM part")
+def j8_count_and_container(s, d):
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    t = F.when(k == 0, F.concat(n, F.lit(" bouteilles PETRUS"))).when(k == 1, F.concat(n, F.lit(" Magnums X"))).otherwise("lot of wine")
+    return v.read(s, d, "part").select("p_partkey", parse.count_and_container(t).alias("g")).select("p_partkey", "g.qty", "g.unit", "g.ml")
+
+
+@query("SELECT p_partkey, p AS position, CASE p WHEN 0 THEN p_brand ELSE 'Opus One' END AS producer, CASE p WHEN 0 THEN p_size ELSE 2 END AS qty FROM part, (SELECT unnest([0, 1]) AS p)")
+def j10_components(s, d):
+    t = F.concat("p_brand", F.lit(", "), "p_name", F.lit(" 1998 ("), F.col("p_size").cast("string"), F.lit(" bottles); Opus One 2001 (2 magnums) (torn label)"))
+    rows = v.read(s, d, "part").select("p_partkey", F.posexplode(parse.components(t)).alias("position", "c"))
+    return rows.select("p_partkey", "position", parse.component_producer(F.col("c.title")).alias("producer"), "c.qty")
+
+
 @query("""SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) || CASE WHEN year(o_orderdate) <> 1999 THEN ',1999' ELSE '' END AS seen FROM orders""")
 def j13_years(s, d):
     t = F.concat(F.lit("from "), F.year("o_orderdate"), F.lit(" to 1999, lot 12345, "), F.year("o_orderdate"))
