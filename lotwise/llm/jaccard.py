@@ -7,7 +7,7 @@ A document's set is its distinct word 5-grams (hashed to 64 bits; 100 * intersec
 3. Groups: of the classes that share a min-hash value, each is compared with the one that shares most values with
    others; connected classes form a group. Copies in any number cost a few comparisons each.
 4. Token-group matrix: for each token the groups whose members' prefixes hold it, a row per token and group however
-   many members share it. Each class probes it; the sizes and the place of the first common token bound its overlap
+   many members share it. Each class probes it; the sizes and the places of a first common token bound its overlap
    with the group's union. Only groups that can reach the threshold are opened: the members that share most prefix
    tokens are compared in full, and the other ones where that finds no link (a group is connected already).
 5. Links of both kinds are merged into components.
@@ -254,28 +254,28 @@ def leader_pairs(classes: DataFrame) -> DataFrame:
 def cross_pairs(probes: DataFrame) -> DataFrame:
     """(a, b, g, k): class a and a member b of another group g that may link, with k common prefix tokens.
 
-    probes: (token, c, pos, n, g). A pair of groups is looked at from the one with the smaller id.
+    probes: (token, c, pos, n, g). A pair of groups is looked at from the one with the smaller id. The joins keep a row
+    only where its token can be the first that the two have in common: from its place on, both sides must have enough
+    tokens left. So a passage that many texts share meets only where it can make up a whole link.
     """
+    least = lambda a, b: F.ceil((a + b) * PERCENT / (100 + PERCENT))
     matrix = probes.groupBy("token", "g").agg(
-        F.count("*").alias("members"), F.min("c").alias("one"), F.min("pos").alias("pos"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    q = probes.select("token", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("pos").alias("pa"), F.col("n").alias("na"))
-    fits = (F.col("hi") * 100 >= F.col("na") * PERCENT) & (F.col("na") * 100 >= F.col("lo") * PERCENT)
-    hits = q.join(matrix, "token").filter((F.col("ga") < F.col("g")) & fits)
-    seen = hits.groupBy("a", "g").agg(
-        F.count("*").alias("k"), F.min("pa").alias("first"), F.max("pa").alias("pa"), F.max("pos").alias("pb"), F.max("na").alias("na"),
-        F.min("lo").alias("lo"), F.max("members").alias("members"), F.min("one").alias("one"), F.max("one").alias("one2"))
-    least = lambda a, b: F.ceil((F.col(a) + b) * PERCENT / (100 + PERCENT))
+        F.count("*").alias("members"), F.min("c").alias("one"), F.max(F.col("n") - F.col("pos")).alias("left"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    q = probes.select("token", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("pos").alias("pa"), F.col("n").alias("na")).alias("q")
+    na, lo = F.col("na"), F.col("lo")
+    fits = (F.col("hi") * 100 >= na * PERCENT) & (na * 100 >= lo * PERCENT)
+    first = F.least(na - F.col("pa"), F.col("left")) >= least(na, F.greatest(lo, F.ceil(na * PERCENT / 100)))
+    m = matrix.withColumnRenamed("token", "t")
+    hits = q.join(m, (F.col("token") == F.col("t")) & (F.col("ga") < F.col("g")) & fits & first)
+    seen = hits.groupBy("a", "g").agg(F.count("*").alias("k"), F.max("members").alias("members"), F.min("one").alias("one"), F.max("one").alias("one2"))
     lone = (F.col("members") == 1) & (F.col("one") == F.col("one2"))
-    reach = F.when(lone, F.col("k") + F.least(F.col("na") - F.col("pa"), F.col("lo") - F.col("pb")) - 1).otherwise(F.col("na") - F.col("first"))
-    opened = saved(seen.filter(reach >= least("na", F.greatest(F.col("lo"), F.ceil(F.col("na") * PERCENT / 100)))).select("a", "g", "k", F.when(lone, F.col("one")).alias("one")), "opened")
-    members = probes.select("token", "g", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    inner = (
-        opened.filter("one is null").select("a", "g")
-        .join(q.select("token", "a", "pa", "na"), "a").join(members, ["token", "g"]).filter(near_sizes("na", "nb"))
-        .groupBy("a", "b", "g").agg(F.count("*").alias("k"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-        .filter(F.col("k") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= least("na", F.col("nb")))
-    )
-    return saved(opened.filter("one is not null").select("a", F.col("one").alias("b"), "g", "k").union(inner.select("a", "b", "g", "k")), "pairs")
+    opened = saved(seen.select("a", "g", "k", F.when(lone, F.col("one")).alias("one")), "opened")
+    b = probes.select(F.col("token").alias("t"), F.col("g").alias("gb"), F.col("c").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    first = F.least(na - F.col("pa"), F.col("nb") - F.col("pb")) >= least(na, F.col("nb"))
+    many = opened.filter("one is null").select("a", "g").join(q.select("token", "a", "pa", "na"), "a")
+    inner = many.join(b, (F.col("token") == F.col("t")) & (F.col("g") == F.col("gb")) & near_sizes("na", "nb") & first)
+    inner = inner.groupBy("a", "b", "g").agg(F.count("*").alias("k"))
+    return saved(opened.filter("one is not null").select("a", F.col("one").alias("b"), "g", "k").union(inner), "pairs")
 
 
 def similar(docs: DataFrame) -> DataFrame:
