@@ -93,7 +93,8 @@ def catalogue(spark):
     return spark.createDataFrame(CATALOGUE, "id int, lwin int, display_name string, producer_title string, producer_name string, wine string, colour string, country string, region string, sub_region string")
 
 
-def test_match(spark):
+def test_match(spark, monkeypatch):
+    monkeypatch.setattr(matching, "MULTI", 0.6)  # five rows give low BM25 scores
     ask = spark.createDataFrame([
         (1, "Opus One 2015", "Opus One", "Napa Valley", "x", "USA"), (2, "Opus One", "", None, None, None), (3, "Mixed Case of Bordeaux", "Petrus", None, None, None), (4, None, "Petrus", None, None, None),
     ], "request_id int, wine_name string, lot_producer string, region string, sub_region string, country string")
