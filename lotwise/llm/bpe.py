@@ -24,7 +24,12 @@ from lotwise.llm.common import map_arrow, table
 
 NONE = np.int64(1) << 50
 #: entries of a worker's piece cache; it starts anew when full
-CACHE = 400_000
+CACHE = 150_000
+
+
+def read_ranks(file: str) -> dict[bytes, int]:
+    with open(file, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
 class BytePairEncoder:
@@ -33,13 +38,11 @@ class BytePairEncoder:
     def __init__(self, ranks_file: str, pattern: str):
         import regex
 
-        with open(ranks_file, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.tokens = {r: t for t, r in self.ranks.items()}
+        self.ranks = read_ranks(ranks_file)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         # every way to make a token of two tokens: (left, right) -> rank
         pairs = {(self.ranks[t[:k]] << 32) | self.ranks[t[k:]]: r for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
-        self.pairs = pairs
+        self.pairs: dict[int, int] = {}  # filled again only where a long piece needs it
         self.keys = np.array(sorted(pairs), np.int64)
         self.vals = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         # \s as Unicode's White_Space, which the rank file's reference implementation uses
@@ -108,6 +111,8 @@ class BytePairEncoder:
         """The same tree for one piece of any length."""
         n = len(piece)
         width = 1 << max(1, (n - 1).bit_length())
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), self.vals.tolist()))
         get, none = self.pairs.get, int(NONE)
         ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -187,16 +192,22 @@ class BytePairEncoder:
         get = cache.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
-    def decode_batch(self, ids: list[bytes | None]) -> list[bytes]:
-        get = self.tokens.__getitem__
-        return [b"".join(map(get, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in ids]
-
 
 @lru_cache(maxsize=4)
 def encoder(ranks_file: str, pattern: str) -> BytePairEncoder:
     return BytePairEncoder(ranks_file, pattern)
 
 
+@lru_cache(maxsize=4)
+def token_table(ranks_file: str) -> dict[int, bytes]:
+    return {r: t for t, r in read_ranks(ranks_file).items()}
+
+
+def decode_batch(ids: list[bytes | None], ranks_file: str) -> list[bytes]:
+    get = token_table(ranks_file).__getitem__
+    return [b"".join(map(get, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in ids]
+
+
 def default_tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
@@ -216,11 +227,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """(id, ids, decoded): decoded is the bytes that the ids stand for; empty for null ids."""
-    file, pattern = tokenizer or default_tokenizer()
+    file, _ = tokenizer or default_tokenizer()
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {id_col: batch.column(0), "ids": batch.column(1), "decoded": pa.array(encoder(file, pattern).decode_batch(batch.column(1).to_pylist()), pa.binary())}
+        return {id_col: batch.column(0), "ids": batch.column(1), "decoded": pa.array(decode_batch(batch.column(1).to_pylist(), file), pa.binary())}
 
     return map_arrow(encoded.select(id_col, "ids"), run, f"`{id_col}` {kind}, ids binary, decoded binary")
 
