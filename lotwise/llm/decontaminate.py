@@ -5,8 +5,11 @@ units after numbers "%". Windows of WIDTH canonical tokens are joined by hash to
 document and item at one offset form an alignment; its slots (the raw values behind placeholders) must map each
 benchmark value to one document value. An alignment counts with at least RUN windows (all windows of shorter items).
 
-Windows of more than MAX_SLOTS placeholders say too little and are left out on both sides; a text with fewer tokens
-than WIDTH is one window of its own.
+Items are looked for in two forms. In the first, windows of more than MAX_SLOTS placeholders are left out on both sides
+and a text with fewer tokens than WIDTH is one window of its own. The second finds what the first cannot: capitalised
+words at the start of a sentence are names too, a run of names is one placeholder, dense windows stay, and items with
+fewer tokens than WIDTH are looked for at their own lengths anywhere in a document. Windows of placeholders alone, and
+short items with less than two words, match with the same values only. The SQL twin has the first form.
 
 Cases: null and empty texts, and texts without tokens, have no windows and match nothing; repeated rows of a document
 or item count once; rows that share a doc_id are judged together, as are items that share an item_id; a null id is
@@ -48,34 +51,105 @@ def canonical(t: Column) -> Column:
     return F.when(t < "0", marked).when(t < ":", "#").when(low == t, t).when(title, "@").otherwise(low)
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, pos, h, slots): slots is the raw values of a window's placeholders joined by \\x01, '' if it has none."""
-    c = docs.select(id_col, raw_tokens(F.col(text_col)).alias("raw")).withColumn("can", F.transform("raw", canonical))
-    is_slot = lambda x: x < "A"  # noqa: E731  placeholders, as words are in lower case
-    c = c.filter(F.size("can") > 0).select(
-        id_col,
-        F.transform("can", lambda x: F.xxhash64(x)).alias("hs"),
+def named(raw: Column, can: Column, first: bool = True) -> Column:
+    """The canonical tokens with "@" for capitalised words that start a sentence too; without ``first`` not for the first token."""
+    def one(r: Column, c: Column) -> Column:
+        tail = F.substring(r, 3, 1 << 30)
+        return F.when(r.startswith(MARK_START) & (tail != "") & (F.lower(tail) == tail), "@").otherwise(c)
+
+    each = F.zip_with(raw, can, one)
+    return each if first else F.transform(each, lambda x, i: F.when(i == 0, F.get(can, i)).otherwise(x))
+
+
+def is_slot(x: Column) -> Column:
+    return x < "A"  # placeholders, as words are in lower case
+
+
+def folded(c: DataFrame, first: bool = True) -> DataFrame:
+    """c (raw, can) with (hs, sl) of the second form: starts of sentences as names, each run of names one placeholder."""
+    c = c.withColumn("g", named(F.col("raw"), F.col("can"), first))
+    bare = F.transform("raw", lambda r: F.when(r.startswith(MARK_START), F.substring(r, 2, 1 << 30)).otherwise(r))
+    c = c.withColumn("bare", F.when(F.exists("g", is_slot), bare))
+    # a run goes on with a name that doesn't start a sentence
+    goes_on = F.transform("g", lambda x, i: (x == "@") & (i > 0) & (F.get("g", i - 1) == "@") & ~F.get("raw", i).startswith(MARK_START))
+    c = c.withColumn("goes_on", F.when(F.array_contains("g", "@"), goes_on))
+    at = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: ~F.get("goes_on", i))
+    c = c.withColumn("at", F.when(F.array_contains("goes_on", True), at))
+    run = lambda i, k: F.array_join(F.slice("bare", i + 1, F.coalesce(F.get("at", k + 1), F.size("g")) - i), " ")
+    c = c.withColumns({
+        "fg": F.when(F.col("at").isNull(), F.col("g")).otherwise(F.transform("at", lambda i: F.get("g", i))),
+        "fr": F.when(F.col("at").isNull(), F.col("bare")).otherwise(F.transform("at", run)),
+    })
+    return c.withColumns({
+        "hs2": F.transform("fg", lambda x: F.xxhash64(x)),
+        "sl2": F.when(F.col("fr").isNotNull(), F.zip_with("fg", "fr", lambda x, r: F.when(is_slot(x), r))),
+    })
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str = "text", lengths: list[int] | None = None, first: bool = True) -> DataFrame:
+    """(id, form, pos, h, slots): slots is the raw values of a window's placeholders joined by \\x01, '' if it has none.
+
+    Form 0 has the canonical tokens as they are. In form 1 starts of sentences are names and runs of names are one; there
+    a text under WIDTH tokens is one window, or with ``lengths`` (of short items) each text has windows of these lengths.
+    """
+    c = docs.select(id_col, raw_tokens(F.col(text_col)).alias("raw")).withColumn("can", F.transform("raw", canonical)).filter(F.size("can") > 0)
+    c = folded(c, first).select(
+        id_col, "hs2", "sl2", F.transform("can", lambda x: F.xxhash64(x)).alias("hs"),
         F.when(F.exists("can", is_slot), F.zip_with("can", "raw", lambda x, r: F.when(is_slot(x), r))).alias("sl"),
     )
-    last = F.greatest(F.size("hs") - WIDTH, F.lit(0))
+
+    def hashed(hs: str, i: Column) -> Column:
+        return F.xxhash64(*[F.get(hs, i + k) for k in range(WIDTH)])
+
+    def slots(sl: str, i: Column, n: int = WIDTH) -> Column:
+        return F.when(F.col(sl).isNull(), "").otherwise(F.array_join(F.slice(sl, i + 1, n), "\x01"))
+
+    def row(form: int, i: Column, h: Column, s: Column) -> Column:
+        return F.struct(F.lit(form).alias("form"), i.alias("pos"), h.alias("h"), s.alias("slots"))
+
+    def second(i: Column, h: Column, s: Column, n: Column, words: int) -> Column:
+        # windows with less words than that say too little as a template: they match with the same values only
+        few = (s != "") & (n - F.size(F.split(s, "\x01")) < words)
+        return row(1, i, F.bitwise_not(F.when(few, F.xxhash64(h, s)).otherwise(h)), s)
+
+    def each(n: Column, make) -> Column:
+        return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), make)).otherwise(F.array())
+
     whole = F.when(F.size("hs") < WIDTH, F.xxhash64("hs"))
-    h = lambda i: F.coalesce(whole, F.xxhash64(*[F.get("hs", i + k) for k in range(WIDTH)]))
-    slots = lambda i: F.when(F.col("sl").isNull(), "").otherwise(F.array_join(F.slice("sl", i + 1, WIDTH), "\x01"))
-    w = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("pos"), h(i).alias("h"), slots(i).alias("slots")))
-    out = c.select(id_col, F.explode(w).alias("w")).select(id_col, "w.pos", "w.h", "w.slots")
-    return out.filter((F.col("slots") == "") | (F.size(F.split("slots", "\x01")) <= MAX_SLOTS))
+    plain = each(F.greatest(F.size("hs") - WIDTH, F.lit(0)), lambda i: row(0, i, F.coalesce(whole, hashed("hs", i)), slots("sl", i)))
+    parts = [plain, each(F.size("hs2") - WIDTH, lambda i: second(i, hashed("hs2", i), slots("sl2", i), F.lit(WIDTH), 1))]
+
+    def short(n: int) -> Column:
+        return each(F.size("hs2") - n, lambda i: second(i, F.xxhash64(F.slice("hs2", i + 1, n)), slots("sl2", i, n), F.lit(n), 2))
+
+    parts += [short(n) for n in lengths or []]
+    if lengths is None:
+        own = F.array(second(F.lit(0), F.xxhash64("hs2"), slots("sl2", F.lit(0)), F.size("hs2"), 2))
+        parts.append(F.when(F.size("hs2") < WIDTH, own).otherwise(F.array()))
+    kind = "array<struct<form:int,pos:int,h:bigint,slots:string>>"
+    out = c.select(id_col, F.explode(F.concat(*[p.cast(kind) for p in parts])).alias("w")).select(id_col, "w.form", "w.pos", "w.h", "w.slots")
+    return out.filter((F.col("slots") == "") | (F.col("form") == 1) | (F.size(F.split("slots", "\x01")) <= MAX_SLOTS))
+
+
+def short_lengths(bench: DataFrame) -> list[int]:
+    """The numbers of tokens under WIDTH that items have in the second form."""
+    c = bench.select(raw_tokens(F.col("text")).alias("raw")).withColumn("can", F.transform("raw", canonical)).filter(F.size("can") > 0)
+    sizes = folded(c).select(F.size("fg").alias("n")).union(folded(c, first=False).select(F.size("fg")))
+    return sorted(r.n for r in sizes.filter(F.col("n") < WIDTH).distinct().collect())
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, doc_text: str = "text", bench_text: str = "text") -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, n_slots, n_changed): passages of an item found in a document.
 
     n_windows: distinct windows of the item in the best consistent alignment; n_slots, n_changed: its slot values
-    and those that differ from the benchmark's.
+    and those that differ from the benchmark's. They are of form 0 where it finds the item, else of the second form.
     """
-    items = windows(bench.select("item_id", F.col(bench_text).alias("text")), "item_id").dropDuplicates()
-    size = items.groupBy("item_id").agg(F.count_distinct("pos").alias("item_windows"))
-    items = items.select("item_id", F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"))
-    mine = windows(docs.select("doc_id", F.col(doc_text).alias("text")), "doc_id")
+    bench = bench.select("item_id", F.col(bench_text).alias("text"))
+    # an item's first word can stand in lower case or as a name in a document: form 2 is form 1 with that word as it is
+    items = windows(bench, "item_id").union(windows(bench, "item_id", first=False).filter("form = 1").withColumn("form", F.lit(2))).dropDuplicates()
+    size = items.groupBy("item_id", "form").agg(F.count_distinct("pos").alias("item_windows"))
+    items = items.select("item_id", "form", F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"))
+    mine = windows(docs.select("doc_id", F.col(doc_text).alias("text")), "doc_id", lengths=short_lengths(bench)).drop("form")
     if items.count() <= BROADCAST_ROWS:
         hit = mine.join(F.broadcast(items), "h")
     else:
@@ -85,21 +159,21 @@ def find_leaks(docs: DataFrame, bench: DataFrame, doc_text: str = "text", bench_
         F.zip_with(F.split("islots", "\x01"), F.split("slots", "\x01"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
         lambda x: x.a.isNotNull() & (x.a != ""),
     )
-    aligned = hit.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
+    aligned = hit.groupBy("doc_id", "item_id", "form", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
         F.count_distinct("ipos").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("islots") != "", pairs)))).alias("slots"),
     )
     consistent = F.size(F.array_distinct(F.transform("slots", lambda x: x.a))) == F.size("slots")
     best = (
         aligned.filter(consistent)
-        .select("doc_id", "item_id", F.struct("n_windows", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda x: x.a != x.b)).alias("n_changed")).alias("best"))
-        .groupBy("doc_id", "item_id").agg(F.max("best").alias("best"))
-    )
-    size = size.withColumnRenamed("item_id", "size_id")
-    sized = best.join(size, best.item_id.eqNullSafe(size.size_id))
-    return sized.filter(F.col("best.n_windows") >= F.least(F.lit(RUN), "item_windows")).select(
-        "doc_id", "item_id", F.col("best.n_windows"), "item_windows", F.col("best.n_slots"), F.col("best.n_changed")
+        .select("doc_id", "item_id", "form", F.struct("n_windows", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda x: x.a != x.b)).alias("n_changed")).alias("best"))
+        .groupBy("doc_id", "item_id", "form").agg(F.max("best").alias("best"))
     )
+    size = size.select(F.col("item_id").alias("size_id"), F.col("form").alias("size_form"), "item_windows")
+    sized = best.join(size, best.item_id.eqNullSafe(size.size_id) & (best.form == size.size_form))
+    enough = sized.filter(F.col("best.n_windows") >= F.least(F.lit(RUN), "item_windows"))
+    one = enough.groupBy("doc_id", "item_id").agg(F.min(F.struct("form", "best", "item_windows")).alias("x"))
+    return one.select("doc_id", "item_id", "x.best.n_windows", "x.item_windows", "x.best.n_slots", "x.best.n_changed")
 
 
 def drop_leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:

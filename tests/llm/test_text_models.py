@@ -148,6 +148,24 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert decontaminate.find_leaks(docs, bench).collect() == want
 
 
+def test_decontamination_second_form(spark):
+    cases = [
+        ("12 kg and 15 kg for 3 hours", "She lifted 12 kg and 15 kg for 3 hours yesterday."),
+        ("17 cm or 19 cm in 4 days", "She cut 20 mm or 25 mm in 9 weeks yesterday."),
+        ("3 1 4 1 5 9 2 6 5", "so the list is 3 1 4 1 5 9 2 6 5 here"),
+        ("Short item.", "Before. Short item. After it come more words than that."),
+        ("Other tiny thing", "there is some other tiny thing in this text of many words"),
+        ("How fast does the old train go now?", "They asked How fast does the old train go now and left"),
+        ("The bus of Alice leaves the old station at noon today", "The bus of Mary Ann Smith leaves the old station at noon today"),
+        ("Alice takes the new boat to the sea today", "It rained. Mary Ann takes the new boat to the sea today"),
+    ]
+    bench = spark.createDataFrame([(k, item) for k, (item, _) in enumerate(cases)], "item_id long, text string")
+    clean = "She has 7 kg of quite different things and 8 1 2 3 4 5 6 7 9 of them, but nothing short or fast."
+    docs = spark.createDataFrame([(k, doc) for k, (_, doc) in enumerate(cases)] + [(50, clean), (51, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()) == [(k, k) for k in range(len(cases))]
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).orderBy("doc_id").collect()] == [50, 51]
+
+
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a>Home</a></li><li><a>All</a></li></ul></nav><div class="ad">Buy</div><article><h1>{t}</h1>{ps}</article><div class="comments"><p>first!</p></div><aside>s</aside><form><label>Mail</label></form><footer>&copy; x</footer></body></html>'
 
 
