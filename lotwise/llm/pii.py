@@ -79,7 +79,7 @@ def matches(kind: str, text: Column) -> Column:
     return F.when(text.contains(needs), found).otherwise(F.array().cast("array<string>")) if needs else found
 
 
-def placed(kind: str, text: Column, found: Column) -> Column:
+def placed(kind: str, text: Column, found: Column, least: float = MIN_SCORE) -> Column:
     """The valid matches with their places: array of (kind, start, end, score)."""
     pattern, _, score, words = KINDS[kind]
     gaps = F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(found), F.lit(1)))
@@ -100,7 +100,7 @@ def placed(kind: str, text: Column, found: Column) -> Column:
         ),
     )
     if kind in EXTRA:
-        kept = F.filter(kept, lambda x: x.score >= MIN_SCORE)
+        kept = F.filter(kept, lambda x: x.score >= least)
     return F.when(F.size(found) > 0, kept).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>"))
 
 
@@ -111,17 +111,36 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.withColumns({f"spans_{k}": placed(k, text, F.col(f"found_{k}")) for k in KINDS}).drop(*[f"found_{k}" for k in KINDS])
 
 
+def merged(spans: Column) -> Column:
+    """Overlapping spans as one: array of (s, e, kind, n); the kind is that of the longest span, which has n code points."""
+    rank = F.lit(list(KINDS))
+    rows = F.array_sort(F.transform(spans, lambda x: F.struct(x.start.alias("s"), (x.start - x.end).alias("less"), F.array_position(rank, x.kind).alias("rank"), x.end.alias("e"), x.kind.alias("kind"))))
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        new = F.struct(x.s.alias("s"), x.e.alias("e"), x.kind.alias("kind"), (x.e - x.s).alias("n"))
+        longer = x.e - x.s > last.n
+        joined = F.struct(
+            last.s.alias("s"), F.greatest(last.e, x.e).alias("e"), F.when(longer, x.kind).otherwise(last.kind).alias("kind"), F.when(longer, x.e - x.s).otherwise(last.n).alias("n"))
+        overlaps = (F.size(done) > 0) & (x.s < last.e)
+        return F.when(overlaps, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(new)))
+
+    return F.aggregate(rows, F.array().cast("array<struct<s:bigint,e:bigint,kind:string,n:bigint>>"), add)
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each valid span replaced by [KIND], kind after kind in the order of KINDS; null texts stay null."""
-    for kind in KINDS:
-        pattern = KINDS[kind][0]
-        docs = docs.withColumn("_found", F.coalesce(matches(kind, F.col(text_col)), F.array().cast("array<string>")))
-        label = F.transform("_found", lambda m: F.when(valid(kind, m), F.lit(f"[{kind.upper()}]")).otherwise(m))
-        if kind == "nid":  # only where context words make it one
-            label = F.when(F.lower(text_col).rlike(KINDS[kind][3]), label).otherwise(F.col("_found"))
-        joined = F.array_join(F.zip_with(F.split(text_col, pattern, -1), F.concat(label, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-        docs = docs.withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(F.col(text_col))).drop("_found")
-    return docs
+    """docs with each span of find_pii on the whole text, overlapping ones as one, replaced by [KIND]; null texts stay
+    null. A national number counts here wherever the text has its context words, however far away."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = docs.withColumns({f"_found_{k}": matches(k, text) for k in KINDS})
+    spans = {k: placed(k, text, F.col(f"_found_{k}"), 0.0 if k == "nid" else MIN_SCORE) for k in KINDS}
+    spans["nid"] = F.when(F.lower(text).rlike(KINDS["nid"][3]), spans["nid"]).otherwise(F.filter(spans["nid"], lambda x: F.lit(False)))
+    found = found.withColumn("_spans", F.concat(*spans.values())).withColumn("_spans", F.when(F.size("_spans") > 0, merged(F.col("_spans"))))
+    end = lambda i: F.when(i > 0, F.get("_spans", i - 1).e).otherwise(0)
+    piece = lambda x, i: F.concat(F.substring(text, (end(i) + 1).cast("int"), (x.s - end(i)).cast("int")), F.lit("["), F.upper(x.kind), F.lit("]"))
+    tail = F.substring(text, (F.element_at("_spans", -1).e + 1).cast("int"), F.length(text))
+    rebuilt = F.concat(F.array_join(F.transform("_spans", piece), ""), tail)
+    return found.withColumn(text_col, F.when(F.col("_spans").isNotNull(), rebuilt).otherwise(F.col(text_col))).drop("_spans", *[f"_found_{k}" for k in KINDS])
 
 
 def digest(*kinds: str) -> Column:

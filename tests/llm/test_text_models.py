@@ -122,6 +122,16 @@ def test_pii_redaction(spark):
     assert got == {1: "é [EMAIL] or [IP], [CARD]; [PHONE]", 2: None, 3: "clean 12"}
 
 
+def test_pii_redaction_of_overlapping_spans(spark):
+    texts = ["call +33.1.42.68.53.00 now", "4111 1111 1111 1111@b.co and é 1.2.3.4", "+1 (555) 555-0100a@b.co", "ssn" + "." * 60 + " 987-65-4321", "987-65-4321"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert got == ["call [PHONE] now", "[CARD] and é [IP]", "[PHONE]", "ssn" + "." * 60 + " [NID]", "987-65-4321"]
+    for r in pii.find_pii(docs).collect():
+        for x in [x for k in pii.BASE for x in r[f"spans_{k}"]]:
+            assert texts[r.doc_id][x.start : x.end] not in got[r.doc_id]
+
+
 BENCH = [(1, "The train of Alice leaves at 10 in the morning and covers 120 km before noon, so how fast does the train of Alice go?"), (2, "Short item."), (3, None), (4, "")]
 
 
