@@ -175,3 +175,20 @@ def test_in_currency(spark):
     lots = spark.createDataFrame([(1, dt.date(2020, 1, 1), "EUR", 10.0), (2, dt.date(2020, 1, 2), "EUR", 10.0), (3, dt.date(2020, 1, 2), "USD", 10.0)], "id int, sold_date date, original_currency string, end_price double")
     fx = spark.createDataFrame([("EUR", "USD", dt.date(2020, 1, 1), 1.5)], "rates_from string, rates_to string, date date, rates double")
     assert {r.id: r.price for r in exports.in_currency(lots, fx, "EUR", "USD").collect()} == {1: 15.0, 2: None, 3: 10.0}
+
+
+def test_fx_feed_bodies_are_bounded(spark, tmp_path, monkeypatch):
+    from lotwise.plans import texts
+
+    rows = spark.range(20_000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "1L AS user_id", "'hot' AS event_type", "CAST(id AS double) AS value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    sizes, read = [], texts.feeds.fx_points
+
+    def watched(feed):
+        sizes.extend(r.n for r in feed.selectExpr("length(body) - length(replace(body, 'PointInTime', '')) AS n").collect())
+        return read(feed)
+
+    monkeypatch.setattr(texts.feeds, "fx_points", watched)
+    got = texts.a20_fx_feed(spark, str(tmp_path)).collect()
+    assert [(r.date, r.rates) for r in got] == [("1970-01-01", 19999.0)]
+    assert sum(sizes) == 20_000 * len("PointInTime") and max(sizes) <= 2 * texts.POINTS * len("PointInTime")
