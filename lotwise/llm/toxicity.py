@@ -18,6 +18,8 @@ gives one row.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
@@ -95,7 +97,7 @@ class Automaton:
                 cost = e + (letter != ch)
                 if cost <= self.depth_budget[kid] and out.get(kid, 99) > cost:
                     out[kid] = cost
-            if e + 1 <= self.depth_budget[node] and node and out.get(node, 99) > e + 1:
+            if e + 1 <= self.depth_budget[node] and out.get(node, 99) > e + 1:
                 out[node] = e + 1
         if not out:
             return -1
@@ -188,28 +190,44 @@ def choose(doc_terms: list[set[str]], precise: set[str]) -> list[str]:
         for t in terms & precise:
             holds[t].add(d)
     # among equals: whole words before stems, longer before shorter
-    rank = lambda t: (-len(holds[t]), t.endswith("*"), -len(t), t)
-    left, chosen, seen = sorted(holds, key=rank), [], Counter()
-    # documents count until two chosen terms hold them, so that terms that come together are all found
-    while left and len(chosen) < MAX_TERMS:
-        gain = lambda t: sum(1 for d in holds[t] if seen[d] < 3)
-        best, most = None, MIN_DOCS - 1
-        for t in left[:4000]:
-            if len(holds[t]) <= most:
-                break
-            if (g := gain(t)) > most:
-                best, most = t, g
-        if best is None:
-            break
+    order = sorted(holds, key=lambda t: (-len(holds[t]), t.endswith("*"), -len(t), t))
+    place = {t: k for k, t in enumerate(order)}
+    words = sorted(t for t in holds if not t.endswith("*"))
+    chosen, seen, prefixes, covers = [], Counter(), set(), defaultdict(list)
+
+    def gone(t: str) -> bool:
+        """Whether t is a form of a chosen term, or only in documents of one."""
+        stem = t.rstrip("*")
+        return any(stem[:k] in prefixes for k in range(1, len(stem) + 1)) or any(holds[t] <= c for c in covers[next(iter(holds[t]))])
+
+    # gains only fall, so a term whose gain is still the one it was queued with is the best of all
+    queue = [(-len(holds[t]), k) for k, t in enumerate(order) if len(holds[t]) >= MIN_DOCS]
+    heapq.heapify(queue)
+    while queue and len(chosen) < MAX_TERMS:
+        queued, k = heapq.heappop(queue)
+        best = order[k]
+        if gone(best):
+            continue
+        # documents count until three chosen terms hold them, so that terms that come together are all found
+        gain = sum(1 for d in holds[best] if seen[d] < 3)
+        if gain < -queued:
+            if gain >= MIN_DOCS:
+                heapq.heappush(queue, (-gain, k))
+            continue
         word = best
         if best.endswith("*"):  # the whole word if it does the stem's work
-            whole = [t for t in left if not t.endswith("*") and t.startswith(best[:-1]) and len(holds[t]) >= 0.9 * len(holds[best])]
-            word = max(whole, key=lambda t: len(holds[t]), default=best)
+            at, whole = bisect.bisect_left(words, best[:-1]), []
+            while at < len(words) and words[at].startswith(best[:-1]):
+                if len(holds[words[at]]) >= 0.9 * len(holds[best]) and not gone(words[at]):
+                    whole.append(words[at])
+                at += 1
+            word = min(whole, key=place.get, default=best)
         chosen.append(word)
         for d in holds[best]:
             seen[d] += 1
+            covers[d].append(holds[best])
         stem = word.rstrip("*")
-        left = [t for t in left if not t.rstrip("*").startswith(stem[: max(4, len(stem) - 3)]) and not holds[t] <= holds[best]]
+        prefixes.add(stem[: max(4, len(stem) - 3)])
     return chosen
 
 
@@ -244,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     # candidates: terms of at least MIN_DOCS toxic documents of the bounded sample, then their clean documents
     per_doc = map_arrow(toxic, run, "terms array<string>")
     common = per_doc.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS)
-    top = {r.term: r.n for r in common.orderBy(F.desc("n"), "term").limit(200_000).collect()}
+    top = {r.term: r.n for r in common.collect()}  # bounded as the sample is
     sent = docs.sparkSession.sparkContext.broadcast(frozenset(top))
 
     def clean(batch: pa.RecordBatch) -> dict:

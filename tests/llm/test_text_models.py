@@ -37,6 +37,18 @@ def test_automaton_equals_edit_distance():
         assert a.match(w) == min(near, default=None), w
 
 
+def test_automaton_inserts_before_the_first_letter():
+    a = toxicity.Automaton(["idiot", "disgusting"])
+    assert [a.match(w) for w in ("xidiot", "xxidiot", "xxdisgusting", "xdisgustng", "xxxdisgusting")] == [(1, 0), None, (2, 1), (2, 1), None]
+
+
+def test_rare_terms_beside_near_copies():
+    # 5000 words of a text in 60 near copies, each word missing from a few, and a slur of 5 documents
+    copies = [{f"w{chr(97 + k % 26)}{k:04d}x" for k in range(5000) if (k * 7 + d) % 29} for d in range(60)]
+    docs = copies + [{"moron"} for _ in range(5)]
+    assert "moron" in toxicity.choose(docs, set().union(*docs))
+
+
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     model = toxicity.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
