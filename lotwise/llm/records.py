@@ -20,6 +20,7 @@ import posixpath
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,8 +37,9 @@ from lotwise.llm.common import saved, scratch, table
 INDEX = np.dtype([("offset", "<u8"), ("bytes", "<u8"), ("start", "<u8"), ("n_tokens", "<u8"), ("is_null", "u1"), ("doc_id", "<i8")])
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, width int"
 #: entries of a worker's word cache; it starts anew when full
-CACHE = 500_000
-SEPARATOR = "\x01"
+CACHE = 600_000
+#: bytes of a record beside its payload
+FRAME = 16
 
 
 def masked_crc(data: bytes) -> int:
@@ -62,55 +64,67 @@ def unframe(data: bytes, at: int) -> tuple[bytes, int]:
     return payload, at + 16 + length
 
 
+def before(n: np.ndarray) -> np.ndarray:
+    """The sum of what stands before each entry."""
+    return np.cumsum(n, dtype=np.uint64) - n
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
-class WordEncoder:
-    """Encodes texts with the tokenizers library, each white-space-delimited word once while it is cached.
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level models write bytes as: printable Latin-1 as itself, the other bytes from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class WordEncoder(dict):
+    """Encodes texts with the tokenizers library: word -> ids, each white-space-delimited word once while it is held.
 
     The file's normaliser works on characters and its splitter never crosses white space, so a text's ids are those
-    of its words. New words go to the library together, divided by a control character that is a piece of its own.
+    of its words. Words of Latin-1 letters, with one mark after them or none, are what normaliser and splitter leave
+    as they are (but for the mark, which the splitter cuts off): they go straight to the library's model, other words
+    to the whole library.
     """
 
     def __init__(self, file: str):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(file)
+        self.model = self.lib.model
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
-        (self.divider,) = self.lib.encode(SEPARATOR, add_special_tokens=False).ids
-        self.cache: dict[str, bytes] = {}
-
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        kind, out = f"<u{self.width}", {}
-        plain = []
-        for w in words:
-            if SEPARATOR in w:
-                out[w] = np.array(self.lib.encode(w, add_special_tokens=False).ids, kind).tobytes()
-            else:
-                plain.append(w)
-        groups = [plain[a : a + 500] for a in range(0, len(plain), 500)]
-        for group, got in zip(groups, self.lib.encode_batch_fast([f" {SEPARATOR} ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(got.ids, kind)
-            cut = np.flatnonzero(ids == self.divider)
-            raw, starts, ends = ids.tobytes(), [0, *((cut + 1) * self.width).tolist()], [*(cut * self.width).tolist(), len(ids) * self.width]
-            if len(starts) != len(group):
-                raise ValueError("a word gave the divider's id")
-            out.update(zip(group, [raw[a:b] for a, b in zip(starts, ends)]))
-        return out
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        # only ASCII texts are lower-cased here: for others the library's own rule holds
-        split = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        cache = self.cache
-        new = {w for s in split for w in s}.difference(cache)
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = {w for s in split for w in s}
-        cache.update(self.encode_words(list(new)))
-        get = cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        self.letters = byte_letters()
+        self.marks = {m: self.packed(self.lib.encode(m, add_special_tokens=False).ids) for m in ".,;:!?"}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.width == 2 else "I", ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        """Ids of a word without spaces and newlines, in lower case where its text is Latin-1."""
+        mark = self.marks.get(word[-1:], b"")
+        low = (word[:-1] if mark else word).lower()
+        if low.isalpha() and (low.isascii() or max(word) < "\u0100"):
+            low = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            ids = self.packed([t.id for t in self.model.tokenize(low)]) + mark
+        else:
+            ids = self.packed(self.lib.encode(word, add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, lowered(text).replace("\n", " ").split(" "))) if text else b""
+
+
+def lowered(text: str) -> str:
+    """Latin-1 texts in lower case, so that forms of a word are one; for others the library's own rule holds."""
+    try:
+        text.isascii() or text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 @lru_cache(maxsize=2)
@@ -130,27 +144,32 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, data, index, offset, start = word_encoder(tokenizer), None, [], 0, 0
-        end = int(end_id).to_bytes(enc.width, "little")
+        enc, data, n_docs, offset, start = word_encoder(tokenizer), None, 0, 0, 0
+        end = enc.packed([end_id])
         for batch in batches:
             if data is None and batch.num_rows:
                 system, base = open_fs(folder)
                 system.create_dir(base)
                 name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-                data = system.open_output_stream(posixpath.join(base, name + ".rec"))
+                data, index = (system.open_output_stream(posixpath.join(base, name + kind)) for kind in (".rec", ".idx"))
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                for doc, ids in zip(part.column(0).to_pylist(), enc.encode_batch(part.column(1).to_pylist())):
-                    ids += end
-                    data.write(record := frame(ids))
-                    n = len(ids) // enc.width
-                    index.append((offset, len(record), start, n, doc is None, doc or 0))
-                    offset, start = offset + len(record), start + n
+                records = [frame(enc.encode(t) + end) for t in part.column(1).to_pylist()]
+                if len(enc) > CACHE:
+                    enc.clear()
+                rows = np.zeros(len(records), INDEX)
+                rows["bytes"] = [len(r) for r in records]
+                rows["n_tokens"] = (rows["bytes"] - FRAME) // enc.width
+                rows["offset"], rows["start"] = offset + before(rows["bytes"]), start + before(rows["n_tokens"])
+                ids = part.column(0)
+                rows["is_null"], rows["doc_id"] = np.asarray(ids.is_null()), np.asarray(ids.fill_null(0))
+                data.write(b"".join(records))
+                index.write(rows.tobytes())
+                n_docs, offset, start = n_docs + len(rows), offset + int(rows["bytes"].sum()), start + int(rows["n_tokens"].sum())
         if data is not None:
             data.close()
-            with system.open_output_stream(posixpath.join(base, name + ".idx")) as out:
-                out.write(np.array(index, INDEX).tobytes())
-            cols = [[int(name[:6])], [name], [len(index)], [start], [enc.width]]
+            index.close()
+            cols = [[int(name[:6])], [name], [n_docs], [start], [enc.width]]
             kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["shard", "path", "n_docs", "n_tokens", "width"])
 
