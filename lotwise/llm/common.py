@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,8 +34,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1000) -> DataFrame:
-    """Apply fn (record batch -> columns by name) to slices of at most ``rows`` rows of each Arrow batch."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1000, done: Callable[[], None] | None = None) -> DataFrame:
+    """Apply fn (record batch -> columns by name) to slices of at most ``rows`` rows of each Arrow batch.
+
+    ``done`` is called when a task ends: workers outlive tasks, and what they keep counts against every later stage.
+    """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -47,10 +52,23 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
                     [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for f, c in ((f, cols[f.name]) for f in out)],
                     schema=out,
                 )
+        if done:
+            done()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system, where the C library and Arrow can do that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        return
+
+
 def held_out(doc_id: Column) -> Column:
     """The contract's fold: crc32 of the id's decimal text, modulo 5, is 0. A null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -78,3 +96,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not changed:
             return label
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+#: keys with so many rows are dealt out to SALTS parts in labelled, at most MOST_HOT keys, those with most rows
+HOT_ROWS, MOST_HOT, SALTS = 1000, 1024, 64
+
+
+def labelled(rows: DataFrame, key: str, labels: DataFrame, label_key: str) -> DataFrame:
+    """rows, left-joined with labels (one row for each label_key) on key.
+
+    A key may have a large part of all rows: the rows of such keys are dealt out to parts, their labels are repeated.
+    """
+    hot = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= HOT_ROWS)
+    hot = F.broadcast(saved(hot.orderBy(F.desc("_n"), "_hot").limit(MOST_HOT).select("_hot"), "hot"))  # at most MOST_HOT rows
+    part = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    left = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", part).drop("_hot")
+    every = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = labels.join(hot, F.col(label_key) == F.col("_hot"), "left").withColumn("_label_part", F.explode(every)).drop("_hot")
+    return left.join(right, (F.col(key) == F.col(label_key)) & (F.col("_part") == F.col("_label_part")), "left").drop("_part", "_label_part")
