@@ -34,7 +34,7 @@ AMBIGUOUS = 0.05
 def grams(text: str) -> np.ndarray:
     """Hash buckets of the 1- to 3-grams of a text's letters and spaces; empty if it has no letter."""
     cp = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    letter = (cp >= 0xC0) | ((cp >= 97) & (cp <= 122))
+    letter = (cp >= 0xC0) | ((cp >= 97) & (cp <= 122)) | (cp == 0xAA) | (cp == 0xB5) | (cp == 0xBA)
     if not letter.any() or not any(map(str.isalpha, text)):
         return np.empty(0, np.int64)
     cp = np.where(letter, cp, np.uint32(32)).astype(np.uint64)

@@ -105,10 +105,18 @@ def placed(kind: str, text: Column, found: Column, least: float = MIN_SCORE) ->
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column spans_<kind> for each kind: array of (kind, start, end, score), code points, end exclusive."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.withColumns({f"found_{k}": matches(k, text) for k in KINDS})
-    return found.withColumns({f"spans_{k}": placed(k, text, F.col(f"found_{k}")) for k in KINDS}).drop(*[f"found_{k}" for k in KINDS])
+    """docs with a column spans_<kind> for each kind: array of (kind, start, end, score), code points, end exclusive.
+    Columns of docs with these names are replaced."""
+    text, own = F.coalesce(F.col(text_col).cast("string"), F.lit("")), unused(docs, "found_")
+    found = docs.withColumns({own + k: matches(k, text) for k in KINDS})
+    return found.withColumns({f"spans_{k}": placed(k, text, F.col(own + k)) for k in KINDS}).drop(*[own + k for k in KINDS])
+
+
+def unused(docs: DataFrame, prefix: str) -> str:
+    """A prefix that no column of docs has."""
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def merged(spans: Column) -> Column:
@@ -131,16 +139,17 @@ def merged(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span of find_pii on the whole text, overlapping ones as one, replaced by [KIND]; null texts stay
     null. A national number counts here wherever the text has its context words, however far away."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.withColumns({f"_found_{k}": matches(k, text) for k in KINDS})
-    spans = {k: placed(k, text, F.col(f"_found_{k}"), 0.0 if k == "nid" else MIN_SCORE) for k in KINDS}
+    text, own = F.coalesce(F.col(text_col).cast("string"), F.lit("")), unused(docs, "_found_")
+    spanned = unused(docs, "_spans")
+    found = docs.withColumns({own + k: matches(k, text) for k in KINDS})
+    spans = {k: placed(k, text, F.col(own + k), 0.0 if k == "nid" else MIN_SCORE) for k in KINDS}
     spans["nid"] = F.when(F.lower(text).rlike(KINDS["nid"][3]), spans["nid"]).otherwise(F.filter(spans["nid"], lambda x: F.lit(False)))
-    found = found.withColumn("_spans", F.concat(*spans.values())).withColumn("_spans", F.when(F.size("_spans") > 0, merged(F.col("_spans"))))
-    end = lambda i: F.when(i > 0, F.get("_spans", i - 1).e).otherwise(0)
+    found = found.withColumn(spanned, F.concat(*spans.values())).withColumn(spanned, F.when(F.size(spanned) > 0, merged(F.col(spanned))))
+    end = lambda i: F.when(i > 0, F.get(spanned, i - 1).e).otherwise(0)
     piece = lambda x, i: F.concat(F.substring(text, (end(i) + 1).cast("int"), (x.s - end(i)).cast("int")), F.lit("["), F.upper(x.kind), F.lit("]"))
-    tail = F.substring(text, (F.element_at("_spans", -1).e + 1).cast("int"), F.length(text))
-    rebuilt = F.concat(F.array_join(F.transform("_spans", piece), ""), tail)
-    return found.withColumn(text_col, F.when(F.col("_spans").isNotNull(), rebuilt).otherwise(F.col(text_col))).drop("_spans", *[f"_found_{k}" for k in KINDS])
+    tail = F.substring(text, (F.element_at(spanned, -1).e + 1).cast("int"), F.length(text))
+    rebuilt = F.concat(F.array_join(F.transform(spanned, piece), ""), tail)
+    return found.withColumn(text_col, F.when(F.col(spanned).isNotNull(), rebuilt).otherwise(F.col(text_col))).drop(spanned, *[own + k for k in KINDS])
 
 
 def digest(*kinds: str) -> Column:

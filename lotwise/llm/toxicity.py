@@ -2,12 +2,14 @@
 
 Fit (on at most about MAX_DOCS labelled documents a class, by a hash of the id; whole texts):
 1. Spark counts, per class, the documents that hold each word and each word stem (4 to 7 first letters).
-2. The lexicon takes the terms that nearly only toxic documents hold, greedily by the toxic documents they add, so
-   that a group of copies does not bring its ordinary words in.
+2. A term weighs its smoothed log odds: how much likelier a toxic document holds it than a clean one. The lexicon takes
+   terms of at least MIN_ODDS, greedily by the toxic documents they add, so that a group of copies does not bring its
+   ordinary words in; a term that a few clean documents hold too can be one.
 3. Words and long stems get an edit budget (0, 1 or 2 by length). The Levenshtein automaton of the lexicon's trie is
    built lazily as one deterministic automaton: a state is the set of (trie node, edits), most words die early.
 4. Context: each hit is direct, misspelled or quoted (inside quotation marks or after a word that reports speech);
-   a logistic regression on counts of these, and of the hits' density, gives the score.
+   a logistic regression on counts of these, on the weights of the different terms among them, and on the hits' density,
+   gives the score.
 
 Scoring reads every whole text and shuffles nothing; the lexicon is bounded by MAX_TERMS.
 
@@ -33,7 +35,8 @@ from lotwise.llm.common import held_out, map_arrow, table
 
 MAX_DOCS = 6000
 MAX_TERMS = 2000
-MIN_DOCS, MIN_PRECISION = 4, 0.9
+#: least toxic documents of a term, least ratio of its shares of toxic and clean documents
+MIN_DOCS, MIN_ODDS = 4, 8.0
 STEMS = range(4, 8)
 CONTEXT = 6
 WORD = re.compile(r"[^\W\d_]+")
@@ -130,12 +133,13 @@ class Automaton:
 @dataclass
 class Model:
     terms: list[str]
+    odds: list[float] = field(default_factory=list)
     weights: np.ndarray | None = None
     automaton: Automaton | None = field(default=None, repr=False)
     cache: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights, "automaton": None, "cache": {}}
+        return {"terms": self.terms, "odds": self.odds, "weights": self.weights, "automaton": None, "cache": {}}
 
     def look_up(self, word: str) -> tuple[int, int] | None:
         if self.automaton is None:
@@ -144,37 +148,44 @@ class Model:
 
     def hits(self, text: str) -> tuple[list[tuple[int, int, int]], list[str]]:
         """[(word index, edits, term)] and the text's words."""
-        words = WORD.findall(text.lower())
+        words = WORD.findall(text)
         cache = self.cache
         new = set(words).difference(cache)
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = set(words)
         for w in new:
-            cache[w] = self.look_up(w)
+            cache[w] = self.look_up(w.lower())
         return [(i, *h) for i, w in enumerate(words) if (h := cache[w])], words
 
-    def features(self, text: str | None) -> list[float]:
-        """Counts behind a score: direct, misspelled and quoted hits, distinct terms, hits per 100 words."""
-        found, words = self.hits(text) if text else ([], [])
+    def features(self, text: str | None, seen: tuple | None = None) -> list[float]:
+        """What a score rests on: direct, misspelled and quoted hits, their terms' weights, hits per 100 words."""
+        found, words = seen or (self.hits(text) if text else ([], []))
         if not found:
-            return [0.0] * 6
+            return [0.0] * 8
         quoted = set()
         marks = [m.start() for m in QUOTES.finditer(text)]
         spans = [m.span() for m in WORD.finditer(text)] if marks else []
         for i, _, _ in found:
-            reported = any(w in REPORTS for w in words[max(0, i - CONTEXT) : i])
-            inside = bool(marks) and i < len(spans) and sum(m < spans[i][0] for m in marks) % 2 == 1 and any(0 <= m - spans[i][1] < 60 for m in marks)
-            if reported or inside:
+            reported = any(w.lower() in REPORTS for w in words[max(0, i - CONTEXT) : i])
+            if not reported and marks:
+                start, end = spans[i]
+                after = bisect.bisect_left(marks, end)
+                reported = bisect.bisect_left(marks, start) % 2 == 1 and after < len(marks) and marks[after] - end < 60
+            if reported:
                 quoted.add(i)
         direct = sum(1 for i, e, _ in found if e == 0 and i not in quoted)
         near = sum(1 for i, e, _ in found if e > 0 and i not in quoted)
-        return [float(direct > 0), np.log1p(direct), float(near > 0), np.log1p(near), np.log1p(len(quoted)), min(5.0, 100 * (direct + len(quoted)) / len(words))]
+        weigh = lambda terms: min(3.0, sum(self.odds[t] for t in terms) / 10) if self.odds else 0.0
+        exact = {t for i, e, t in found if e == 0 and i not in quoted}
+        return [
+            float(direct > 0), np.log1p(direct), float(near > 0), np.log1p(near), np.log1p(len(quoted)), min(5.0, 100 * (direct + len(quoted)) / len(words)),
+            weigh(exact), weigh({t for i, e, t in found if e > 0 and i not in quoted} - exact)]
 
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, seen: tuple | None = None) -> float:
         if self.weights is None:
             return 0.0
-        z = self.weights[0] + float(np.dot(self.weights[1:], self.features(text)))
+        z = self.weights[0] + float(np.dot(self.weights[1:], self.features(text, seen)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -196,7 +207,7 @@ def choose(doc_terms: list[set[str]], precise: set[str]) -> list[str]:
     chosen, seen, prefixes, covers = [], Counter(), set(), defaultdict(list)
 
     def gone(t: str) -> bool:
-        """Whether t is a form of a chosen term, or only in documents of one."""
+        """Whether t has a chosen stem, or is only in documents of a chosen term."""
         stem = t.rstrip("*")
         return any(stem[:k] in prefixes for k in range(1, len(stem) + 1)) or any(holds[t] <= c for c in covers[next(iter(holds[t]))])
 
@@ -226,8 +237,8 @@ def choose(doc_terms: list[set[str]], precise: set[str]) -> list[str]:
         for d in holds[best]:
             seen[d] += 1
             covers[d].append(holds[best])
-        stem = word.rstrip("*")
-        prefixes.add(stem[: max(4, len(stem) - 3)])
+        if word.endswith("*"):
+            prefixes.add(word[:-1])
     return chosen
 
 
@@ -271,15 +282,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model:
 
     in_clean = map_arrow(train.filter(lexical & (F.col("toxic") == 0)).select("text"), clean, "term string, n long", rows=20_000)
     against = {r.term: r.n for r in in_clean.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    rate = min(max_docs, sizes[1]) / min(max_docs, sizes[0])
-    precise = {t for t, n in top.items() if n / (n + against.get(t, 0) * rate) >= MIN_PRECISION and against.get(t, 0) <= 0.02 * n}
+    rate = min(max_docs, sizes[0]) / min(max_docs, sizes[1])
+    odds = {t: (n + 0.5) / (against.get(t, 0) + 0.5) * rate for t, n in top.items()}
+    precise = {t for t, x in odds.items() if x >= MIN_ODDS}
     keep = docs.sparkSession.sparkContext.broadcast(frozenset(precise))
 
     def narrow(batch: pa.RecordBatch) -> dict:
         return {"terms": pa.array([sorted(terms_of(t) & keep.value) if t else [] for t in batch.column(0).to_pylist()], pa.list_(pa.string()))}
 
     held = [set(r.terms) for r in map_arrow(toxic, narrow, "terms array<string>").collect()]  # at most about max_docs rows
-    model = Model(choose(held, precise))
+    terms = choose(held, precise)
+    model = Model(terms, [float(np.log(odds[t])) for t in terms])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batch: pa.RecordBatch) -> dict:
@@ -299,12 +312,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         m, texts = sent.value, batch.column(1).to_pylist()
-        found = [m.hits(t)[0] if t else [] for t in texts]
+        seen = [m.hits(t) if t else ([], []) for t in texts]
         return {
             "doc_id": batch.column(0),
-            "score": [m.score(t) for t in texts],
-            "n_hits": [len(f) for f in found],
-            "terms": pa.array([sorted({m.terms[t] for _, _, t in f}) for f in found], pa.list_(pa.string())),
+            "score": [m.score(t, x) for t, x in zip(texts, seen)],
+            "n_hits": [len(f) for f, _ in seen],
+            "terms": pa.array([sorted({m.terms[t] for _, _, t in f}) for f, _ in seen], pa.list_(pa.string())),
         }
 
     return map_arrow(docs.select("doc_id", F.col("text").cast("string")), run, f"doc_id {kind}, score double, n_hits long, terms array<string>")
