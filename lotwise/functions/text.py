@@ -80,6 +80,11 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(c, "[^A-Za-z0-9 ]", "")), " +", "-")
 
 
+def normalised_name(c: Column) -> Column:
+    """Lower case without accents, years, bracketed parts and repeated spaces, one step after another."""
+    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(fold_accents(c)), r"\([^()]*\)|\[[^\[\]]*\]", " "), r"\b[0-9]{4}\b", " "))
+
+
 def composite_key(*columns: str) -> Column:
     """Parts joined by "_"; a null part is an error."""
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: patterns of a dictionary that may go to every task
+MOST_PATTERNS = 10_000
+
+
 def null_profile(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """(group, column, nulls, percent): one pass over the table for all columns."""
     one = df.groupBy(group).agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
@@ -82,10 +86,31 @@ def reconcile_totals(detail: DataFrame) -> DataFrame:
     return t.select("*", share(F.col("auctions") - F.col("mismatches"), "auctions").alias("auction_accuracy"), share(F.col("actual"), "expected").alias("lot_accuracy"))
 
 
+def known_defects(lots: DataFrame) -> DataFrame:
+    """(defect, n): counts of defects that feeds are known for: types in single characters, links without a host, labels as links."""
+    url = F.coalesce(F.col("url"), F.lit(""))
+    rules = {
+        "characters_as_list": (F.size("lot_type") > 1) & F.forall("lot_type", lambda x: F.length(x) <= 1),
+        "relative_url": url.startswith("/"),
+        "label_as_url": (url != "") & ~url.startswith("/") & ~url.rlike("^[a-z]+://"),
+    }
+    counts = lots.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()])
+    return counts.unpivot([], list(rules), "defect", "n")
+
+
+def audit_summary(rows: DataFrame, patterns: DataFrame, columns: Sequence[str], lot: str) -> DataFrame:
+    """(name, patterns, rows, lots) of each name: how many patterns it has, what rows and lots they find."""
+    hits = contains_any(rows, patterns, columns).groupBy("name").agg(F.count("*").alias("rows"), F.count_distinct(lot).alias("lots"))
+    size = patterns.groupBy("name").agg(F.count("*").alias("patterns"))
+    return size.join(hits, "name", "left").select("name", "patterns", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("lots", F.lit(0)).alias("lots"))
+
+
 def contains_any(rows: DataFrame, patterns: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with each name one of whose patterns (name, pattern) is a substring of a column; one row per row and name.
 
-    The patterns are a dictionary of some hundred entries and go to every task.
+    The patterns are a dictionary and go to every task; more than MOST_PATTERNS of them are an error.
     """
+    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     hit = reduce(or_, [F.coalesce(F.col(c).contains(F.col("pattern")), F.lit(False)) for c in columns])
     return rows.join(F.broadcast(patterns), hit).drop("pattern").dropDuplicates()

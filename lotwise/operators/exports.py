@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +69,53 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
-    """CSV with a header, a folder for each value of ``by``; the tasks write side by side."""
-    w = flat(df).write.mode("overwrite").option("header", True)
+BOM, NO_DATA = "\ufeff", "No Data"
+
+
+def write_csv(df: DataFrame, path: str, by: str | None = None, bom: bool = False) -> None:
+    """CSV with a header, a folder for each value of ``by``; the tasks write side by side.
+
+    With ``bom`` each file begins with a byte order mark. Without rows there is one file that says "No Data".
+    """
+    rows = flat(df)
+    if rows.isEmpty():
+        rows, by = df.sparkSession.createDataFrame([("",)], f"`{NO_DATA}` string").coalesce(1), None
+    if bom:
+        rows = rows.withColumnRenamed(rows.columns[0], BOM + rows.columns[0])
+    w = rows.write.mode("overwrite").option("header", True).option("emptyValue", "")
     (w.partitionBy(by) if by else w).csv(path)
 
 
+def select_fields(tables: dict[str, DataFrame], base: str, fields: Sequence[str]) -> list[tuple[str, str]]:
+    """(table, field) of each field, from the first table that has it; unknown fields are left out."""
+    order = [base, *[t for t in tables if t != base]]
+    return [(t, f) for f in fields for t in [next((t for t in order if f in tables[t].columns), None)] if t]
+
+
+def auction_export(auctions: DataFrame, sales: DataFrame) -> DataFrame:
+    """The flat auction export: 10 columns of the auction and 9 of its sales, null where it has none."""
+    s = sales.alias("s")
+    return auctions.alias("a").join(s, F.col("a.external_id") == F.col("s.auction_id"), "left").select(
+        F.col("a.external_id").alias("id"), "auction_title", "auction_house", "city", "continent", "auction_type", "start_date", "end_date", "year", "quarter",
+        "lots", "sold", "currency", "total_low_estimate", "total_high_estimate", "total_sales", "volume_sold", "top_lot", "single_cellar")
+
+
+def merge_records(left: DataFrame, right: DataFrame, on: Column, keep: str) -> DataFrame:
+    """Joined records: of columns with one name the right side's stays; the left side's ``keep`` is there as left_<keep>."""
+    l, r = left.alias("l"), right.alias("r")
+    cols = [F.col(f"l.{keep}").alias(f"left_{keep}"), *[F.col(f"l.{c}") for c in left.columns if c not in right.columns], *[F.col(f"r.{c}") for c in right.columns]]
+    return l.join(r, on).select(*cols)
+
+
+def lot_display(lots: DataFrame) -> DataFrame:
+    """What a list of lots shows: texts for type and estimate range, the price or "Unsold"."""
+    text = lambda c: F.format_number(F.col(c), 0)
+    estimate = F.when(F.col("low_estimate").isNotNull() & F.col("high_estimate").isNotNull(), F.concat_ws(" - ", text("low_estimate"), text("high_estimate")))
+    return lots.select(
+        F.col("external_id").alias("id"), F.col("lot_name").alias("name"), format_array("lot_type").alias("type"), estimate.alias("estimate"),
+        F.when(F.coalesce("sold", F.lit(False)) & F.col("end_price").isNotNull(), F.concat_ws(" ", "original_currency", text("end_price"))).otherwise("Unsold").alias("price"))
+
+
 def write_report(summary: DataFrame, results: DataFrame, path: str) -> None:
     """JSON lines: the summary's rows, and the results with their nested columns."""
     summary.write.mode("overwrite").json(f"{path}/summary")

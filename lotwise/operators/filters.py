@@ -78,6 +78,35 @@ def apply_filters(df: DataFrame, filters: Sequence[Filter], strict: bool = False
     return df if c is None else df.filter(c)
 
 
+def filter_related(df: DataFrame, filters: Sequence[Filter], related: dict[str, tuple[DataFrame, str, str]], strict: bool = False) -> DataFrame:
+    """Filters on df's own fields, and on fields of related tables (name -> (table, df's key, the table's key)) that are
+    not joined: there a row must have a related row that meets them. A field belongs to the first table that has it."""
+    own = [f for f in filters if f.field in df.columns]
+    left = [f for f in filters if f.field not in df.columns]
+    out = apply_filters(df, own, strict)
+    for table, key, other in related.values():
+        mine = [f for f in left if f.field in table.columns]
+        left = [f for f in left if f.field not in table.columns]
+        c = compile_filters(table, mine, strict)
+        if c is not None:
+            keys = table.filter(c).select(F.col(other).alias("_related")).distinct()
+            out = out.join(keys, F.col(key) == F.col("_related"), "left_semi")
+    if strict and left:
+        raise ValueError(f"no such field: {left[0]}")
+    return out
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in a skip list (a table of one column)."""
+    skip = ids.select(F.col(ids.columns[0]).alias("_skip")).filter("_skip is not null").distinct()
+    return df.join(skip, F.col(key) == F.col("_skip"), "left_anti")
+
+
+def random_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """n random rows, others each time without a seed."""
+    return df.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(n)
+
+
 def order_columns(df: DataFrame, fields: Sequence[str]) -> list[Column]:
     """"-field" sorts down; nulls last going up, first going down; unknown fields are left out."""
     known = [f for f in fields if f.lstrip("-") in df.columns]

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lotwise.functions.fuzzy import weighted_ratio_of
 from lotwise.functions.text import clean_title, map_name, standardize
 from lotwise.operators import rules
+from lotwise.sources import scratch
 
 K1, B = 1.5, 0.75
 EXACT, MULTI = 0.85, 0.7
@@ -68,6 +69,14 @@ def retrieve(queries: DataFrame, query_id: str, text: Column, index: DataFrame,
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(query_id, "doc", "bm25", "rank")
 
 
+def matching_all(queries: DataFrame, query_id: str, text: Column, docs: DataFrame, id_col: str, doc_text: Column, stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
+    """(query_id, doc) of all documents that hold every term of a query; nothing is ranked."""
+    q = queries.select(F.col(query_id), F.array_distinct(tokens(text, stopwords)).alias("words")).select(query_id, F.size("words").alias("n_terms"), F.explode("words").alias("term"))
+    held = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(tokens(doc_text, stopwords))).alias("term"))
+    both = held.join(q, "term").groupBy(query_id, "doc").agg(F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
+    return both.filter("found = n_terms").select(query_id, "doc")
+
+
 def base_score(bm25: Column, query: str, name: str) -> Column:
     """0.7 of the damped BM25 score and 0.3 of the better fuzzy ratio, to the name or to its mapped form."""
     damped = F.log1p(bm25) / (F.log1p(bm25) + 1)
@@ -75,17 +84,26 @@ def base_score(bm25: Column, query: str, name: str) -> Column:
     return 0.7 * damped + 0.3 * fuzzy / 100
 
 
-def rerank(score: Column) -> Column:
-    """Bonuses and deductions for producer, label, sub-region and site; never below 0."""
+def producer_bonus() -> Column:
     text = rules.text
     producer = weighted_ratio_of(F.lower(text("c_producer_name")), F.col("producer_clean")) / 100
-    by_producer = F.when(text("producer_clean") == "", 0.0).when(producer >= 0.95, 0.02).when(producer < 0.80, -0.05).otherwise(0.0)
+    return F.when(text("producer_clean") == "", 0.0).when(producer >= 0.95, 0.02).when(producer < 0.80, -0.05).otherwise(0.0)
+
+
+def name_bonus() -> Column:
+    """What depends on the name and the catalogue row alone: label, sub-region and site."""
+    text = rules.text
     label = F.lower(text("c_classification"))
     main = label.contains("premier grand cru") | label.contains("premier cru") | label.rlike(r"\d+eme cru classe")
     second = lambda c: reduce(or_, [F.lower(c).contains(w) for w in SECOND_WINES])
     by_label = F.when(second(F.col("wine_name")), 0.0).when(main, 0.02).when(second(text("c_wine")) | second(text("c_display_name")), -0.02).otherwise(0.0)
     near = lambda c, least, gain: F.when((text(c) != "") & (weighted_ratio_of(F.col("wine_name"), standardize(text(c))) >= least), gain).otherwise(0.0)
-    return F.greatest(F.lit(0.0), score + by_producer + by_label + near("c_sub_region", 90, 0.04) + near("c_site", 80, 0.02))
+    return by_label + near("c_sub_region", 90, 0.04) + near("c_site", 80, 0.02)
+
+
+def rerank(score: Column) -> Column:
+    """Bonuses and deductions for producer, label, sub-region and site; never below 0."""
+    return F.greatest(F.lit(0.0), score + name_bonus() + producer_bonus())
 
 
 CATALOGUE = ("display_name", "producer_title", "producer_name", "wine", "country", "region", "sub_region", "site", "colour", "classification", "lwin", "reference")
@@ -113,8 +131,13 @@ def match(requests: DataFrame, catalogue: DataFrame, limit: int = 50, topk: int
     names = able.select("wine_name").distinct()
     found = retrieve(names, "wine_name", F.col("wine_name"), index, limit, stem=stem)
     rows = known.select(F.col("id").alias("doc"), *[F.col(c).alias(f"c_{c}") for c in CATALOGUE], clean_title(F.col("display_name")).alias("c_clean"))
-    pairs = able.join(found, "wine_name").join(rows, "doc").filter(rules.standard())
-    scored = pairs.withColumn("score", rerank(base_score(F.col("bm25"), "wine_name", "c_clean"))).withColumn("code", catalogue_code("c_lwin", "c_reference"))
+    # names repeat: what a name and a catalogue row give is found once, in a table of its own, and joined to the requests
+    named = found.join(rows, "doc").withColumn("name_score", base_score(F.col("bm25"), "wine_name", "c_clean") + name_bonus())
+    path = scratch.folder(requests.sparkSession, "named")
+    named.write.parquet(path)
+    named = requests.sparkSession.read.schema(named.schema).parquet(path)
+    pairs = able.join(named, "wine_name").filter(rules.standard())
+    scored = pairs.withColumn("score", F.greatest(F.lit(0.0), F.col("name_score") + producer_bonus())).withColumn("code", catalogue_code("c_lwin", "c_reference"))
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "rank", "doc")
     best = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= topk)
     item = F.struct("place", "score", "code", F.struct(F.col("doc").alias("id"), F.col("c_display_name").alias("display_name"), F.col("c_producer_name").alias("producer_name"), F.col("c_region").alias("region")).alias("item"))

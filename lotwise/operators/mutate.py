@@ -15,6 +15,11 @@ def newest(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     return best.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def append(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """Bulk append: the rows' named columns as further files of a table; partitions take the place of chunks."""
+    rows.select(*columns).write.mode("append").parquet(path)
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
     """existing with incoming's rows in place of those with the same key; of repeated incoming keys the last by order."""
     new = newest(incoming, key, order).drop(order) if order else incoming

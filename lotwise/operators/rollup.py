@@ -64,3 +64,9 @@ def majority(df: DataFrame, key: str, value: str, position: str) -> DataFrame:
 
 def top_values(df: DataFrame, value: str, n: int = 200, unknown: str = "(unknown)") -> DataFrame:
     return df.groupBy(F.coalesce(value, F.lit(unknown)).alias(value)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(n)
+
+
+def run_stats(rows: DataFrame, upserted: Column) -> DataFrame:
+    """(processed, upserted, failed) of a run's rows, as one row."""
+    ok = F.coalesce(upserted, F.lit(False))
+    return rows.agg(F.count("*").alias("processed"), F.count_if(ok).alias("upserted"), F.count_if(~ok).alias("failed"))

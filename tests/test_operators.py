@@ -192,3 +192,32 @@ def test_fx_feed_bodies_are_bounded(spark, tmp_path, monkeypatch):
     got = texts.a20_fx_feed(spark, str(tmp_path)).collect()
     assert [(r.date, r.rates) for r in got] == [("1970-01-01", 19999.0)]
     assert sum(sizes) == 20_000 * len("PointInTime") and max(sizes) <= 2 * texts.POINTS * len("PointInTime")
+
+
+def test_csv_without_rows_and_with_a_mark(spark, tmp_path):
+    none = spark.createDataFrame([], "a int, b string")
+    exports.write_csv(none, str(tmp_path / "none"))
+    assert [p.read_text().splitlines()[0] for p in (tmp_path / "none").glob("*.csv") if p.read_text()] == ["No Data"]
+    exports.write_csv(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "some"), bom=True)
+    assert {p.read_text().splitlines()[0] for p in (tmp_path / "some").glob("*.csv") if p.read_text()} == {"﻿a,b"}
+
+
+def test_filter_on_a_related_table(spark):
+    from lotwise.operators.filters import Filter, filter_related
+
+    auctions = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id int, house string")
+    lots = spark.createDataFrame([(1, 5), (1, 50), (2, 50), (3, None)], "auction int, price int")
+    related = {"lots": (lots, "id", "auction")}
+    assert sorted(r.id for r in filter_related(auctions, [Filter("price", ">", 10)], related).collect()) == [1, 2]
+    assert [r.id for r in filter_related(auctions, [Filter("price", ">", 10), Filter("house", "=", "B")], related).collect()] == [2]
+    assert filter_related(auctions, [Filter("nothing", "=", 1)], related).count() == 3
+
+
+def test_too_many_patterns_are_an_error(spark):
+    import pytest
+
+    from lotwise.operators import checks
+
+    many = spark.range(checks.MOST_PATTERNS + 1).selectExpr("'n' as name", "cast(id as string) as pattern")
+    with pytest.raises(ValueError):
+        checks.contains_any(spark.createDataFrame([("a",)], "t string"), many, ["t"])
