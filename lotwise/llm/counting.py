@@ -10,6 +10,6 @@ PART = 1 << 16
 
 
 def table_parts(total: np.ndarray) -> list[tuple[int, bytes]]:
-    """A counting table cut into compressed parts of counts up to 255, empty ones left out."""
+    """A counting table cut into compressed parts, empty ones left out."""
     cut = ((k, total[k * PART : (k + 1) * PART]) for k in range(len(total) // PART))
-    return [(k, zlib.compress(np.minimum(c, 255).astype(np.uint8).tobytes(), 1)) for k, c in cut if c.any()]
+    return [(k, zlib.compress(c.astype("<u4").tobytes(), 1)) for k, c in cut if c.any()]
