@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from lotwise.functions.fuzzy import weighted_ratio_of
 from lotwise.functions.text import clean_title, map_name, standardize
-from lotwise.operators import rules
+from lotwise.operators import filters, mutate, rules
 from lotwise.sources import scratch
 
 K1, B = 1.5, 0.75
@@ -145,6 +145,20 @@ def match(requests: DataFrame, catalogue: DataFrame, limit: int = 50, topk: int
     return classify(requests.select("request_id").join(listed, "request_id", "left"))
 
 
+def match_job(requests: DataFrame, catalogue: DataFrame, existing: DataFrame, mode: str = "only_missing", n: int = 1000, seed: int = 42, **options) -> DataFrame:
+    """The table of results (request_id, matched, ...) after a run: those of the run in place of what was there.
+
+    mode: "all" requests, those "only_missing" in existing, or a "sample" of n of them.
+    """
+    if mode == "only_missing":
+        requests = requests.join(existing.select("request_id"), "request_id", "left_anti")
+    elif mode == "sample":
+        requests = filters.sample_rows(requests, n, "request_id", seed)
+    elif mode != "all":
+        raise ValueError(f"no such mode: {mode}")
+    return mutate.upsert(existing, match(requests, catalogue, **options), ["request_id"])
+
+
 def classify(found: DataFrame) -> DataFrame:
     """One class and the matches that go with it: the best one if it is exact, all if several may be meant, else none."""
     top = F.get("found", F.lit(0)).score

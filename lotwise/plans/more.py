@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotwise.functions import text
-from lotwise.operators import checks, exports, filters, mutate, rollup
+from lotwise.functions import parse, text
+from lotwise.operators import api, checks, exports, filters, matching, mutate, rollup
 from lotwise.operators.filters import Filter
 from lotwise.plans.market import query
+from lotwise.plans.texts import requests
 from lotwise.sources import scratch
 from lotwise.sources import views as v
 
@@ -130,3 +131,53 @@ def m7_known_defects(s, d):
     kind = F.when(F.col("p_size") % 4 == 1, F.array(F.lit("W"), F.lit("i"), F.lit("n"), F.lit("e"))).otherwise(F.array("p_type"))
     url = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("/lot/"), "p_partkey")).when(F.col("p_partkey") % 3 == 1, "See lot").otherwise(F.concat(F.lit("https://x.example/"), "p_partkey"))
     return checks.known_defects(v.read(s, d, "part").select(kind.alias("lot_type"), url.alias("url")))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size * 100 END AS DOUBLE) AS low, CAST(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size * 1000 END AS DOUBLE) AS high FROM part")
+def j15_estimate_range(s, d):
+    k, low, high = F.col("p_partkey") % 3, F.col("p_size") * 100, F.format_number(F.col("p_size") * 1000, 0)
+    t = F.when(k == 0, F.concat(F.lit("12 Flaschen 1998, Nr. 5 - "), "p_size")).when(k == 1, F.concat(F.lit("6 Flaschen. Schätzpreis CHF "), low, F.lit(" - "), F.replace(high, F.lit(","), F.lit("'")))).otherwise(F.concat(F.lit("Estimate: "), low, F.lit(" to "), high))
+    return v.read(s, d, "part").select("p_partkey", parse.estimate_range(t).alias("e")).select("p_partkey", "e.low", "e.high")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size ELSE 1 END AS qty, CAST(CASE p_partkey % 3 WHEN 0 THEN p_size * 750 WHEN 1 THEN p_size * 1500 ELSE 750 END AS DOUBLE) AS ml FROM part")
+def j6_secondary_title(s, d):
+    k = F.col("p_partkey") % 3
+    t = F.when(k == 0, F.concat("p_size", F.lit(" bottles per lot"))).when(k == 1, F.concat("p_size", F.lit(" Magnums per lot"))).otherwise("slightly soiled labels")
+    return v.read(s, d, "part").select("p_partkey", parse.lot_volume(t).alias("g")).select("p_partkey", "g.qty", "g.ml")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN array_to_string(range(1980, 1980 + p_size % 7 + 1), ',') WHEN 1 THEN '1985,' || (1990 + p_size % 9) ELSE '' END AS vintages FROM part""")
+def j13_year_ranges(s, d):
+    k = F.col("p_partkey") % 3
+    t = F.when(k == 0, F.concat(F.lit("vertical 1980-"), F.lit(1980) + F.col("p_size") % 7)).when(k == 1, F.concat(F.lit("from "), F.lit(1990) + F.col("p_size") % 9, F.lit(", 1985 and the range 1960 - 1970"))).otherwise("NV 12345")
+    return v.read(s, d, "part").select("p_partkey", F.array_join(parse.vintages(t).cast("array<string>"), ",").alias("vintages"))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_partkey AS id FROM lineitem JOIN part ON l_partkey = p_partkey), e AS (SELECT p_partkey AS id, 'not_match' AS matched FROM part WHERE p_partkey % 5 <> 0)
+SELECT (SELECT count(*) FROM e) + (SELECT count(*) FROM r WHERE id NOT IN (SELECT id FROM e)) AS n, (SELECT count(*) FROM e) AS kept""")
+def k9_only_missing(s, d):
+    """A run over the requests without a result: earlier results stay as they are."""
+    asked, known = requests(s, d), v.catalogue(s, d).withColumn("country", F.lit("France"))
+    before = v.read(s, d, "part").filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("request_id"))
+    results = matching.match(asked.limit(0), known)
+    existing = before.select("request_id", F.lit("earlier").alias("matched"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in results.schema if f.name not in ("request_id", "matched")])
+    got = matching.match_job(asked, known, existing)
+    return got.agg(F.count("*").alias("n"), F.count_if(F.col("matched") == "earlier").alias("kept"))
+
+
+@query(v.sql("auctions", "lots", "lot_items") + """, f AS (SELECT * FROM lots WHERE sold AND end_price > 20000 AND external_id IN (SELECT lot_id FROM lot_items WHERE vintage = '1995' OR lot_producer = 'Brand#1') AND auction_id IN (SELECT external_id FROM auctions WHERE year >= 1994)),
+pg AS (SELECT * FROM f ORDER BY end_price DESC, external_id LIMIT 30 OFFSET 30) SELECT external_id, auction_house, n FROM pg JOIN auctions ON auction_id = auctions.external_id JOIN (SELECT lot_id, count(*) AS n FROM lot_items GROUP BY ALL) ON lot_id = pg.external_id""".replace("SELECT external_id, auction_house", "SELECT pg.external_id, auction_house"))
+def p_lot_query(s, d):
+    asked = [Filter("sold", "=", True), Filter("end_price", ">", 20000), Filter("vintage", "=", "1995"), Filter("lot_producer", "~", "Brand#1"), Filter("year", ">=", 1994)]
+    page, _ = api.lot_query(v.lots(s, d), v.lot_items(s, d), v.auctions(s, d), asked, ["-end_price"], 2)
+    return page.select("external_id", F.col("auction.auction_house").alias("auction_house"), F.size("lot_items").cast("long").alias("n"))
+
+
+@query(v.sql("auctions", "lots") + """, sl AS (SELECT auction_id, count(*) AS lots FROM lots GROUP BY ALL), f AS (SELECT * FROM auctions WHERE external_id IN (SELECT auction_id FROM sl WHERE lots >= 3) AND external_id IN (SELECT auction_id FROM lots WHERE sold))
+SELECT count(*) AS n FROM f""")
+def p_auction_count(s, d):
+    lots = v.lots(s, d).select("auction_id", "sold")
+    sales = lots.groupBy("auction_id").agg(F.count("*").alias("lots"))
+    _, n = api.auction_query(v.auctions(s, d), sales, lots.withColumnRenamed("sold", "lot_sold"), [Filter("lots", ">=", 3), Filter("lot_sold", "=", True)])
+    return n
