@@ -11,6 +11,7 @@ from lotwise.plans.market import query
 from lotwise.plans.texts import requests
 from lotwise.sources import scratch
 from lotwise.sources import views as v
+from lotwise.streaming import items
 
 
 @query("SELECT n_name AS city, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -181,3 +182,54 @@ def p_auction_count(s, d):
     sales = lots.groupBy("auction_id").agg(F.count("*").alias("lots"))
     _, n = api.auction_query(v.auctions(s, d), sales, lots.withColumnRenamed("sold", "lot_sold"), [Filter("lots", ">=", 3), Filter("lot_sold", "=", True)])
     return n
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (WHERE event_type <> 'error' AND value >= 1) AS upserted, count(*) FILTER (WHERE NOT (event_type <> 'error' AND value >= 1)) AS failed FROM events")
+def n7_failure_counts(s, d):
+    """Micro-batches count what they take and what fails."""
+    out = scratch.folder(s, "stream")
+    stream = items.landed(s, d, "events.parquet", v.read(s, d, "events").schema)
+    items.drain(stream, items.write_accepted(out, (F.col("event_type") != "error") & (F.col("value") >= 1), "event_id"), f"{out}/checkpoint")
+    return s.read.parquet(f"{out}/stats").agg(*[F.sum(c).alias(c) for c in ("processed", "upserted", "failed")])
+
+
+@query("SELECT false AS after_failures, true AS after_clean_run, max(event_id) AS mark FROM events")
+def n6_mark_after_clean_run(s, d):
+    """The mark is stored after a run without failures alone."""
+    schema, said = v.read(s, d, "events").schema, []
+    for accept in (F.col("event_type") != "click", F.lit(True)):
+        out = scratch.folder(s, "stream")
+        items.drain(items.landed(s, d, "events.parquet", schema), items.write_accepted(out, accept, "event_id"), f"{out}/checkpoint")
+        said.append(items.store_mark(s, out, "event_id"))
+    return s.read.parquet(f"{out}/mark").select(F.lit(said[0]).alias("after_failures"), F.lit(said[1]).alias("after_clean_run"), F.col("event_id").alias("mark"))
+
+
+@query("""WITH p AS (SELECT user_id, min(event_id) AS first FROM events WHERE event_type = 'signup' GROUP BY ALL), c AS (SELECT user_id, event_id FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT count(*) FILTER (WHERE first < event_id) AS at_once, count(*) FILTER (WHERE first > event_id) AS at_close, count(*) FILTER (WHERE first IS NULL) AS orphans FROM c LEFT JOIN p USING (user_id)""")
+def n4_late_rows(s, d):
+    """Rows that come before their parent wait and are tried again once at the close."""
+    out = scratch.folder(s, "stream")
+    items.drain(items.landed(s, d, "events.parquet", v.read(s, d, "events").schema), items.write_batches(f"{out}/rows"), f"{out}/checkpoint")
+    e = s.read.parquet(f"{out}/rows")
+    parents = e.filter("event_type = 'signup'").groupBy("user_id").agg(F.min("event_id").alias("first"))
+    rows = e.filter("event_type IN ('click', 'purchase')").join(parents, "user_id", "left")
+    known = F.coalesce(F.col("first") < F.col("event_id"), F.lit(False))
+    late, orphans = items.retry(rows.filter(~known), parents, "user_id")
+    kinds = rows.filter(known).select(F.lit(0).alias("k")).union(late.select(F.lit(1))).union(orphans.select(F.lit(2)))
+    return kinds.agg(*[F.count_if(F.col("k") == i).alias(n) for i, n in enumerate(("at_once", "at_close", "orphans"))])
+
+
+@query(v.sql("lots", "lot_items") + """, l AS (SELECT auction_id, count(*) AS lots, count(*) FILTER (WHERE sold) AS sold, CAST(sum(low_estimate) AS BIGINT) AS low, CAST(sum(CASE WHEN sold THEN trunc(end_price) ELSE 0 END) AS BIGINT) AS total FROM lots GROUP BY ALL),
+i AS (SELECT auction_id, count(DISTINCT lot_producer) <= 1 AS single_cellar FROM lot_items GROUP BY ALL) SELECT auction_id, lots, sold, low, total, single_cellar FROM l JOIN i USING (auction_id)""")
+def n3_auction_stream(s, d):
+    """The auction's sales as a running aggregate over the stream of its lots, as they stand at the close."""
+    part = v.read(s, d, "part").select("p_partkey", "p_brand", "p_size")
+    stream = items.landed(s, d, "lineitem.parquet", v.read(s, d, "lineitem").schema).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    sold, producer = F.col("l_returnflag") == "R", F.when(F.col("p_size") % 7 != 0, F.col("p_brand"))
+    out = scratch.folder(s, "stream")
+    totals = items.running(
+        stream.withColumnRenamed("l_orderkey", "auction_id"), ["auction_id"], F.count("*").alias("lots"), F.count_if(sold).alias("sold"),
+        F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("long")).alias("low"), F.sum(F.when(sold, F.col("l_extendedprice").cast("long")).otherwise(0)).alias("total"),
+        F.coalesce(F.min(producer) == F.max(producer), F.lit(True)).alias("single_cellar"))
+    items.drain(totals, items.write_batches(f"{out}/rows"), f"{out}/checkpoint", "update")
+    return items.latest_batches(s, f"{out}/rows", ["auction_id"])

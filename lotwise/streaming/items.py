@@ -39,6 +39,27 @@ def write_batches(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def write_accepted(path: str, accept: Column, key: str) -> Callable[[DataFrame, int], None]:
+    """Batches whose accepted rows are kept under path/rows, and a row of counts for each batch under path/stats:
+    processed, upserted, failed and the highest key. A repeated batch takes its own place."""
+    def write(df: DataFrame, batch: int) -> None:
+        ok = F.coalesce(accept, F.lit(False))
+        df.filter(ok).write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        counts = df.agg(F.count("*").alias("processed"), F.count_if(ok).alias("upserted"), F.count_if(~ok).alias("failed"), F.max(key).alias("last"))
+        counts.write.mode("overwrite").parquet(f"{path}/stats/batch={batch}")
+
+    return write
+
+
+def store_mark(spark: SparkSession, path: str, key: str) -> bool:
+    """Store the highest key of a run under path/mark, if none of its rows failed; what was stored before stays otherwise."""
+    total = spark.read.parquet(f"{path}/stats").agg(F.sum("failed").alias("failed"), F.max("last").alias(key))
+    if total.first().failed:
+        return False
+    total.select(key).write.mode("overwrite").parquet(f"{path}/mark")
+    return True
+
+
 def running(stream: DataFrame, group: list[str], *aggregates: Column) -> DataFrame:
     """A running aggregate, to be read in update mode."""
     return stream.groupBy(*group).agg(*aggregates)
