@@ -11,6 +11,11 @@ words at the start of a sentence are names too, a run of names is one placeholde
 fewer tokens than WIDTH are looked for at their own lengths anywhere in a document. Windows of placeholders alone, and
 short items with less than two words, match with the same values only. The SQL twin has the first form.
 
+Documents are looked through in two steps. An alignment of an item needs a number of its windows, so it holds one of the
+others' complement: for so many windows of each item, those with most such tokens, GRAM or fewer tokens in a row are
+taken that are the same in both forms. Only documents with such a gram get windows of both forms. Where a window has no
+such token, all documents do.
+
 Cases: null and empty texts, and texts without tokens, have no windows and match nothing; repeated rows of a document
 or item count once; rows that share a doc_id are judged together, as are items that share an item_id; a null id is
 an id like any other; with an empty table on either side nothing matches.
@@ -20,10 +25,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lotwise.llm.common import saved, table
 
 WIDTH, RUN, MAX_SLOTS = 8, 6, 3
+#: most tokens in a row that tell which documents are looked at
+GRAM = 5
 #: the benchmark's windows are broadcast up to so many rows (16 bytes and the slots each), else both sides shuffle
 BROADCAST_ROWS = 1_000_000
 #: parts that a window hash of the documents is spread over in the shuffled join
@@ -32,12 +40,14 @@ UNITS = "kg|km|cm|mm|mg|ml|lb|lbs|oz|ft|mi|mph|kwh|kw|hz|gb|mb|hours?|hrs?|minut
 MARK_UNIT, MARK_START = "\x02", "\x01"
 TOKEN = rf"[{MARK_START}{MARK_UNIT}]?[\p{{L}}\p{{M}}]+|[0-9]+(?:[.,][0-9]+)*"
 SENTENCE = r"(^|[.!?:\n][\"')\]]*[\x20\n]+|\n)(\p{Lu})"
+#: the same places, found without going back: white space is one match from its start; the plain form is DuckDB's
+SENTENCE_ONCE = r"(^|[.!?:][\"')\]]*+[\x20\n]++|\n[\"')\]]++[\x20\n]++|(?<![\x20\n])\x20*+\n[\x20\n]*+)(\p{Lu})"
 UNIT = rf"([0-9])[\x20]?((?i:{UNITS}))([^\p{{L}}]|$)"
 
 
 def raw_tokens(text: Column) -> Column:
     text = F.coalesce(text.cast("string"), F.lit(""))
-    started = F.regexp_replace(text, SENTENCE, f"$1{MARK_START}$2")
+    started = F.regexp_replace(text, SENTENCE_ONCE, f"$1{MARK_START}$2")
     united = F.when(started.rlike("[0-9]"), F.regexp_replace(started, UNIT, f"$1 {MARK_UNIT}$2$3")).otherwise(started)
     return F.regexp_extract_all(united, F.lit(TOKEN), F.lit(0))
 
@@ -73,7 +83,7 @@ def folded(c: DataFrame, first: bool = True) -> DataFrame:
     # a run goes on with a name that doesn't start a sentence
     goes_on = F.transform("g", lambda x, i: (x == "@") & (i > 0) & (F.get("g", i - 1) == "@") & ~F.get("raw", i).startswith(MARK_START))
     c = c.withColumn("goes_on", F.when(F.array_contains("g", "@"), goes_on))
-    at = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: ~F.get("goes_on", i))
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("g") - 1, F.lit(0))), lambda i: ~F.get("goes_on", i))
     c = c.withColumn("at", F.when(F.array_contains("goes_on", True), at))
     run = lambda i, k: F.array_join(F.slice("bare", i + 1, F.coalesce(F.get("at", k + 1), F.size("g")) - i), " ")
     c = c.withColumns({
@@ -86,37 +96,65 @@ def folded(c: DataFrame, first: bool = True) -> DataFrame:
     })
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str = "text", lengths: list[int] | None = None, first: bool = True) -> DataFrame:
+def chained(c: DataFrame, hashes: str) -> DataFrame:
+    """c with the columns <hashes>_1 to <hashes>_GRAM: hashes of so many tokens in a row, by the place of the first."""
+    join = lambda n, m: F.zip_with(f"{hashes}_{n}", F.slice(f"{hashes}_{m}", n + 1, 1 << 30), lambda a, b: F.xxhash64(a, b))
+    c = c.withColumn(f"{hashes}_1", F.col(hashes))
+    for n, m in ((1, 1), (2, 1), (2, 2), (4, 1)):
+        c = c.withColumn(f"{hashes}_{n + m}", join(n, m))
+    return c
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str = "text", lengths: list[int] | None = None, first: bool = True, grams: bool = False) -> DataFrame:
     """(id, form, pos, h, slots): slots is the raw values of a window's placeholders joined by \\x01, '' if it has none.
+    With ``grams`` also gram (n, h): the longest gram in the window that is the same in both forms, null if there is none.
 
     Form 0 has the canonical tokens as they are. In form 1 starts of sentences are names and runs of names are one; there
     a text under WIDTH tokens is one window, or with ``lengths`` (of short items) each text has windows of these lengths.
     """
-    c = docs.select(id_col, raw_tokens(F.col(text_col)).alias("raw")).withColumn("can", F.transform("raw", canonical)).filter(F.size("can") > 0)
-    c = folded(c, first).select(
-        id_col, "hs2", "sl2", F.transform("can", lambda x: F.xxhash64(x)).alias("hs"),
+    c = docs.select(id_col, raw_tokens(F.col(text_col)).alias("raw")).withColumn("can", F.transform("raw", canonical))
+    # names and what starts a sentence differ between the forms
+    c = folded(c, first)
+    if grams:
+        c = c.withColumn("same2", F.zip_with("fg", F.coalesce("at", F.sequence(F.lit(0), F.greatest(F.size("fg") - 1, F.lit(0)))), lambda x, i: (x != "@") & ~F.get("raw", i).startswith(MARK_START)))
+    c = c.select(
+        id_col, "hs2", "sl2", *(["same2"] if grams else []), F.transform("can", lambda x: F.xxhash64(x)).alias("hs"),
         F.when(F.exists("can", is_slot), F.zip_with("can", "raw", lambda x, r: F.when(is_slot(x), r))).alias("sl"),
     )
 
+    if grams:
+        c = chained(chained(c, "hs"), "hs2")
+
+    def gram(hs: str, i: Column, n: Column) -> Column:
+        """The longest gram of the window of n tokens at i; all tokens of form 0 will do."""
+        def at(k: int, o: int) -> Column:
+            fits = n >= o + k
+            if hs == "hs2":
+                fits = fits & F.forall(F.slice("same2", i + o + 1, k), lambda x: x)
+            return F.when(fits, F.struct(F.lit(k).alias("n"), F.get(f"{hs}_{k}", i + o).alias("h")))
+
+        return F.coalesce(*[at(k, o) for k in range(GRAM, 0, -1) for o in range(WIDTH - k + 1)]) if grams else F.lit(None)
+
     def hashed(hs: str, i: Column) -> Column:
         return F.xxhash64(*[F.get(hs, i + k) for k in range(WIDTH)])
 
     def slots(sl: str, i: Column, n: int = WIDTH) -> Column:
         return F.when(F.col(sl).isNull(), "").otherwise(F.array_join(F.slice(sl, i + 1, n), "\x01"))
 
-    def row(form: int, i: Column, h: Column, s: Column) -> Column:
-        return F.struct(F.lit(form).alias("form"), i.alias("pos"), h.alias("h"), s.alias("slots"))
+    def row(form: int, i: Column, h: Column, s: Column, n: Column) -> Column:
+        return F.struct(F.lit(form).alias("form"), i.alias("pos"), h.alias("h"), s.alias("slots"), gram("hs2" if form else "hs", i, n).alias("gram"))
 
     def second(i: Column, h: Column, s: Column, n: Column, words: int) -> Column:
         # windows with less words than that say too little as a template: they match with the same values only
         few = (s != "") & (n - F.size(F.split(s, "\x01")) < words)
-        return row(1, i, F.bitwise_not(F.when(few, F.xxhash64(h, s)).otherwise(h)), s)
+        return row(1, i, F.bitwise_not(F.when(few, F.xxhash64(h, s)).otherwise(h)), s, n)
 
     def each(n: Column, make) -> Column:
         return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), make)).otherwise(F.array())
 
     whole = F.when(F.size("hs") < WIDTH, F.xxhash64("hs"))
-    plain = each(F.greatest(F.size("hs") - WIDTH, F.lit(0)), lambda i: row(0, i, F.coalesce(whole, hashed("hs", i)), slots("sl", i)))
+    plain = each(F.greatest(F.size("hs") - WIDTH, F.lit(0)), lambda i: row(0, i, F.coalesce(whole, hashed("hs", i)), slots("sl", i), F.least(F.size("hs"), F.lit(WIDTH))))
+    plain = F.when(F.size("hs") > 0, plain).otherwise(F.array())
     parts = [plain, each(F.size("hs2") - WIDTH, lambda i: second(i, hashed("hs2", i), slots("sl2", i), F.lit(WIDTH), 1))]
 
     def short(n: int) -> Column:
@@ -125,17 +163,38 @@ def windows(docs: DataFrame, id_col: str, text_col: str = "text", lengths: list[
     parts += [short(n) for n in lengths or []]
     if lengths is None:
         own = F.array(second(F.lit(0), F.xxhash64("hs2"), slots("sl2", F.lit(0)), F.size("hs2"), 2))
-        parts.append(F.when(F.size("hs2") < WIDTH, own).otherwise(F.array()))
-    kind = "array<struct<form:int,pos:int,h:bigint,slots:string>>"
-    out = c.select(id_col, F.explode(F.concat(*[p.cast(kind) for p in parts])).alias("w")).select(id_col, "w.form", "w.pos", "w.h", "w.slots")
-    return out.filter((F.col("slots") == "") | (F.col("form") == 1) | (F.size(F.split("slots", "\x01")) <= MAX_SLOTS))
+        parts.append(F.when((F.size("hs2") < WIDTH) & (F.size("hs2") > 0), own).otherwise(F.array()))
+    kind = "array<struct<form:int,pos:int,h:bigint,slots:string,gram:struct<n:int,h:bigint>>>"
+    # explode and a filter on sizes would be pushed below the tokens and have them made twice: the outer form is not
+    out = c.select(id_col, F.concat(*[p.cast(kind) for p in parts]).alias("ws")).select(id_col, F.explode_outer("ws").alias("w")).select(id_col, "w.form", "w.pos", "w.h", "w.slots", *(["w.gram"] if grams else []))
+    return out.filter(F.col("h").isNotNull()).filter((F.col("slots") == "") | (F.col("form") == 1) | (F.size(F.split("slots", "\x01")) <= MAX_SLOTS))
 
 
 def short_lengths(bench: DataFrame) -> list[int]:
     """The numbers of tokens under WIDTH that items have in the second form."""
-    c = bench.select(raw_tokens(F.col("text")).alias("raw")).withColumn("can", F.transform("raw", canonical)).filter(F.size("can") > 0)
+    c = bench.select(raw_tokens(F.col("text")).alias("raw")).withColumn("can", F.transform("raw", canonical))
     sizes = folded(c).select(F.size("fg").alias("n")).union(folded(c, first=False).select(F.size("fg")))
-    return sorted(r.n for r in sizes.filter(F.col("n") < WIDTH).distinct().collect())
+    return sorted(r.n for r in sizes.filter((F.col("n") > 0) & (F.col("n") < WIDTH)).distinct().collect())
+
+
+def suspects(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs (doc_id, text) that hold a gram which every alignment of some item needs one of; items: windows with grams."""
+    # an alignment has RUN windows, or all of a shorter item: one of any (windows - RUN + 1) is among them
+    at = items.groupBy("item_id", "form", "pos").agg(F.min(F.coalesce("gram.n", F.lit(0))).alias("n"))
+    order = Window.partitionBy("item_id", "form").orderBy(F.desc("n"), "pos")
+    ranked = at.withColumns({"k": F.row_number().over(order), "m": F.count("*").over(Window.partitionBy("item_id", "form"))})
+    needed = ranked.filter(F.col("k") <= F.col("m") - F.least(F.lit(RUN), "m") + 1).select("item_id", "form", "pos")
+    needed = needed.select(*[F.col(c).alias("n_" + c) for c in needed.columns])
+    mine = items.join(needed, F.col("item_id").eqNullSafe(F.col("n_item_id")) & (F.col("form") == F.col("n_form")) & (F.col("pos") == F.col("n_pos")))
+    grams = saved(mine.select("gram.n", "gram.h").distinct(), "grams")
+    lengths = sorted((r.n or 0) for r in grams.select("n").distinct().collect())  # at most GRAM + 1 rows
+    if 0 in lengths:
+        return docs
+    c = docs.select("doc_id", F.transform(F.transform(raw_tokens(F.col("text")), canonical), lambda x: F.xxhash64(x)).alias("hs"))
+    c = chained(c, "hs").select("doc_id", F.concat(*[F.col(f"hs_{n}") for n in lengths] or [F.array().cast("array<bigint>")]).alias("gs"))
+    hit = c.select("doc_id", F.explode_outer("gs").alias("h")).join(F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams, "h", "left_semi")
+    found = saved(hit.select(F.col("doc_id").alias("found_id")).distinct(), "suspects")
+    return docs.join(found, docs.doc_id.eqNullSafe(found.found_id), "left_semi")
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, doc_text: str = "text", bench_text: str = "text") -> DataFrame:
@@ -146,10 +205,13 @@ def find_leaks(docs: DataFrame, bench: DataFrame, doc_text: str = "text", bench_
     """
     bench = bench.select("item_id", F.col(bench_text).alias("text"))
     # an item's first word can stand in lower case or as a name in a document: form 2 is form 1 with that word as it is
-    items = windows(bench, "item_id").union(windows(bench, "item_id", first=False).filter("form = 1").withColumn("form", F.lit(2))).dropDuplicates()
+    items = windows(bench, "item_id", grams=True).union(windows(bench, "item_id", first=False, grams=True).filter("form = 1").withColumn("form", F.lit(2)))
+    items = saved(items.dropDuplicates(), "items")
+    docs = suspects(docs.select("doc_id", F.col(doc_text).alias("text")), items)
+    items = items.drop("gram").dropDuplicates()
     size = items.groupBy("item_id", "form").agg(F.count_distinct("pos").alias("item_windows"))
     items = items.select("item_id", "form", F.col("pos").alias("ipos"), "h", F.col("slots").alias("islots"))
-    mine = windows(docs.select("doc_id", F.col(doc_text).alias("text")), "doc_id", lengths=short_lengths(bench)).drop("form")
+    mine = windows(docs, "doc_id", lengths=short_lengths(bench)).drop("form")
     if items.count() <= BROADCAST_ROWS:
         hit = mine.join(F.broadcast(items), "h")
     else:
