@@ -91,3 +91,29 @@ def test_embeddings_recall_and_precision(spark):
         assert (got[10_000 + i].n_links, got[10_000 + i].component_id, got[10_000 + i].kept) == (0, 10_000 + i, True)
     assert got[10_007].component_id == 10_006
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
+def test_embeddings_odd_tables(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert embeddings.near_duplicates(none).count() == 0
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, None), (2, None), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (None, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embeddings.near_duplicates(odd).collect())
+    assert got == [(0, 2, 3), (1, 0, 1), (1, 0, 1), (2, 0, 2), (2, 0, 2), (3, 2, 3), (3, 2, 3)]
+
+
+def test_embeddings_dense_lists_equal_brute_force(spark):
+    """A third of all vectors are near copies of one, which cores count without comparing."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1200, 16))
+    one = rng.normal(size=16)
+    copies = one / np.linalg.norm(one) + 0.02 * rng.normal(size=(600, 16))
+    halo = one / np.linalg.norm(one) + 0.09 * rng.normal(size=(200, 16))
+    v = np.vstack([base, copies, halo])
+    x = v / np.linalg.norm(v, axis=1)[:, None]
+    link = x @ x.T >= 0.9
+    np.fill_diagonal(link, False)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(rows).collect()}
+    found = np.array([got[i].n_links for i in range(len(v))])
+    assert (found <= link.sum(1)).all() and found.sum() >= 0.97 * link.sum()
+    assert len({got[i].component_id for i in range(1200, 1800)}) == 1

@@ -90,3 +90,23 @@ def test_damage_is_found():
     for at in (0, 9, 14, len(data) - 1):
         with pytest.raises(ValueError):
             records.unframe(data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :], 0)
+
+
+def test_clash_and_long_text(spark):
+    long = "word " * 60_000 + "x" * 30_000
+    docs = spark.createDataFrame([(1, long, "i", 1), (2, "a", "i", 1)], "doc_id long, text string, ids string, start int")
+    folder = scratch(spark, "records")
+    back = {r.doc_id: r for r in records.read_records(records.write_records(docs, folder), folder).collect()}
+    assert len(back) == 2 and back[1].start == 0 and back[2].start == len(back[1].ids) // 4
+    assert {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs)).collect()} == {1: long.encode(), 2: b"a"}
+
+
+def test_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    lib, enc = Tokenizer.from_file(P.path("word_bpe_49k.json")), records.word_encoder(P.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    letters = "abcdeéèßµªºÀÉİıΣσςĀÿ×÷'’.,;:!?-12 \n\t\x01e\u0301日😀"
+    for _ in range(3000):
+        t = "".join(rng.choice(letters) for _ in range(rng.randrange(40)))
+        assert np.frombuffer(enc.encode(t), f"<u{enc.width}").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
