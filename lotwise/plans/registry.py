@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from lotwise.plans import houses as _houses  # registers its queries too
 from lotwise.plans import market
-from lotwise.plans import more as _more  # registers its queries too
+from lotwise.plans import more as _more
 from lotwise.plans import texts as _texts
 
 QUERIES: dict = market.QUERIES
 ORACLES: dict[str, str] = market.ORACLES
-__all__ = ["ORACLES", "QUERIES", "_more", "_texts"]
+__all__ = ["ORACLES", "QUERIES", "_houses", "_more", "_texts"]
