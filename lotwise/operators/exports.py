@@ -32,18 +32,42 @@ def auctions_with_sales(auctions: DataFrame, sales: DataFrame) -> DataFrame:
 
 
 def lot_export(lots: DataFrame, auctions: DataFrame, items: DataFrame, matches: DataFrame) -> DataFrame:
-    """Lots of known auctions, with their items and the items' matches where there are any."""
+    """The flat lot export of 31 columns: lots of known auctions, their items and the items' matches where there are any.
+    Columns that a table lacks are null."""
     l, a = lots.alias("l"), auctions.alias("a")
+    of = lambda df, side, c, kind="string": F.col(f"{side}.{c}") if c in df.columns else F.lit(None).cast(kind)
+    codes = format_array("m.lwin_11") if "lwin_11" in matches.columns else F.lit(None).cast("string")
     joined = l.join(a, F.col("l.auction_id") == F.col("a.external_id")).join(items.alias("i"), F.col("l.external_id") == F.col("i.lot_id"), "left")
     joined = joined.join(matches.alias("m"), F.col("i.part_id") == F.col("m.part_id"), "left")
     return joined.select(
-        F.col("l.external_id").alias("id"), F.col("lot_name").alias("name"), format_array("lot_type").alias("type"), format_array("lwin").alias("lwin_7"),
-        "volume", "unit", "original_currency", "start_price", "end_price", "low_estimate", "high_estimate", "sold", "sold_date", "lot_producer", "vintage",
-        "unit_format", "wine_colour", "auction_title", "auction_house", "city", "continent", F.col("start_date").alias("auction_start_date"),
-        F.col("end_date").alias("auction_end_date"), "year", "quarter", "matched",
+        F.col("l.external_id").alias("id"), F.col("l.lot_name").alias("name"), format_array("l.lot_type").alias("type"), format_array("m.lwin").alias("lwin_7"), codes.alias("lwin_11"),
+        *[F.col(f"l.{c}") for c in ("volume", "unit", "original_currency", "start_price", "end_price", "low_estimate", "high_estimate", "sold", "sold_date")],
+        *[of(lots, "l", c).alias(c) for c in ("region", "sub_region", "country", "url")],
+        F.col("i.lot_producer").alias("item_producer"), F.col("i.vintage").alias("item_vintage"), F.col("i.unit_format").alias("item_unit_format"), F.col("i.wine_colour").alias("item_wine_colour"),
+        "a.auction_title", "a.auction_house", F.col("a.city").alias("auction_city"), F.col("a.continent").alias("auction_continent"), F.col("a.start_date").alias("auction_start_date"),
+        F.col("a.end_date").alias("auction_end_date"), F.col("a.year").alias("auction_year"), F.col("a.quarter").alias("auction_quarter"), of(auctions, "a", "url").alias("auction_url"),
     )
 
 
+# fixed values: what a row of the match export takes from the request and from the best catalogue row
+REQUEST_FIELDS = ("lot_external_id", "lot_name", "region", "sub_region", "country", "lot_item_id", "lot_producer", "vintage", "colour")
+MATCHED_FIELDS = ("lwin", "reference", "display_name", "producer_name", "wine", "colour", "region", "sub_region", "country", "classification")
+
+
+def match_rows(requests: DataFrame, results: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The match export of 24 columns: the request, the class, the best codes and score, and the best catalogue row.
+
+    results: request_id, matched, lwin_codes, lwin_11_codes, match_scores and match_ids; columns that a table lacks are null.
+    """
+    r, m, c = requests.alias("r"), results.alias("m"), catalogue.alias("c")
+    first = lambda n: F.get(F.col(f"m.{n}"), F.lit(0)) if n in results.columns else F.lit(None).cast("string")
+    both = m.join(r, F.col("m.request_id") == F.col("r.request_id")).join(c, first("match_ids") == F.col("c.id"), "left")
+    mine = [(F.col(f"r.{n}") if n in requests.columns else F.lit(None).cast("string")).alias(n) for n in REQUEST_FIELDS]
+    theirs = [(F.col(f"c.{n}") if n in catalogue.columns else F.lit(None).cast("string")).alias(f"matched_{n}") for n in MATCHED_FIELDS]
+    found = [F.col("m.matched"), first("lwin_codes").alias("lwin_code"), first("lwin_11_codes").alias("lwin_11_code"), first("match_scores").alias("match_score"), first("match_ids").alias("matched_ref_id")]
+    return both.select(*mine, *found, *theirs)
+
+
 def in_currency(lots: DataFrame, rates: DataFrame, source: str, target: str) -> DataFrame:
     """Prices at the sale date's rate; null where the cache has none (there is no as-of fallback)."""
     r = rates.filter((F.col("rates_from") == source) & (F.col("rates_to") == target)).select(F.col("date").alias("sold_date"), "rates")

@@ -52,8 +52,13 @@ def has_producer() -> Column:
     return F.trim(text("lot_producer")) != ""
 
 
+# fixed values: texts that the two regions' rules take out of a name, in this order and case
+BORDEAUX_OUT = ("château", "chateau", "vintage")
+BURGUNDY_OUT = ("Château le", "Chateau le", "Château", "Chateau")
+
+
 def bordeaux_name(c: str) -> Column:
-    t = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit("")), ("château", "chateau", "vintage"), text(c))
+    t = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit("")), BORDEAUX_OUT, text(c))
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s*\(.*?\)\s*$", ""), r"(?U)\b\d{4}\b", "")
     return F.trim(F.lower(F.regexp_replace(F.replace(F.regexp_replace(t, r"(?U)[^\w\s]", " "), F.lit("_"), F.lit(" ")), r"(?U)\s+", " ")))
 
@@ -64,7 +69,7 @@ def bordeaux() -> Column:
 
 
 def burgundy_name(c: str) -> Column:
-    t = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit("")), ("Château le", "Chateau le", "Château", "Chateau"), text(c))
+    t = reduce(lambda x, w: F.replace(x, F.lit(w), F.lit("")), BURGUNDY_OUT, text(c))
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(t, r"(?U)\s*\(.*?\)\s*$", ""), r"(?U)\b\d{4}\b", "")))
 
 

@@ -213,12 +213,12 @@ def d3_matches_items(s, d):
 
 
 @query(v.sql("auctions", "lots", "lot_items", "matches") + """ SELECT l.external_id AS id, lot_name AS name, array_to_string(lot_type, '; ') AS type, CASE WHEN len(lwin) > 0 THEN array_to_string(lwin, '; ') END AS lwin_7,
- volume, unit, original_currency, start_price, end_price, low_estimate, high_estimate, sold, CAST(sold_date AS VARCHAR) AS sold_date, lot_producer, vintage, unit_format, wine_colour, auction_title, auction_house, city, continent,
- CAST(start_date AS VARCHAR) AS auction_start_date, CAST(end_date AS VARCHAR) AS auction_end_date, year, quarter, matched
-FROM lots l JOIN auctions a ON l.auction_id = a.external_id LEFT JOIN lot_items i ON l.external_id = i.lot_id LEFT JOIN matches m ON i.part_id = m.part_id WHERE auction_house = 'HOUSEHOLD' AND year = 1999""")
+ NULL AS lwin_11, volume, unit, original_currency, start_price, end_price, low_estimate, high_estimate, sold, CAST(sold_date AS VARCHAR) AS sold_date, NULL AS region, NULL AS sub_region, NULL AS country, NULL AS url,
+ lot_producer AS item_producer, vintage AS item_vintage, unit_format AS item_unit_format, wine_colour AS item_wine_colour, auction_title, auction_house, city AS auction_city, continent AS auction_continent,
+ CAST(start_date AS VARCHAR) AS auction_start_date, CAST(end_date AS VARCHAR) AS auction_end_date, year AS auction_year, quarter AS auction_quarter, NULL AS auction_url
+FROM lots l JOIN auctions a ON l.auction_id = a.external_id LEFT JOIN lot_items i ON l.external_id = i.lot_id LEFT JOIN matches m ON i.part_id = m.part_id""")
 def c4_lot_export(s, d):
-    chosen = v.auctions(s, d).filter("auction_house = 'HOUSEHOLD' AND year = 1999")
-    out = exports.lot_export(v.lots(s, d), chosen, v.lot_items(s, d), v.matches(s, d))
+    out = exports.lot_export(v.lots(s, d), v.auctions(s, d), v.lot_items(s, d), v.matches(s, d))
     return out.withColumns({c: F.col(c).cast("string") for c in ("sold_date", "auction_start_date", "auction_end_date")})
 
 

@@ -233,3 +233,13 @@ def n3_auction_stream(s, d):
         F.coalesce(F.min(producer) == F.max(producer), F.lit(True)).alias("single_cellar"))
     items.drain(totals, items.write_batches(f"{out}/rows"), f"{out}/checkpoint", "update")
     return items.latest_batches(s, f"{out}/rows", ["auction_id"])
+
+
+@query(v.sql("catalogue", "matches") + """ SELECT part_id AS lot_item_id, p_name AS lot_name, matched, lwin[1] AS lwin_code, CASE WHEN len(lwin) > 0 THEN part_id + 1 END AS matched_ref_id, c.lwin_ AS matched_lwin, display_name AS matched_display_name, producer_name AS matched_producer_name, NULL AS vintage
+FROM matches JOIN part ON p_partkey = part_id LEFT JOIN (SELECT id, lwin AS lwin_, display_name, producer_name FROM catalogue) c ON len(matches.lwin) > 0 AND c.id = part_id + 1""")
+def a17_match_rows(s, d):
+    asked = v.read(s, d, "part").select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("lot_item_id"), F.col("p_name").alias("lot_name"))
+    results = v.matches(s, d).select(F.col("part_id").alias("request_id"), "matched", F.col("lwin").alias("lwin_codes"), F.transform("lwin", lambda x: F.col("part_id") + 1).alias("match_ids"))
+    got = exports.match_rows(asked, results, v.catalogue(s, d))
+    assert len(got.columns) == 24
+    return got.select("lot_item_id", "lot_name", "matched", "lwin_code", "matched_ref_id", "matched_lwin", "matched_display_name", "matched_producer_name", "vintage")
