@@ -53,7 +53,7 @@ def hit_lots(raw: DataFrame, body: str = "body") -> DataFrame:
 
 def facet_fields(hits: DataFrame, known: DataFrame, ignored: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(fields, rejects): facet names mapped to lot fields; known (facet, field) is a dictionary; unknown names are rejects."""
-    both = hits.filter(~F.col("facet").isin(*ignored)).join(F.broadcast(known), "facet", "left")
+    both = hits.filter(~F.col("facet").isin(*ignored)).join(known, "facet", "left")
     return both.filter("field IS NOT NULL"), both.filter("field IS NULL").drop("field")
 
 
