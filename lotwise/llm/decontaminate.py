@@ -3,7 +3,7 @@
 Canonical tokens: words in lower case, numbers "#", names "@" (capitalised words that don't start a sentence) and
 units after numbers "%". Windows of WIDTH canonical tokens are joined by hash to the benchmark's. The matches of one
 document and item at one offset form an alignment; its slots (the raw values behind placeholders) must map each
-benchmark value to one document value. An alignment counts with at least RUN windows (all windows of shorter items).
+benchmark value to one document value: windows that hold a value with several go. An alignment counts with at least RUN windows (all windows of shorter items).
 
 Items are looked for in two forms. In the first, windows of more than MAX_SLOTS placeholders are left out on both sides
 and a text with fewer tokens than WIDTH is one window of its own. The second finds what the first cannot: capitalised
@@ -221,13 +221,15 @@ def find_leaks(docs: DataFrame, bench: DataFrame, doc_text: str = "text", bench_
         F.zip_with(F.split("islots", "\x01"), F.split("slots", "\x01"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
         lambda x: x.a.isNotNull() & (x.a != ""),
     )
-    aligned = hit.groupBy("doc_id", "item_id", "form", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
-        F.count_distinct("ipos").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("islots") != "", pairs)))).alias("slots"),
-    )
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda x: x.a))) == F.size("slots")
+    held = F.when(F.col("islots") != "", pairs).otherwise(F.slice(pairs, 1, 0))
+    aligned = hit.groupBy("doc_id", "item_id", "form", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set(F.struct("ipos", held.alias("held"))).alias("ws"))
+    # windows go that hold a benchmark value which stands for several values of the document
+    aligned = aligned.withColumn("all", F.array_distinct(F.flatten(F.transform("ws", lambda w: w.held))))
+    aligned = aligned.withColumn("bad", F.transform(F.filter("all", lambda x: F.exists("all", lambda y: (y.a == x.a) & (y.b != x.b))), lambda x: x.a))
+    aligned = aligned.withColumn("ws", F.filter("ws", lambda w: ~F.exists(w.held, lambda x: F.array_contains("bad", x.a))))
+    aligned = aligned.withColumns({"n_windows": F.size(F.array_distinct(F.transform("ws", lambda w: w.ipos))).cast("long"), "slots": F.array_distinct(F.flatten(F.transform("ws", lambda w: w.held)))})
     best = (
-        aligned.filter(consistent)
+        aligned.filter("n_windows > 0")
         .select("doc_id", "item_id", "form", F.struct("n_windows", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda x: x.a != x.b)).alias("n_changed")).alias("best"))
         .groupBy("doc_id", "item_id", "form").agg(F.max("best").alias("best"))
     )
@@ -266,10 +268,13 @@ def oracle() -> str:
     return f"""
 WITH {side('documents', 'doc_id')},{side('benchmark', 'item_id')},
 hit AS (SELECT doc_id, item_id, d.pos - b.pos AS shift, b.pos AS ipos, b.slots AS bs, d.slots AS ds FROM documents_k d JOIN benchmark_k b ON d.h = b.h),
-n AS (SELECT doc_id, item_id, shift, count(DISTINCT ipos) AS n_windows FROM hit GROUP BY ALL),
-s AS (SELECT DISTINCT doc_id, item_id, shift, unnest(bs) AS a, unnest(ds) AS b FROM hit),
-sa AS (SELECT doc_id, item_id, shift, count(*) AS n_slots, count(DISTINCT a) AS n_a, count(*) FILTER (WHERE a <> b) AS n_changed FROM s GROUP BY ALL),
-al AS (SELECT n.*, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed FROM n LEFT JOIN sa USING (doc_id, item_id, shift) WHERE coalesce(n_slots, 0) = coalesce(n_a, 0)),
+s0 AS (SELECT DISTINCT doc_id, item_id, shift, unnest(bs) AS a, unnest(ds) AS b FROM hit),
+bad AS (SELECT doc_id, item_id, shift, list(a) AS bad FROM (SELECT doc_id, item_id, shift, a FROM s0 GROUP BY ALL HAVING count(DISTINCT b) > 1) GROUP BY ALL),
+good AS (SELECT hit.* FROM hit LEFT JOIN bad ON hit.doc_id IS NOT DISTINCT FROM bad.doc_id AND hit.item_id IS NOT DISTINCT FROM bad.item_id AND hit.shift = bad.shift WHERE bad IS NULL OR NOT list_has_any(bs, bad)),
+n AS (SELECT doc_id, item_id, shift, count(DISTINCT ipos) AS n_windows FROM good GROUP BY ALL),
+s AS (SELECT DISTINCT doc_id, item_id, shift, unnest(bs) AS a, unnest(ds) AS b FROM good),
+sa AS (SELECT doc_id, item_id, shift, count(*) AS n_slots, count(*) FILTER (WHERE a <> b) AS n_changed FROM s GROUP BY ALL),
+al AS (SELECT n.*, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed FROM n LEFT JOIN sa USING (doc_id, item_id, shift)),
 best AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_slots DESC, n_changed DESC) = 1),
 sz AS (SELECT item_id, count(DISTINCT pos) AS item_windows FROM benchmark_k GROUP BY ALL)
 SELECT doc_id, best.item_id, n_windows, item_windows, n_slots, n_changed FROM best JOIN sz ON best.item_id IS NOT DISTINCT FROM sz.item_id

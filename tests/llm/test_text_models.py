@@ -273,6 +273,15 @@ def test_sentence_starts_equal_the_plain_pattern(spark):
     assert got[-1].t.endswith("\x01A")
 
 
+def test_one_conflicting_slot_spares_the_other_windows(spark):
+    item = "First 5 rows of the green table go to the left side of the house and then 5 more of them go up to the old mill by the river"
+    doc = item.replace("5 rows", "6 rows")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "So: " + doc), (2, item.replace("green", "red").replace("left", "right").replace("then", "now").replace("up", "on"))], "doc_id long, text string")
+    got = decontaminate.find_leaks(docs, bench).collect()
+    assert [(r.doc_id, r.n_slots) for r in got] == [(1, 0)]
+
+
 def test_decontamination_clash_and_long_text(spark):
     bench = spark.createDataFrame([(1, BENCH[0][1], 3, "x")], "item_id long, text string, doc_id int, h string")
     docs = spark.createDataFrame([(1, "word " * 60_000 + BENCH[0][1], 5, "y"), (2, "word " * 60_000, 5, "y")], "doc_id long, text string, item_id int, slots string")
