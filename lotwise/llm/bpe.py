@@ -243,15 +243,20 @@ def default_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: tuple[str, str] | None = None) -> DataFrame:
-    """(id, ids): ids as binary, little-endian unsigned 32-bit integers; one row per input row, no shuffle."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: tuple[str, str] | None = None, decoded: bool = False) -> DataFrame:
+    """(id, ids): ids as binary, little-endian unsigned 32-bit integers; one row per input row, no shuffle.
+
+    With ``decoded`` also the bytes that these ids stand for, as decode gives them, by the same worker.
+    """
     file, pattern = tokenizer or default_tokenizer()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {id_col: batch.column(0), "ids": pa.array(encoder(file, pattern).encode_batch(batch.column(1).to_pylist()), pa.binary())}
+        ids = encoder(file, pattern).encode_batch(batch.column(1).to_pylist())
+        out = {id_col: batch.column(0), "ids": pa.array(ids, pa.binary())}
+        return out | {"decoded": pa.array(decode_batch(ids, file), pa.binary())} if decoded else out
 
-    return map_arrow(docs.select(id_col, F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, ids binary", done=lambda: encoder(file, pattern).release())
+    return map_arrow(docs.select(id_col, F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, ids binary" + ", decoded binary" * decoded, done=lambda: encoder(file, pattern).release())
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", tokenizer: tuple[str, str] | None = None) -> DataFrame:
@@ -266,7 +271,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", tokenizer: tuple[str, str
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode(encode(table(spark, sf_dir, "documents")))
+    done = encode(table(spark, sf_dir, "documents"), decoded=True)
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

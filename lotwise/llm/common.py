@@ -39,7 +39,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 1000, done: Callable[[], None] | None = None) -> DataFrame:
     """Apply fn (record batch -> columns by name) to slices of at most ``rows`` rows of each Arrow batch.
 
-    ``done`` is called when a task ends: workers outlive tasks, and what they keep counts against every later stage.
+    ``done`` is called when a task ends, to let go of what the worker keeps.
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -56,9 +56,18 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
                 )
         if done:
             done()
-            give_back()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and when a task's rows are done its memory is given back: workers outlive tasks, and what they keep counts
+    against every later stage."""
+    def all_of(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return all_of
 
 
 def give_back() -> None:

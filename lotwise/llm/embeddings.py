@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import components, labelled, saved, table
+from lotwise.llm.common import components, labelled, saved, table, tidy
 
 COSINE = 0.9
 SAMPLE = 20_000
@@ -218,7 +218,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
                     [batch.column(k).take(pa.array(at)) for k in range(4)] + [pa.array(home, pa.int64()), pa.array(to_home, pa.float64())],
                     names=["cid", "v", "copies", "dim", "cell", "to_home"])
 
-    settled = saved(classes.select("cid", "v", "copies", "dim").mapInArrow(settle, f"cid long, v {kind}, copies long, dim int, cell long, to_home double"), "homes")
+    settled = saved(classes.select("cid", "v", "copies", "dim").mapInArrow(tidy(settle), f"cid long, v {kind}, copies long, dim int, cell long, to_home double"), "homes")
     half = float(np.cos(np.arccos(cosine) / 2 - CLOSE))
     core = settled.filter(F.col("to_home") >= half).groupBy("dim", "cell").agg(
         F.count("*").alias("n"), F.sum("copies").alias("copies"), F.min("to_home").alias("least"), F.min("cid").alias("rep")).filter(F.col("n") >= CORE)
@@ -257,7 +257,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
                     pa.array([p.tobytes() for p in probes] + [None] * m, pa.binary()), pa.array(np.concatenate([sure, np.zeros(m, np.int64)])), pa.array(np.concatenate([rep, cid[row]])),
                 ], names=["dim", "cell", "part", "item", "query", "cid", "copies", "home", "x", "code", "err", "probes", "sure", "rep"])
 
-    placed = saved(settled.mapInArrow(place, "dim int, cell long, part int, item boolean, query boolean, cid long, copies long, home long, x binary, code binary, err double, probes binary, sure long, rep long"), "lists")
+    placed = saved(settled.mapInArrow(tidy(place), "dim int, cell long, part int, item boolean, query boolean, cid long, copies long, home long, x binary, code binary, err double, probes binary, sure long, rep long"), "lists")
     # a part is cut by its own sizes: items to one of ni blocks and all of nq, queries the other way round
     size = placed.groupBy("dim", "cell", "part").agg(F.count_if("item").alias("items"), F.count_if("query").alias("queries")).filter("items > 0 and queries > 0")
     size = size.select("dim", "cell", "part", F.ceil(F.col("items") / BLOCK).cast("int").alias("ni"), F.ceil(F.col("queries") / BLOCK).cast("int").alias("nq"))

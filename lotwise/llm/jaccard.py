@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotwise.llm.common import components, labelled, saved, table
+from lotwise.llm.common import components, labelled, saved, table, tidy
 from lotwise.llm.counting import table_parts
 
 N, PERCENT = 5, 75
@@ -157,7 +157,7 @@ def summaries(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         if total.any():
             yield rows(pa.nulls(0, arrow_id), pa.nulls(0, pa.int64()), [], table_parts(total))
 
-    got = saved(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, schema), "summaries")
+    got = saved(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(tidy(run), schema), "summaries")
     from lotwise.llm.counting_sum import table_sum  # with pandas, which most workers do without
 
     mine = got.filter("part is null").drop("part", "counts")
@@ -186,7 +186,7 @@ def prefixes(docs: DataFrame, rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 if cols:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*cols)], names=["token", "c", "pos", "n"])
 
-    found = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "token long, c long, pos int, n int")
+    found = docs.select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(tidy(run), "token long, c long, pos int, n int")
     by_token = Window.partitionBy("token")
     shared = found.withColumn("lo", F.min("c").over(by_token)).withColumn("hi", F.max("c").over(by_token)).filter("lo <> hi")
     return saved(shared.select("token", "c", "pos", "n").dropDuplicates(["token", "c"]), "prefixes")
@@ -214,7 +214,7 @@ def class_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 found.pop(None, None)
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), binary(list(found.values()))], names=["class_id", "s"])
 
-    made = docs.select("text", F.xxhash64("text")).mapInArrow(run, "class_id long, s binary").join(wanted, "class_id", "left_semi")
+    made = docs.select("text", F.xxhash64("text")).mapInArrow(tidy(run), "class_id long, s binary").join(wanted, "class_id", "left_semi")
     return saved(made.groupBy("class_id").agg(F.first("s").alias("s")), "sets")
 
 
@@ -236,7 +236,7 @@ def possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in range(len(names))], names=names)
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return saved(both.select(*names, "sa", "sb").mapInArrow(run, pairs.schema), "possible")
+    return saved(both.select(*names, "sa", "sb").mapInArrow(tidy(run), pairs.schema), "possible")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in range(3)], names=["a", "b", "g"])
 
-    return saved(left.join(right, ["b", "salt"]).select("a", "b", "g", "sa", "sb").mapInArrow(run, "a long, b long, g long"), "links")
+    return saved(left.join(right, ["b", "salt"]).select("a", "b", "g", "sa", "sb").mapInArrow(tidy(run), "a long, b long, g long"), "links")
 
 
 def near_sizes(a: str, b: str):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lotwise.llm.common import saved, scratch, table
+from lotwise.llm.common import saved, scratch, table, tidy
 
 INDEX = np.dtype([("offset", "<u8"), ("bytes", "<u8"), ("start", "<u8"), ("n_tokens", "<u8"), ("is_null", "u1"), ("doc_id", "<i8")])
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, width int"
@@ -173,7 +173,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str | None = None, en
             kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["shard", "path", "n_docs", "n_tokens", "width"])
 
-    return saved(dealt.mapInArrow(run, MANIFEST), "manifest")
+    return saved(dealt.mapInArrow(tidy(run), MANIFEST), "manifest")
 
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
@@ -200,7 +200,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                             pa.array(ids, pa.binary()),
                         ], names=["doc_id", "start", "ids"])
 
-    return files.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())]))
+    return files.mapInArrow(tidy(run), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())]))
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
