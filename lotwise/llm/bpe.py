@@ -29,7 +29,7 @@ NONE = np.int32(2**31 - 1)
 ROW = 64
 OTHER_SPACE = re.compile(r"[^\S \n]")
 #: entries of a task's cache of words; it starts anew when full and is let go when the task ends
-CACHE = 450_000
+CACHE = 250_000
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         out = {id_col: batch.column(0), "ids": pa.array(ids, pa.binary())}
         return out | {"decoded": pa.array(decode_batch(ids, file), pa.binary())} if decoded else out
 
-    return map_arrow(docs.select(id_col, F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, ids binary" + ", decoded binary" * decoded, done=lambda: encoder(file, pattern).release())
+    return map_arrow(docs.select(id_col, F.col(text_col).cast("string")), run, f"`{id_col}` {kind}, ids binary" + ", decoded binary" * decoded, rows=300, done=lambda: encoder(file, pattern).release())
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", tokenizer: tuple[str, str] | None = None) -> DataFrame:

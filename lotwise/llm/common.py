@@ -57,7 +57,19 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
         if done:
             done()
 
-    return df.mapInArrow(tidy(run), schema)
+    return small_batches(df).mapInArrow(tidy(run), schema)
+
+
+#: most rows of an Arrow batch: texts can be long, and both sides hold a batch in whole
+ARROW_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; Arrow batches of its session hold at most ARROW_ROWS rows from now on, unless fewer were asked for."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lotwise.llm.common import components, labelled, saved, table, tidy
+from lotwise.llm.common import components, labelled, saved, small_batches, table, tidy
 from lotwise.llm.counting import table_parts
 
 N, PERCENT = 5, 75
@@ -308,7 +308,7 @@ def cross_pairs(probes: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     rows, counts = summaries(docs)
     probes = prefixes(docs, rows, counts)
     active = saved(probes.select(F.col("c").alias("class_id")).distinct(), "active")

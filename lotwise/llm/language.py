@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import held_out, map_arrow, table, tidy
+from lotwise.llm.common import held_out, map_arrow, small_batches, table, tidy
 
 BUCKETS = 1 << 14
 MAX_DOCS = 3000
@@ -148,7 +148,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
             keep = [model.predict(t)[0] != "und" if model.langs else bool(t) and len(grams(t)) > 0 for t in batch.column(names.index("text")).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
