@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.llm import bpe, decontaminate, embeddings, jaccard, language, pii, quality, records, toxicity, wrappers
+from lotwise.llm import bpe, decontaminate, embeddings, jaccard, language, lines, pii, quality, records, toxicity, wrappers
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_token_records": records.op10_token_records,
+    "op12_line_dedup": lines.op12_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontaminate.oracle(),
     "op6_pii": pii.oracle(),
+    "op12_line_dedup": lines.oracle(),
 }
