@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.llm import bpe, decontaminate, embeddings, jaccard, language, lines, pii, quality, records, toxicity, wrappers
+from lotwise.llm import alignment, bpe, decontaminate, embeddings, jaccard, language, lines, pii, quality, records, toxicity, wrappers
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_token_records": records.op10_token_records,
     "op12_line_dedup": lines.op12_line_dedup,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
