@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lotwise.llm import alignment, bpe, decontaminate, embeddings, jaccard, language, lines, pii, quality, records, toxicity, wrappers
+from lotwise.llm import alignment, bpe, decontaminate, embeddings, jaccard, language, lines, pii, quality, ranking, records, toxicity, wrappers
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_token_records": records.op10_token_records,
+    "op11_ranked_search": ranking.op11_ranked_search,
     "op12_line_dedup": lines.op12_line_dedup,
     "op13_alignment": alignment.op13_alignment,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontaminate.oracle(),
     "op6_pii": pii.oracle(),
+    "op11_ranked_search": ranking.oracle(),
     "op12_line_dedup": lines.oracle(),
 }
