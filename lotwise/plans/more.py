@@ -11,7 +11,7 @@ from lotwise.plans.market import query
 from lotwise.plans.texts import requests
 from lotwise.sources import scratch
 from lotwise.sources import views as v
-from lotwise.streaming import items
+from lotwise.streaming import items, stateful
 
 
 @query("SELECT n_name AS city, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -204,35 +204,40 @@ def n6_mark_after_clean_run(s, d):
     return s.read.parquet(f"{out}/mark").select(F.lit(said[0]).alias("after_failures"), F.lit(said[1]).alias("after_clean_run"), F.col("event_id").alias("mark"))
 
 
-@query("""WITH p AS (SELECT user_id, min(event_id) AS first FROM events WHERE event_type = 'signup' GROUP BY ALL), c AS (SELECT user_id, event_id FROM events WHERE event_type IN ('click', 'purchase'))
-SELECT count(*) FILTER (WHERE first < event_id) AS at_once, count(*) FILTER (WHERE first > event_id) AS at_close, count(*) FILTER (WHERE first IS NULL) AS orphans FROM c LEFT JOIN p USING (user_id)""")
+@query("""WITH m AS (SELECT max(event_id) // 3 + 1 AS third FROM events), p AS (SELECT user_id, min(event_id) AS first FROM events WHERE event_type = 'signup' GROUP BY ALL),
+c AS (SELECT event_id // third AS batch, first, first < event_id AS ok FROM events LEFT JOIN p USING (user_id), m WHERE event_type IN ('click', 'purchase'))
+SELECT CAST(batch AS INT) AS batch, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE ok IS NOT TRUE) AS queued FROM c GROUP BY ALL
+UNION ALL SELECT -1, count(*) FILTER (WHERE NOT ok), count(*) FILTER (WHERE first IS NULL) FROM c""")
 def n4_late_rows(s, d):
-    """Rows that come before their parent wait and are tried again once at the close."""
-    out = scratch.folder(s, "stream")
-    items.drain(items.landed(s, d, "events.parquet", v.read(s, d, "events").schema), items.write_batches(f"{out}/rows"), f"{out}/checkpoint")
-    e = s.read.parquet(f"{out}/rows")
-    parents = e.filter("event_type = 'signup'").groupBy("user_id").agg(F.min("event_id").alias("first"))
-    rows = e.filter("event_type IN ('click', 'purchase')").join(parents, "user_id", "left")
-    known = F.coalesce(F.col("first") < F.col("event_id"), F.lit(False))
-    late, orphans = items.retry(rows.filter(~known), parents, "user_id")
-    kinds = rows.filter(known).select(F.lit(0).alias("k")).union(late.select(F.lit(1))).union(orphans.select(F.lit(2)))
-    return kinds.agg(*[F.count_if(F.col("k") == i).alias(n) for i, n in enumerate(("at_once", "at_close", "orphans"))])
-
-
-@query(v.sql("lots", "lot_items") + """, l AS (SELECT auction_id, count(*) AS lots, count(*) FILTER (WHERE sold) AS sold, CAST(sum(low_estimate) AS BIGINT) AS low, CAST(sum(CASE WHEN sold THEN trunc(end_price) ELSE 0 END) AS BIGINT) AS total FROM lots GROUP BY ALL),
-i AS (SELECT auction_id, count(DISTINCT lot_producer) <= 1 AS single_cellar FROM lot_items GROUP BY ALL) SELECT auction_id, lots, sold, low, total, single_cellar FROM l JOIN i USING (auction_id)""")
+    """Rows that come before their parent are dead letters, carried over three batches and tried again once at the close."""
+    stream = stateful.LateRows(s, scratch.folder(s, "stream"))
+    t = F.col("event_type")
+    rows = v.read(s, d, "events").filter(t.isin("signup", "click", "purchase")).select(
+        F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(t == "signup", "parent").otherwise("row").alias("kind"), F.col("props").alias("body"))
+    third = v.read(s, d, "events").agg(F.floor(F.max("event_id") / 3).alias("n")).first().n + 1
+    for k in range(3):
+        stream.feed(rows.filter(F.floor(F.col("seq") / third) == k))
+    stream.close()
+    return stream.counts()
+
+
+@query(v.sql("lots", "lot_items") + """, l AS (SELECT auction_id, count(*) AS lots, count(*) FILTER (WHERE sold) AS sold, arg_min(original_currency, external_id) AS currency, CAST(sum(low_estimate) AS BIGINT) AS total_low_estimate, CAST(sum(high_estimate) AS BIGINT) AS total_high_estimate,
+CAST(sum(CASE WHEN sold THEN trunc(end_price) ELSE 0 END) AS BIGINT) AS total_sales, CAST(sum(CASE WHEN sold THEN volume ELSE 0 END) AS DOUBLE) AS volume_sold, arg_min(external_id, (-CAST(trunc(end_price) AS BIGINT), external_id)) FILTER (WHERE sold AND trunc(end_price) > 0) AS top_lot FROM lots GROUP BY ALL),
+i AS (SELECT auction_id, count(DISTINCT lot_producer) <= 1 AS single_cellar FROM lot_items WHERE part_id % 11 <> 0 GROUP BY ALL)
+SELECT l.*, coalesce(single_cellar, true) AS single_cellar, 'PAST' AS sale_type, false AS ex_ch FROM l LEFT JOIN i USING (auction_id)""")
 def n3_auction_stream(s, d):
-    """The auction's sales as a running aggregate over the stream of its lots, as they stand at the close."""
-    part = v.read(s, d, "part").select("p_partkey", "p_brand", "p_size")
-    stream = items.landed(s, d, "lineitem.parquet", v.read(s, d, "lineitem").schema).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    sold, producer = F.col("l_returnflag") == "R", F.when(F.col("p_size") % 7 != 0, F.col("p_brand"))
-    out = scratch.folder(s, "stream")
-    totals = items.running(
-        stream.withColumnRenamed("l_orderkey", "auction_id"), ["auction_id"], F.count("*").alias("lots"), F.count_if(sold).alias("sold"),
-        F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("long")).alias("low"), F.sum(F.when(sold, F.col("l_extendedprice").cast("long")).otherwise(0)).alias("total"),
-        F.coalesce(F.min(producer) == F.max(producer), F.lit(True)).alias("single_cellar"))
-    items.drain(totals, items.write_batches(f"{out}/rows"), f"{out}/checkpoint", "update")
-    return items.latest_batches(s, f"{out}/rows", ["auction_id"])
+    """The auction's sales from the stream of its lots and details, in three batches; details of every eleventh part come
+    before their lot and count nowhere."""
+    stream = stateful.AuctionSales(s, scratch.folder(s, "stream"))
+    lots = v.lots(s, d).withColumn("seq", F.col("external_id"))
+    before = F.col("part_id") % 11 == 0
+    details = v.lot_items(s, d).withColumn("seq", F.when(before, F.concat(F.lit(" "), "lot_id")).otherwise(F.concat("lot_id", F.lit("~"))))
+    for k in range(3):  # details come with their lots or a batch later
+        part = lambda c, at: F.pmod(F.crc32(c), F.lit(3)) == at
+        late = part("lot_id", k) & (F.col("part_id") % 2 == 0) | part("lot_id", k - 1) & (F.col("part_id") % 2 == 1) if k else part("lot_id", 0) & (F.col("part_id") % 2 == 0)
+        stream.feed(lots.filter(part("external_id", k)), details.filter(late))
+    stream.feed(lots.limit(0), details.filter((F.pmod(F.crc32("lot_id"), F.lit(3)) == 2) & (F.col("part_id") % 2 == 1)))
+    return stream.close()
 
 
 @query(v.sql("catalogue", "matches") + """ SELECT part_id AS lot_item_id, p_name AS lot_name, matched, lwin[1] AS lwin_code, CASE WHEN len(lwin) > 0 THEN part_id + 1 END AS matched_ref_id, c.lwin_ AS matched_lwin, display_name AS matched_display_name, producer_name AS matched_producer_name, NULL AS vintage

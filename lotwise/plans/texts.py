@@ -11,7 +11,7 @@ from lotwise.operators import matching, rules
 from lotwise.plans.market import query
 from lotwise.sources import feeds, scratch
 from lotwise.sources import views as v
-from lotwise.streaming import items
+from lotwise.streaming import items, stateful
 
 # I: text functions
 
@@ -326,14 +326,16 @@ PARENTS = """WITH e AS (SELECT user_id AS key, event_id AS seq, event_type FROM
 
 @query(PARENTS + "SELECT c.key, count(*) FILTER (WHERE times = 1 OR seq > last) AS kept, count(*) FILTER (WHERE times IS NULL) AS orphans FROM c LEFT JOIN p USING (key) GROUP BY ALL HAVING kept + orphans > 0")
 def n2_details_of_parents(s, d):
-    """Events land as a stream; at its close the details are given to their parents. Users whose id divides by 3 send no parent."""
-    out = scratch.folder(s, "stream")
-    schema = v.read(s, d, "events").schema
-    items.drain(items.landed(s, d, "events.parquet", schema), items.write_batches(f"{out}/rows"), f"{out}/checkpoint")
-    e = s.read.parquet(f"{out}/rows").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "event_type")
-    kept, orphans = items.details_of_parents(e.filter("event_type = 'signup' AND key % 3 <> 0").select("key", "seq"), e.filter("event_type IN ('click', 'purchase')").select("key", "seq"))
-    both = kept.select("key", F.lit(1).alias("k")).union(orphans.select("key", F.lit(0)))
-    return both.groupBy("key").agg(F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("orphans"))
+    """Events come in three batches; details wait in state for their parents. Users whose id divides by 3 send no parent."""
+    stream = stateful.ParentDetails(s, scratch.folder(s, "stream"))
+    e, t = v.read(s, d, "events").filter("event_type IN ('click', 'purchase') OR event_type = 'signup' AND user_id % 3 <> 0"), F.col("event_type")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(t == "signup", "parent").otherwise("detail").alias("kind"), F.col("props").alias("body"))
+    third = v.read(s, d, "events").agg(F.floor(F.max("event_id") / 3).alias("n")).first().n + 1
+    for k in range(3):
+        stream.feed(rows.filter(F.floor(F.col("seq") / third) == k))
+    stream.close()
+    both = stream.stored().select("key", F.lit(1).alias("k")).union(stream.orphans().select("key", F.lit(0)))
+    return both.groupBy(F.col("key").cast("long").alias("key")).agg(F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("orphans"))
 
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS sold, round(sum(value), 2) AS total FROM events GROUP BY ALL")
