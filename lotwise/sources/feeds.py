@@ -51,10 +51,28 @@ def hit_lots(raw: DataFrame, body: str = "body") -> DataFrame:
         F.col("region.name").alias("region"), F.col("country.name").alias("country"))
 
 
-def facet_fields(hits: DataFrame, known: DataFrame, ignored: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(fields, rejects): facet names mapped to lot fields; known (facet, field) is a dictionary; unknown names are rejects."""
-    both = hits.filter(~F.col("facet").isin(*ignored)).join(known, "facet", "left")
-    return both.filter("field IS NOT NULL"), both.filter("field IS NULL").drop("field")
+# fixed values: facet names of each lot field, and facets that say nothing about a lot
+FACETS = {
+    "lot_producer": ("Producer", "Producers", "Artist", "Artists", "Artist / Maker", "Artist, Maker, Author", "Winery"),
+    "region": ("Region/Sub-Region", "Origin / Ethnicity", "Origin", "Origins", "Region", "Regions", "Region/Type"),
+    "country": ("Country", "Countries", "Country/State"),
+    "wine_colour": ("Type", "Types", "Color", "Colour", "Colors", "Colours"),
+    "unit_format": ("Size", "Sizes", "Bottle Size", "Bottle Sizes", "Format", "Formats"),
+}
+IGNORED_FACETS = (
+    "Theme", "Themes", "Saved", "Favourite", "Material", "Special Collections", "Specialist Pick", "Specialist Picks", "Case Type", "Client", "Client Filter", "Design", "Duty Status",
+    "Function / Movement", "Grape Varietal", "Item Category", "Large Format", "Material / Technique", "Object", "Style / Period", "Stylistic Period", "Subject Matter / Theme", "Varietal",
+    "Variety", "Vintage", "Date", "Price", "Estimate", "Estimates", "Low Estimate", "Appellation", "Decanter World Wine Awards", "In Bond",
+)
+
+
+def facet_fields(hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fields, rejects) of rows with a facet's name: its lot field; facets that say nothing are left out, unknown ones are
+    rejects. A name may have "Coa" stuck to it."""
+    names = F.create_map(*[F.lit(x) for field, facets in FACETS.items() for f in facets for x in (f, field)])
+    field = F.coalesce(F.try_element_at(names, F.col("facet")), F.try_element_at(names, F.replace("facet", F.lit("Coa"), F.lit(""))))
+    both = hits.withColumn("field", field)
+    return both.filter("field IS NOT NULL"), both.filter(F.col("field").isNull() & ~F.coalesce(F.col("facet").isin(*IGNORED_FACETS), F.lit(False))).drop("field")
 
 
 def assemble_lots(rows: DataFrame) -> DataFrame:

@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.functions import parse, text
+from lotwise.functions import grammar, parse
+from lotwise.operators import rollup
+from lotwise.sources import scratch
 
 SEARCH_AUCTIONS = "struct<results:array<struct<hits:array<struct<document:struct<id:string,auctionTitle:string,auctionType:string,year:string,dates:struct<start:struct<datetime:string,timezone:struct<iana:string>>,`end`:struct<datetime:string>>>>>>>>"
 CATALOGS = "array<struct<id:string,title:string,startDate:string,endDate:string,catalogs:array<struct<id:string,isOnline:boolean>>>>"
-RELATED = "struct<items:array<struct<id:string,description:string,startingBid:double,hammerPrice:double,basePrice:double,upperBasePrice:double,state:string>>,`@related`:struct<auctions:array<struct<id:string,currency:string>>>>"
+TOLD = "array<struct<id:string,currency:string,title:string,description:string,info:string>>"
+RELATED = f"struct<items:array<struct<id:string,description:string,shortDescription:string,details:string,startingBid:double,hammerPrice:double,basePrice:double,upperBasePrice:double,state:string>>,`@related`:struct<auctions:{TOLD},catalogs:{TOLD},parts:{TOLD}>>"
+HITS = "struct<results:array<struct<hits:array<struct<document:struct<id:string,auctionId:string,title:string,catalogDesc:string,status:string,department:struct<name:string>,currency:struct<iso_code:string>,price:struct<hammerPrice:double,estimateLow:double,estimateHigh:double>,hammerTime:struct<datetime:string>,region:struct<name:string>,country:struct<name:string>>>>>>>"
 CARDS = "struct<hits:array<struct<objectID:string,auctionId:string,title:string,departments:array<string>,currency:string,lowEstimate:bigint,highEstimate:bigint,Region:array<string>,Country:array<string>,Winery:array<string>,Distillery:array<string>,Vintage:array<string>,`Wine Type`:array<string>,slug:string>>>"
 BIDS = "struct<startingBid:struct<amount:double>,sold:struct<isSold:boolean,premiums:struct<finalPrice:struct<amount:double>>>,closingTime:string>"
 SALE_LOTS = "struct<lots:array<struct<object_id:string,title_primary_txt:string,title_secondary_txt:string,price_realised:string,price_realised_txt:string,estimate_low:string,estimate_high:string,estimate_txt:string,end_date:string>>>"
@@ -54,17 +58,65 @@ def component_items(lots: DataFrame) -> DataFrame:
     return rows.select(F.col("external_id").alias("lot_id"), "position", parse.component_producer(F.col("c.title")).alias("lot_producer"), year.cast("string").alias("vintage"), F.col("c.unit").alias("unit_format"))
 
 
-def described(html: Column) -> Column:
-    """(title, producer, qty, unit, ml, vintages) of an HTML description: the first line is the title, the amount stands
-    anywhere behind it."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(html, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6])>", "\n"), r"<[^>]*>", " "), "\n")
-    lines = F.filter(F.transform(lines, text.squeeze), lambda x: x != "")
-    rest = F.array_join(F.slice(lines, 2, 1 << 30), " ")
-    amount = parse.quantity_and_unit(rest)
-    qty = F.coalesce(amount["qty"], F.lit(1))
-    return F.struct(
-        F.get(lines, F.lit(0)).alias("title"), parse.component_producer(F.get(lines, F.lit(0))).alias("producer"), F.when(amount.isNotNull(), qty).alias("qty"), amount["unit"].alias("unit"),
-        (qty * parse.volume(amount["unit"])).alias("ml"), parse.vintages(F.array_join(lines, " ")).alias("vintages"))
+# fixed values: words of spirits, of wine and of a wine sale's context, and the countries of regions
+SPIRITS = ["armagnac", "bourbon", "brandy", "cognac", "gin", "glenfiddich", "glenlivet", "lagavulin", "macallan", "rum", "rhum", "scotch", "single malt", "vodka", "whiskey", "whisky"]
+WINES = ["barbaresco", "barolo", "bordeaux", "bourgogne", "burgundy", "champagne", "chateau", "chianti", "clos", "domaine", "pauillac", "riesling", "rioja", "saint emilion", "sauternes", "toscana"]
+WINE_SALES = ["wein", "weine", "weinauktion", "wine"]
+COUNTRY_OF = {
+    "alsace": "France", "argentina": "Argentina", "australia": "Australia", "austria": "Austria", "barossa valley": "Australia", "bordeaux": "France", "burgundy": "France",
+    "california": "United States", "champagne": "France", "chile": "Chile", "france": "France", "germany": "Germany", "italy": "Italy", "loire": "France", "madeira": "Portugal",
+    "napa valley": "United States", "new zealand": "New Zealand", "piedmont": "Italy", "piemonte": "Italy", "portugal": "Portugal", "rhone": "France", "rhône": "France",
+    "south africa": "South Africa", "spain": "Spain", "stellenbosch": "South Africa", "tuscany": "Italy", "usa": "United States",
+}
+
+
+def by_majority(lots: DataFrame, items: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """lots with the value that most of their items have, the first of equals; lots whose items have none keep their own."""
+    for c in columns:
+        most = rollup.majority(items, "lot_id", c, "position").select(F.col("lot_id").alias("_lot"), F.col(c).alias("_most"))
+        lots = lots.join(most, F.col("external_id") == F.col("_lot"), "left")
+        lots = lots.withColumn(c, F.coalesce("_most", F.col(c)) if c in lots.columns else F.col("_most")).drop("_lot", "_most")
+    return lots
+
+
+def hit_records(raw: DataFrame) -> DataFrame:
+    """The documents of a search response's lots, those with an id."""
+    hits = raw.select(F.explode(F.from_json("body", HITS)["results"]).alias("r")).select(F.explode("r.hits").alias("h")).select("h.document.*").filter("id IS NOT NULL")
+    return hits.withColumn("external_id", F.concat_ws("_", "auctionId", "id"))
+
+
+def hit_items(hits: DataFrame) -> DataFrame:
+    """Items (lot_id, position, lot_producer, vintage, unit_format, region, country) of hit_records: the bold entries of the
+    catalogue's description, else the components of the title, else the title."""
+    entry = r"(?is)<b>(.*?)</b>\s*<i>(.*?)(?=<br\s*/?>\s*<b>|</div>|$)"
+    desc = F.coalesce("catalogDesc", F.lit(""))
+    clean = lambda c: grammar.squeeze(grammar.plain(c, " "))
+    listed = F.transform(
+        F.arrays_zip(F.regexp_extract_all(desc, F.lit(entry), F.lit(1)).alias("t"), F.regexp_extract_all(desc, F.lit(entry), F.lit(2)).alias("i")),
+        lambda x: F.struct(clean(x.t).alias("title"), F.nullif(clean(F.regexp_extract(x.i, r"(?i)Region:\s*([^<]+)", 1)), F.lit("")).alias("region")))
+    none = F.lit(None).cast("string")
+    cut = F.filter(F.regexp_extract_all("title", F.lit(r"([^()]*\([^()]*\))"), F.lit(1)), lambda t: F.exists(parse.bracket_volumes(t), lambda q: parse.volume(q.unit).isNotNull()))
+    parts = F.transform(cut, lambda t: F.struct(F.trim(F.regexp_replace(t, r"^[\s,;&]+", "")).alias("title"), none.alias("region")))
+    rows = F.when(F.size(listed) > 0, listed).when(F.size(parts) > 0, parts).otherwise(F.array(F.struct(F.col("title").alias("title"), none.alias("region"))))
+    one = hits.select(F.col("external_id").alias("lot_id"), F.posexplode(rows).alias("position", "c")).filter("c.title <> ''")
+    amount = F.get(parse.bracket_volumes(F.col("c.title")), F.lit(0))
+    return one.select(
+        "lot_id", "position", parse.component_producer(F.regexp_replace("c.title", r"(?i)\bNV\b", "")).alias("lot_producer"), F.get(F.regexp_extract_all("c.title", F.lit(r"\b((?:18|19|20)\d{2})\b"), F.lit(1)), F.lit(0)).alias("vintage"),
+        amount["unit"].alias("unit_format"), F.col("c.region").alias("region"), parse.look_up(COUNTRY_OF, F.lower(F.trim("c.region"))).alias("country"))
+
+
+def hits_to_lots(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lots, items) of one search response: department as lot type, volume and units of the title's brackets, region and
+    country by the majority of the items, else as the hit has them."""
+    hits = hit_records(raw)
+    items = scratch.saved(hit_items(hits), "hit-items")
+    sizes = parse.bracket_volumes(F.col("title"))
+    lots = hits.select(
+        "external_id", F.col("auctionId").alias("auction_id"), F.col("title").alias("lot_name"), F.array(F.coalesce("department.name", F.lit("Wine & Spirits"))).alias("lot_type"),
+        F.col("currency.iso_code").alias("original_currency"), F.when(F.col("price.hammerPrice") > 0, F.col("price.hammerPrice")).alias("end_price"), F.col("price.estimateLow").alias("low_estimate"), F.col("price.estimateHigh").alias("high_estimate"),
+        F.coalesce(F.col("status") == "SOLD", F.lit(False)).alias("sold"), day(F.col("hammerTime.datetime")).alias("sold_date"), F.col("region.name").alias("region"), F.col("country.name").alias("country"),
+        parse.total_volume(sizes).alias("volume"), F.nullif(F.aggregate(sizes, F.lit(0), lambda a, x: a + F.coalesce(x.qty, F.lit(1))), F.lit(0)).alias("unit"))
+    return by_majority(lots, items, ("region", "country")), items
 
 
 def catalog_auctions(raw: DataFrame) -> DataFrame:
@@ -75,16 +127,51 @@ def catalog_auctions(raw: DataFrame) -> DataFrame:
 
 
 def related_lots(raw: DataFrame) -> DataFrame:
-    """Lots of a page with its related auction: prices as they are, the high estimate from the field, the description or
-    the low one."""
-    read = raw.select(F.from_json("body", RELATED).alias("b")).select(F.get("b.@related.auctions", F.lit(0)).alias("a"), F.explode("b.items").alias("r")).filter("r.id is not null and a.id is not null")
-    said = read.withColumn("d", described(F.col("r.description"))).withColumn("range", parse.estimate_range(F.regexp_replace("r.description", "<[^>]*>", " ")))
+    """Lots of a page with its related auction, from the grammar of their descriptions.
+
+    Prices are as they are, the high estimate comes from the field, the description or the low one. The lot type is told by
+    words of the lot, then by those of the page. ``said`` is what the description says, with its sub-items.
+    """
+    read = raw.select(F.from_json("body", RELATED).alias("b")).withColumn("rel", F.col("b.@related"))
+    words = lambda c: F.array_join(F.flatten(F.transform(F.coalesce(F.col(c), F.array().cast(TOLD)), lambda x: F.array(x.title, x.description, x.info))), " ")
+    read = read.withColumn("page", F.concat_ws(" ", words("rel.auctions"), words("rel.catalogs"), words("rel.parts")))
+    read = read.select(F.get("rel.auctions", F.lit(0)).alias("a"), "page", F.explode("b.items").alias("r")).filter("r.id is not null and a.id is not null")
+    said = read.withColumn("said", grammar.description(F.coalesce("r.description", F.lit("")))).withColumn("range", parse.estimate_range(grammar.plain(F.col("r.description"), " ")))
     auction = F.concat(F.lit("steinfels_"), "a.id")
     high = F.when(F.col("r.upperBasePrice") > 0, F.col("r.upperBasePrice"))
+    kind = parse.lot_type(F.concat_ws(" ", "r.shortDescription", "r.description", "r.details", "said.title", "said.producer"), SPIRITS, WINES)
+    kind = F.when((kind == "Wine & Spirits") & parse.has_keyword(F.col("page"), WINE_SALES), "Wine").otherwise(kind)
     return said.select(
-        F.concat_ws("_", auction, "r.id").alias("external_id"), auction.alias("auction_id"), F.col("d.title").alias("lot_name"), F.col("d.ml").alias("volume"), F.col("d.qty").alias("unit"), F.col("a.currency").alias("original_currency"),
+        F.concat_ws("_", auction, "r.id").alias("external_id"), auction.alias("auction_id"), F.col("said.title").alias("lot_name"), F.array(kind).alias("lot_type"), F.col("said.ml").alias("volume"),
+        F.when(F.size("said.amounts") == 1, F.get("said.amounts", F.lit(0))["qty"].cast("int")).alias("unit"), F.col("a.currency").alias("original_currency"),
         F.col("r.startingBid").alias("start_price"), F.col("r.hammerPrice").alias("end_price"), F.col("r.basePrice").alias("low_estimate"), F.coalesce(high, "range.high", "r.basePrice").alias("high_estimate"),
-        (F.coalesce("r.state", F.lit("")) == "sold").alias("sold"), F.col("d.producer").alias("lot_producer"), F.get("d.vintages", F.lit(0)).cast("string").alias("vintage"))
+        (F.coalesce("r.state", F.lit("")) == "sold").alias("sold"), "said")
+
+
+def related_items(lots: DataFrame, known: DataFrame) -> DataFrame:
+    """Items (lot_id, position, lot_producer, vintage, unit_format, region, sub_region, country) of related_lots: one for
+    each sub-item, else one for the lot.
+
+    known (title, producer, region, sub_region, country): what a title is known to be, as matching infers it; it is asked
+    for wine alone. Without it the producer of wine is the lot's title, of others the description's producer or a title.
+    """
+    none = F.struct(F.lit(None).cast("int").alias("qty"), F.lit(None).cast("int").alias("vintage"), F.lit(None).cast("string").alias("title"))
+    rows = lots.select("external_id", "lot_type", "said", F.posexplode(F.when(F.size("said.items") > 0, F.col("said.items")).otherwise(F.array(none))).alias("position", "i"))
+    is_wine = F.get("lot_type", F.lit(0)) == "Wine"
+    asked = rows.withColumn("_title", F.when(is_wine, F.coalesce("i.title", "said.title")))
+    k = known.select(F.col("title").alias("_known"), F.col("producer").alias("_producer"), "region", "sub_region", "country")
+    both = asked.join(k, F.col("_title") == F.col("_known"), "left")
+    other = F.when(is_wine, F.col("said.title")).otherwise(F.coalesce("said.producer", "i.title", "said.title"))
+    unit = F.when(F.size("said.amounts") > 1, F.get("said.amounts", F.col("position"))["unit"]).otherwise(F.get("said.amounts", F.lit(0))["unit"])
+    year = F.coalesce("i.vintage", F.get("said.vintages", F.lit(0))).cast("string")
+    return both.select(F.col("external_id").alias("lot_id"), "position", F.coalesce("_producer", other).alias("lot_producer"), year.alias("vintage"), unit.alias("unit_format"), "region", "sub_region", "country")
+
+
+def related_catalogue(raw: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lots, items) of pages; region, sub-region and country each by the majority of the lot's items."""
+    lots = scratch.saved(related_lots(raw), "related-lots")
+    items = scratch.saved(related_items(lots, known), "related-items")
+    return by_majority(lots.drop("said"), items, ("region", "sub_region", "country")), items
 
 
 def card_lots(raw: DataFrame) -> DataFrame:
