@@ -38,15 +38,26 @@ def tokens(c: Column, stopwords: Sequence[str] = STOPWORDS, stem: bool = False)
     return F.transform(words, light_stem) if stem else words
 
 
-def postings(docs: DataFrame, id_col: str, text: Column, stopwords: Sequence[str] = STOPWORDS, stem: bool = False) -> DataFrame:
+def terms_of(queries: DataFrame, text: Column, stopwords: Sequence[str] = STOPWORDS, stem: bool = False) -> DataFrame:
+    """(term): the different terms of queries."""
+    return queries.select(F.explode(tokens(text, stopwords, stem)).alias("term")).distinct()
+
+
+def postings(docs: DataFrame, id_col: str, text: Column, stopwords: Sequence[str] = STOPWORDS, stem: bool = False, wanted: DataFrame | None = None, copies: str | None = None) -> DataFrame:
     """(term, doc, weight): the BM25 share of each term in each document, idf ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Counts are aggregated per (document, term) before they are shuffled by term; the two totals are one row.
+    With ``wanted`` (term) only those terms are counted and shuffled; lengths and totals are those of all words. A row
+    stands for as many documents as its column ``copies`` says. Counts are aggregated per (document, term) before they are
+    shuffled by term; the two totals are one row.
     """
-    words = docs.select(F.col(id_col).alias("doc"), tokens(text, stopwords, stem).alias("words"))
-    size = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("mean"))
-    tf = words.select("doc", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    n = F.col(copies) if copies else F.lit(1)
+    words = docs.select(F.col(id_col).alias("doc"), n.alias("copies"), tokens(text, stopwords, stem).alias("words"))
+    size = words.agg(F.sum("copies").alias("n_docs"), (F.sum(F.col("copies") * F.size("words")) / F.sum("copies")).alias("mean"))
+    each = words.select("doc", "copies", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")
+    tf = each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("copies").alias("copies"))
+    df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
     both = tf.join(df, "term").join(F.broadcast(size))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return both.select("term", "doc", (idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))).alias("weight"))
@@ -126,16 +137,21 @@ def match(requests: DataFrame, catalogue: DataFrame, limit: int = 50, topk: int
     known = with_columns(catalogue, CATALOGUE)
     from lotwise.functions.text import catalogue_code, merged
 
-    index = postings(known, "id", clean_title(merged("display_name", "producer_title", "producer_name", "wine")), stem=stem)
-    # equal names are retrieved once
+    # equal names are retrieved once, among the different texts of the catalogue; rows with a text rank by their ids
     names = able.select("wine_name").distinct()
-    found = retrieve(names, "wine_name", F.col("wine_name"), index, limit, stem=stem)
+    texts = scratch.saved(known.select("id", clean_title(merged("display_name", "producer_title", "producer_name", "wine")).alias("text")), "texts")
+    groups = texts.groupBy("text").agg(F.min("id").alias("text_id"), F.count("*").alias("copies"))
+    index = postings(groups, "text_id", F.col("text"), stem=stem, wanted=terms_of(names, F.col("wine_name"), stem=stem), copies="copies")
+    by_text = retrieve(names, "wine_name", F.col("wine_name"), index, limit, stem=stem)
+    held = texts.withColumn("nth", F.row_number().over(Window.partitionBy("text").orderBy("id"))).filter(F.col("nth") <= limit)
+    held = held.join(groups.select(F.col("text"), "text_id"), "text").select("text_id", F.col("id").alias("_id"))
+    found = by_text.drop("rank").join(held, F.col("doc") == F.col("text_id")).select("wine_name", F.col("_id").alias("doc"), "bm25")
+    by_score = Window.partitionBy("wine_name").orderBy(F.desc(F.round("bm25", 9)), "doc")
+    found = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= limit)
     rows = known.select(F.col("id").alias("doc"), *[F.col(c).alias(f"c_{c}") for c in CATALOGUE], clean_title(F.col("display_name")).alias("c_clean"))
     # names repeat: what a name and a catalogue row give is found once, in a table of its own, and joined to the requests
     named = found.join(rows, "doc").withColumn("name_score", base_score(F.col("bm25"), "wine_name", "c_clean") + name_bonus())
-    path = scratch.folder(requests.sparkSession, "named")
-    named.write.parquet(path)
-    named = requests.sparkSession.read.schema(named.schema).parquet(path)
+    named = scratch.saved(named, "named")
     pairs = able.join(named, "wine_name").filter(rules.standard())
     scored = pairs.withColumn("score", F.greatest(F.lit(0.0), F.col("name_score") + producer_bonus())).withColumn("code", catalogue_code("c_lwin", "c_reference"))
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "rank", "doc")
@@ -175,7 +191,8 @@ def score_target(requests: DataFrame, catalogue: DataFrame, target: int) -> Data
     from lotwise.functions.text import merged
 
     known = with_columns(catalogue, CATALOGUE)
-    index = postings(known, "id", clean_title(merged("display_name", "producer_title", "producer_name", "wine"))).filter(F.col("doc") == target)
+    text = clean_title(merged("display_name", "producer_title", "producer_name", "wine"))
+    index = postings(known, "id", text, wanted=terms_of(known.filter(F.col("id") == target), text)).filter(F.col("doc") == target)
     found = retrieve(requests, "request_id", F.col("wine_name"), index, 1)
     name = known.filter(F.col("id") == target).select(clean_title(F.col("display_name")).alias("c_clean"))
     both = requests.join(found, "request_id", "left").join(F.broadcast(name)).withColumn("q", clean_title(F.col("wine_name")))

@@ -206,8 +206,9 @@ rk AS (SELECT qid, doc, bm25, found, row_number() OVER (PARTITION BY qid ORDER B
 
 @query(f"""WITH c AS (SELECT doc_id AS id, text AS t FROM documents), q AS (SELECT item_id AS qid, text AS t FROM benchmark), {BM25} SELECT qid AS item_id, doc, round(bm25, 5) AS bm25, rank FROM rk WHERE rank <= 50""")
 def k3_bm25_top50(s, d):
-    index = matching.postings(v.read(s, d, "documents"), "doc_id", F.col("text"))
-    got = matching.retrieve(v.read(s, d, "benchmark"), "item_id", F.col("text"), index, 50)
+    asked = v.read(s, d, "benchmark")
+    index = matching.postings(v.read(s, d, "documents"), "doc_id", F.col("text"), wanted=matching.terms_of(asked, F.col("text")))
+    got = matching.retrieve(asked, "item_id", F.col("text"), index, 50)
     return got.select("item_id", "doc", F.round("bm25", 5).alias("bm25"), "rank")
 
 
@@ -231,9 +232,9 @@ def k11_full_text(s, d):
 full_ AS (SELECT qid, doc, bm25 FROM sc JOIN (SELECT qid, count(*) AS n FROM qt GROUP BY ALL) USING (qid) WHERE found = n)
 SELECT qid AS item_id, doc, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, doc) AS rank FROM full_) WHERE rank <= 50""")
 def k11_full_text_ranked(s, d):
-    index = matching.postings(v.read(s, d, "documents"), "doc_id", F.col("text"))
     words = F.split("text", " ")
     q = v.read(s, d, "benchmark").select("item_id", F.concat_ws(" ", words[0], words[2]).alias("t"))
+    index = matching.postings(v.read(s, d, "documents"), "doc_id", F.col("text"), wanted=matching.terms_of(q, F.col("t")))
     return matching.retrieve(q, "item_id", F.col("t"), index, 50, every_term=True).select("item_id", "doc", "rank")
 
 
