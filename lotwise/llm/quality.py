@@ -201,9 +201,9 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], Scorer
     total = sum(counts.values()) or 1
     few = some.filter(F.pmod(F.xxhash64("doc_id", "at"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / total)) + 1)
     got = few.select("votes", "at", "x").limit(2 * sample).toArrow()  # about SAMPLE rows
-    x, y = np.zeros((len(got), FEATURES), np.float32), np.array([posterior[v] for v in got.column("votes").to_pylist()])
-    for k, (at, values) in enumerate(zip(got.column("at").to_pylist(), got.column("x").to_pylist())):
-        x[k, at] = values
+    x, y = np.zeros((len(got), FEATURES)), np.array([posterior[v] for v in got.column("votes").to_pylist()])
+    at, values = got.column("at").combine_chunks(), got.column("x").combine_chunks()
+    x[np.repeat(np.arange(len(got)), np.diff(at.offsets)), at.flatten()] = values.flatten()
     return posterior, Scorer(*train(x, y))
 
 
