@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -97,6 +97,17 @@ def vintage(c: Column) -> Column:
     return F.when(~F.lower(t).isin(*NO_VINTAGE) & t.rlike("^[0-9]{1,9}$"), t.try_cast("int"))
 
 
+# fixed values: the text fields of a match request
+REQUEST_TEXTS = ("wine_name", "lot_producer", "region", "sub_region", "country", "colour")
+
+
+def coerced_requests(requests: DataFrame) -> DataFrame:
+    """Match requests with all fields: texts as they are, what is no text or missing as ""; the vintage as a year or null."""
+    kinds = dict(requests.dtypes)
+    texts = {c: F.coalesce(F.col(c), F.lit("")) if kinds.get(c) == "string" else F.lit("") for c in REQUEST_TEXTS}
+    return requests.withColumns(texts | {"vintage": vintage(F.col("vintage")) if "vintage" in kinds else F.lit(None).cast("int")})
+
+
 def catalogue_code(lwin: str, reference: str) -> Column:
     """The code of a catalogue row: its reference rounded down, else its own."""
     return F.coalesce(F.floor(F.col(reference).try_cast("double")), F.col(lwin).cast("long"))

@@ -23,6 +23,20 @@ def lot_query(lots: DataFrame, items: DataFrame, auctions: DataFrame, asked: Seq
     return exports.nested_lots(page, mine, auctions), rows.agg(F.count("*").alias("n"))
 
 
+def lot_rows(lots: DataFrame, items: DataFrame, auctions: DataFrame, asked: Sequence[Filter] = (), order_by: Sequence[str] = ()) -> DataFrame:
+    """All lots that meet the filters with their items and auction, for an export: no page is cut."""
+    related = {"items": (items, "external_id", "lot_id"), "auctions": (auctions, "auction_id", "external_id")}
+    rows = filters.filter_related(lots, filters.forced(asked), related)
+    nested = exports.nested_lots(rows, items.join(rows.select(F.col("external_id").alias("lot_id")), "lot_id", "left_semi"), auctions)
+    return nested.orderBy(*filters.order_columns(nested, order_by), F.col("external_id").asc()) if order_by else nested
+
+
+def auction_rows(auctions: DataFrame, sales: DataFrame, lots: DataFrame, asked: Sequence[Filter] = ()) -> DataFrame:
+    """All auctions that meet the filters, as the auction export has them."""
+    related = {"sales": (sales, "external_id", "auction_id"), "lots": (lots, "external_id", "auction_id")}
+    return exports.auction_export(filters.filter_related(auctions, asked, related), sales)
+
+
 def auction_query(auctions: DataFrame, sales: DataFrame, lots: DataFrame, asked: Sequence[Filter] = (), order_by: Sequence[str] = (), number: int = 1, size: int = 30) -> tuple[DataFrame, DataFrame]:
     """(a page of auctions with their sales, the count of all that meet the filters); filters may name fields of sales and lots."""
     related = {"sales": (sales, "external_id", "auction_id"), "lots": (lots, "external_id", "auction_id")}

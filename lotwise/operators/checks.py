@@ -8,10 +8,11 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+#: patterns of a dictionary that may go to every task; characters that find the patterns of a larger one
+MOST_PATTERNS, GRAM = 10_000, 4
 
-#: patterns of a dictionary that may go to every task
-MOST_PATTERNS = 10_000
 
 
 def null_profile(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
@@ -56,6 +57,13 @@ def vintage_out_of_range(year: int, c: str = "vintage") -> Column:
     return ~F.coalesce(F.try_to_number(F.when(F.col(c).rlike("^[0-9]{4}$"), F.col(c)), F.lit("9999")).between(1800, year), F.lit(True))
 
 
+def examples(df: DataFrame, group: str, broken: Column, column: str, n: int = 10) -> DataFrame:
+    """(group, examples): up to n different values of each group that break a rule, the smallest ones, in order."""
+    found = df.filter(F.coalesce(broken, F.lit(False))).select(group, column).distinct()
+    first = found.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(column))).filter(F.col("_nth") <= n)
+    return first.groupBy(group).agg(F.array_sort(F.collect_list(column)).alias("examples"))
+
+
 def too_long(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     """(column, rows): rows whose text is longer than the interface allows."""
     one = df.agg(*[F.count_if(F.length(c) > n).alias(c) for c, n in limits.items()])
@@ -108,9 +116,21 @@ def audit_summary(rows: DataFrame, patterns: DataFrame, columns: Sequence[str],
 def contains_any(rows: DataFrame, patterns: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with each name one of whose patterns (name, pattern) is a substring of a column; one row per row and name.
 
-    The patterns are a dictionary and go to every task; more than MOST_PATTERNS of them are an error.
+    A small dictionary, of at most MOST_PATTERNS patterns, goes to every task. A larger one is joined by hashes of the runs
+    of GRAM characters that patterns begin with, and the pairs that meet are compared; its patterns of fewer characters
+    go to every task in parts of MOST_PATTERNS.
     """
-    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     hit = reduce(or_, [F.coalesce(F.col(c).contains(F.col("pattern")), F.lit(False)) for c in columns])
-    return rows.join(F.broadcast(patterns), hit).drop("pattern").dropDuplicates()
+    few = lambda part: rows.join(F.broadcast(part), hit).drop("pattern")
+    n = patterns.count()
+    if n <= MOST_PATTERNS:
+        return few(patterns).dropDuplicates()
+    gram = lambda c: F.xxhash64(F.substring(c, 1, GRAM))
+    long = patterns.filter(F.length("pattern") >= GRAM).select("name", "pattern", gram(F.col("pattern")).alias("_gram"))
+    starts = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - GRAM + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(c, i, F.lit(GRAM))))
+    grams = F.array_distinct(F.flatten(F.array(*[F.coalesce(starts(F.col(c)), F.array().cast("array<bigint>")) for c in columns])))
+    found = rows.withColumn("_gram", F.explode(grams)).join(long, "_gram").filter(hit).drop("_gram", "pattern").select(*rows.columns, "name")
+    short = patterns.filter(F.length("pattern") < GRAM).withColumn("_part", F.pmod(F.xxhash64("name", "pattern"), F.lit(-(-2 * n // MOST_PATTERNS))))
+    for r in short.groupBy("_part").count().collect():  # a row for each part of the dictionary
+        found = found.unionByName(few(short.filter(F.col("_part") == r["_part"]).drop("_part")).select(*rows.columns, "name"))
+    return found.dropDuplicates()

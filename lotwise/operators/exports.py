@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def format_array(c: str) -> Column:
@@ -54,6 +55,13 @@ REQUEST_FIELDS = ("lot_external_id", "lot_name", "region", "sub_region", "countr
 MATCHED_FIELDS = ("lwin", "reference", "display_name", "producer_name", "wine", "colour", "region", "sub_region", "country", "classification")
 
 
+def match_errors(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """(written, errors): requests with a result and without one; the latter are counted, not written."""
+    done = results.select(F.col("request_id").alias("_done")).distinct()
+    both = requests.join(done, F.col("request_id") == F.col("_done"), "left")
+    return both.agg(F.count("_done").alias("written"), F.count_if(F.col("_done").isNull()).alias("errors"))
+
+
 def match_rows(requests: DataFrame, results: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The match export of 24 columns: the request, the class, the best codes and score, and the best catalogue row.
 
@@ -75,21 +83,35 @@ def in_currency(lots: DataFrame, rates: DataFrame, source: str, target: str) ->
     return lots.join(r, "sold_date", "left").withColumn("price", F.round(F.col("end_price") * rate, 4)).drop("rates")
 
 
-def first_match(results: DataFrame) -> DataFrame:
-    """Match results with the best code and score as plain columns."""
-    return results.withColumn("lwin_1", F.get("lwin_codes", F.lit(0))).withColumn("score_1", F.get("match_scores", F.lit(0)))
+def json_value(c: Column, kind: T.DataType) -> Column:
+    """A value that JSON can hold: dates and times as ISO texts, NaN and infinities as null, in structs, arrays and maps too."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.abs(F.nanvl(c, F.lit(float("inf")))) < float("inf"), c)
+    if isinstance(kind, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: json_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: json_value(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[json_value(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    return df.select(*[json_value(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
 
 
 def flat(df: DataFrame) -> DataFrame:
-    """Nested columns as JSON text, NaN and infinities as null: what a CSV file can hold."""
+    """Nested columns as JSON text, NaN and infinities as null at every depth: what a CSV file can hold."""
     cols = []
-    for name, kind in df.dtypes:
-        if kind.startswith(("array", "struct", "map")):
-            cols.append(F.to_json(name).alias(name))
-        elif kind in ("double", "float"):
-            cols.append(F.when(F.abs(F.nanvl(name, F.lit(float("inf")))) < float("inf"), F.col(name)).alias(name))
+    for f in df.schema:
+        if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            cols.append(F.to_json(json_value(F.col(f.name), f.dataType)).alias(f.name))
         else:
-            cols.append(F.col(name))
+            cols.append(json_value(F.col(f.name), f.dataType).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name))
     return df.select(*cols)
 
 
@@ -116,12 +138,16 @@ def select_fields(tables: dict[str, DataFrame], base: str, fields: Sequence[str]
     return [(t, f) for f in fields for t in [next((t for t in order if f in tables[t].columns), None)] if t]
 
 
+# fixed values: the columns of the auction export, of the auction under their own or another name and of its sales
+AUCTION_FIELDS = {"id": "external_id", "title": "auction_title", "house": "auction_house", "city": "city", "continent": "continent", "start_date": "start_date", "end_date": "end_date", "year": "year", "quarter": "quarter"}
+SALES_FIELDS = ("lots", "sold", "currency", "total_low_estimate", "total_high_estimate", "total_sales", "volume_sold", "top_lot", "single_cellar")
+
+
 def auction_export(auctions: DataFrame, sales: DataFrame) -> DataFrame:
-    """The flat auction export: 10 columns of the auction and 9 of its sales, null where it has none."""
-    s = sales.alias("s")
-    return auctions.alias("a").join(s, F.col("a.external_id") == F.col("s.auction_id"), "left").select(
-        F.col("a.external_id").alias("id"), "auction_title", "auction_house", "city", "continent", "auction_type", "start_date", "end_date", "year", "quarter",
-        "lots", "sold", "currency", "total_low_estimate", "total_high_estimate", "total_sales", "volume_sold", "top_lot", "single_cellar")
+    """The flat auction export of 19 columns: the auction, its sales, null where it has none, and its url."""
+    url = F.col("a.url") if "url" in auctions.columns else F.lit(None).cast("string")
+    joined = auctions.alias("a").join(sales.alias("s"), F.col("a.external_id") == F.col("s.auction_id"), "left")
+    return joined.select(*[F.col(f"a.{c}").alias(n) for n, c in AUCTION_FIELDS.items()], *[F.col(f"s.{c}") for c in SALES_FIELDS], url.alias("url"))
 
 
 def merge_records(left: DataFrame, right: DataFrame, on: Column, keep: str) -> DataFrame:
@@ -142,5 +168,5 @@ def lot_display(lots: DataFrame) -> DataFrame:
 
 def write_report(summary: DataFrame, results: DataFrame, path: str) -> None:
     """JSON lines: the summary's rows, and the results with their nested columns."""
-    summary.write.mode("overwrite").json(f"{path}/summary")
-    results.write.mode("overwrite").json(f"{path}/results")
+    json_safe(summary).write.mode("overwrite").json(f"{path}/summary")
+    json_safe(results).write.mode("overwrite").json(f"{path}/results")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lotwise.functions.fuzzy import weighted_ratio_of
+from lotwise.functions.stem import stems
 from lotwise.functions.text import clean_title, map_name, standardize
 from lotwise.operators import filters, mutate, rules
 from lotwise.sources import scratch
@@ -28,14 +29,9 @@ SECOND_WINES = (
 )
 
 
-def light_stem(t: Column) -> Column:
-    """Plural and -ing, -ed endings of longer words."""
-    return F.when(F.length(t) > 5, F.regexp_replace(t, "(?:ies|ing|ed|es|s)$", "")).when(F.length(t) > 3, F.regexp_replace(t, "(?<!s)s$", "")).otherwise(t)
-
-
 def tokens(c: Column, stopwords: Sequence[str] = STOPWORDS, stem: bool = False) -> Column:
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda t: ~t.isin(*stopwords))
-    return F.transform(words, light_stem) if stem else words
+    return stems(words) if stem else words
 
 
 def terms_of(queries: DataFrame, text: Column, stopwords: Sequence[str] = STOPWORDS, stem: bool = False) -> DataFrame:
@@ -175,6 +171,14 @@ def match_job(requests: DataFrame, catalogue: DataFrame, existing: DataFrame, mo
     return mutate.upsert(existing, match(requests, catalogue, **options), ["request_id"])
 
 
+def evaluate(results: DataFrame, labels: DataFrame) -> DataFrame:
+    """(items, correct, wrong, missing, accuracy) of a job's results against labels (request_id, code): the first code counts."""
+    got = F.get("lwin_codes", F.lit(0))
+    right = F.count_if(got == F.col("code"))
+    return labels.join(results.select("request_id", "lwin_codes"), "request_id", "left").agg(
+        F.count("*").alias("items"), right.alias("correct"), F.count_if(got != F.col("code")).alias("wrong"), F.count_if(got.isNull()).alias("missing"), F.round(100.0 * right / F.count("*"), 2).alias("accuracy"))
+
+
 def classify(found: DataFrame) -> DataFrame:
     """One class and the matches that go with it: the best one if it is exact, all if several may be meant, else none."""
     top = F.get("found", F.lit(0)).score

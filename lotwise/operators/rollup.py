@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.operators import mutate
+
 
 def whole(c: str) -> Column:
     """Truncated to an integer, null as 0."""
@@ -56,6 +58,11 @@ def fill(auctions: DataFrame, lots: DataFrame, items: DataFrame, existing: DataF
     )
 
 
+def store(existing: DataFrame, auctions: DataFrame, lots: DataFrame, items: DataFrame, overwrite: bool = False, include_empty: bool = False) -> DataFrame:
+    """The table of auction_sales with the rows of fill in place of those of their auctions."""
+    return mutate.upsert(existing, fill(auctions, lots, items, existing, overwrite, include_empty), ["auction_id"])
+
+
 def majority(df: DataFrame, key: str, value: str, position: str) -> DataFrame:
     """Most frequent non-null value of each key, the one seen first on ties."""
     per = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.min(position).alias("at"))

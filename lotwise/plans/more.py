@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lotwise.functions import parse, text
 from lotwise.operators import api, checks, exports, filters, matching, mutate, rollup
 from lotwise.operators.filters import Filter
-from lotwise.plans.market import query
+from lotwise.plans.market import ROLLUP, query
 from lotwise.plans.texts import requests
 from lotwise.sources import scratch
 from lotwise.sources import views as v
@@ -38,12 +38,11 @@ def c1_fields_by_name(s, d):
     return both.select(*[F.col(f"{t}.{f}") for t, f in chosen])
 
 
-@query(v.sql("auctions", "lots", "lot_items") + """, f AS (SELECT auction_id, count(*) AS lots, count(*) FILTER (WHERE sold) AS sold, CAST(sum(low_estimate) AS BIGINT) AS low, CAST(sum(high_estimate) AS BIGINT) AS high FROM lots GROUP BY ALL),
-i AS (SELECT auction_id, count(DISTINCT lot_producer) <= 1 AS single FROM lot_items GROUP BY ALL)
-SELECT external_id AS id, auction_title, city, year, lots, sold, low AS total_low_estimate, high AS total_high_estimate, CASE WHEN lots IS NOT NULL THEN coalesce(single, true) END AS single_cellar FROM auctions LEFT JOIN f ON external_id = f.auction_id LEFT JOIN i ON external_id = i.auction_id""")
+@query(v.sql("auctions", "lots", "lot_items") + ROLLUP + """ SELECT external_id AS id, auction_title AS title, auction_house AS house, city, continent, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date, year, quarter, lots, sold, currency, total_low_estimate, total_high_estimate,
+total_sales, volume_sold, top_lot, CASE WHEN lots IS NOT NULL THEN coalesce(single_cellar, true) END AS single_cellar, NULL AS url FROM auctions LEFT JOIN agg ON external_id = agg.auction_id LEFT JOIN sc ON external_id = sc.auction_id""")
 def c5_auction_export(s, d):
     sales = rollup.sales(v.lots(s, d), v.lot_items(s, d))
-    return exports.auction_export(v.auctions(s, d), sales).select("id", "auction_title", "city", "year", "lots", "sold", "total_low_estimate", "total_high_estimate", "single_cellar")
+    return exports.auction_export(v.auctions(s, d), sales).withColumns({c: F.col(c).cast("string") for c in ("start_date", "end_date")})
 
 
 @query(v.sql("lot_items", "matches") + " SELECT matches.part_id AS left_part_id, lot_items.part_id AS part_id, matched, lot_producer, count(*) AS n FROM matches JOIN lot_items ON matches.part_id = lot_items.part_id GROUP BY ALL")
@@ -240,11 +239,23 @@ def n3_auction_stream(s, d):
     return stream.close()
 
 
-@query(v.sql("catalogue", "matches") + """ SELECT part_id AS lot_item_id, p_name AS lot_name, matched, lwin[1] AS lwin_code, CASE WHEN len(lwin) > 0 THEN part_id + 1 END AS matched_ref_id, c.lwin_ AS matched_lwin, display_name AS matched_display_name, producer_name AS matched_producer_name, NULL AS vintage
-FROM matches JOIN part ON p_partkey = part_id LEFT JOIN (SELECT id, lwin AS lwin_, display_name, producer_name FROM catalogue) c ON len(matches.lwin) > 0 AND c.id = part_id + 1""")
+@query(v.sql("catalogue", "matches") + """ SELECT 'lot ' || part_id AS lot_external_id, p_name AS lot_name, 'r' || p_size AS region, NULL AS sub_region, 'France' AS country, part_id AS lot_item_id, p_brand AS lot_producer, '1998' AS vintage, NULL AS colour, matched, lwin[1] AS lwin_code,
+lwin[1] * 10000 + 1998 AS lwin_11_code, CAST(CASE WHEN len(lwin) > 0 THEN p_size / 100.0 END AS DOUBLE) AS match_score, CASE WHEN len(lwin) > 0 THEN part_id + 1 END AS matched_ref_id, c.lwin_ AS matched_lwin, c.reference AS matched_reference, display_name AS matched_display_name,
+producer_name AS matched_producer_name, c.wine AS matched_wine, c.colour AS matched_colour, c.region AS matched_region, c.sub_region AS matched_sub_region, NULL AS matched_country, NULL AS matched_classification
+FROM matches JOIN part ON p_partkey = part_id LEFT JOIN (SELECT id, lwin AS lwin_, reference, display_name, producer_name, wine, colour, region, sub_region FROM catalogue) c ON len(matches.lwin) > 0 AND c.id = part_id + 1""")
 def a17_match_rows(s, d):
-    asked = v.read(s, d, "part").select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("lot_item_id"), F.col("p_name").alias("lot_name"))
-    results = v.matches(s, d).select(F.col("part_id").alias("request_id"), "matched", F.col("lwin").alias("lwin_codes"), F.transform("lwin", lambda x: F.col("part_id") + 1).alias("match_ids"))
-    got = exports.match_rows(asked, results, v.catalogue(s, d))
-    assert len(got.columns) == 24
-    return got.select("lot_item_id", "lot_name", "matched", "lwin_code", "matched_ref_id", "matched_lwin", "matched_display_name", "matched_producer_name", "vintage")
+    p = v.read(s, d, "part")
+    asked = p.select(
+        F.col("p_partkey").alias("request_id"), F.concat(F.lit("lot "), "p_partkey").alias("lot_external_id"), F.col("p_partkey").alias("lot_item_id"), F.col("p_name").alias("lot_name"), F.concat(F.lit("r"), "p_size").alias("region"),
+        F.lit("France").alias("country"), F.col("p_brand").alias("lot_producer"), F.lit("1998").alias("vintage"))
+    results = v.matches(s, d).join(p, F.col("part_id") == F.col("p_partkey")).select(
+        F.col("part_id").alias("request_id"), "matched", F.col("lwin").alias("lwin_codes"), F.transform("lwin", lambda x: x * 10000 + 1998).alias("lwin_11_codes"), F.transform("lwin", lambda x: F.col("part_id") + 1).alias("match_ids"),
+        F.transform("lwin", lambda x: F.col("p_size") / 100.0).alias("match_scores"))
+    return exports.match_rows(asked, results, v.catalogue(s, d))
+
+
+@query("SELECT count(*) FILTER (WHERE p_partkey % 5 <> 0) AS written, count(*) FILTER (WHERE p_partkey % 5 = 0) AS errors FROM part")
+def a17_error_rows(s, d):
+    """Requests without a result are counted, not written."""
+    asked = v.read(s, d, "part").select(F.col("p_partkey").alias("request_id"))
+    return exports.match_errors(asked, v.matches(s, d).select(F.col("part_id").alias("request_id")))

@@ -273,6 +273,13 @@ def requests(s, d) -> DataFrame:
     return p.select("request_id", F.concat_ws(" ", "p_name", "p_brand").alias("wine_name"), F.col("p_brand").alias("lot_producer"), F.lit("Rhone").alias("region"), F.lit("x").alias("sub_region"), F.lit("France").alias("country"), F.split("p_name", " ")[0].alias("colour"))
 
 
+@query()
+def k1_term_stems(s, d):
+    """The terms of all documents with their stems."""
+    words = v.read(s, d, "documents").select(F.explode(matching.tokens(F.col("text"))).alias("term")).distinct()
+    return words.select("term", F.get(matching.stems(F.array("term")), F.lit(0)).alias("stem"))
+
+
 @query()
 def k7_match(s, d):
     """The whole matching job: retrieval, score, rerank, rules, classes."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.operators import mutate
+
 FX = "struct<HistoricalPoints:array<struct<PointInTime:bigint,InterbankRate:double>>>"
 LOTS = "struct<hits:array<struct<document:struct<id:string,auctionId:string,title:string,status:string,currency:struct<iso_code:string>,price:struct<hammerPrice:double,estimateLow:double,estimateHigh:double>,hammerTime:struct<datetime:string>,region:struct<name:string>,country:struct<name:string>>>>>"
 
@@ -40,6 +42,11 @@ def fx_points(raw: DataFrame, body: str = "body") -> DataFrame:
     return points.groupBy("rates_from", "rates_to", at.cast("date").alias("date")).agg(F.max_by("p.InterbankRate", "p.PointInTime").alias("rates"))
 
 
+def upsert_rates(cache: DataFrame, points: DataFrame, order: str | None = None) -> DataFrame:
+    """The cache of rates with new ones in place of those of their pair and day; of repeated new ones the last by order."""
+    return mutate.upsert(cache, points, ["rates_from", "rates_to", "date"], order)
+
+
 def hit_lots(raw: DataFrame, body: str = "body") -> DataFrame:
     """Lots of a search response: one row per hit; a price counts if it is above 0."""
     d = raw.select(F.explode(F.from_json(body, LOTS)["hits"]).alias("h")).select("h.document.*")

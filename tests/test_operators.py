@@ -213,11 +213,12 @@ def test_filter_on_a_related_table(spark):
     assert filter_related(auctions, [Filter("nothing", "=", 1)], related).count() == 3
 
 
-def test_too_many_patterns_are_an_error(spark):
-    import pytest
-
+def test_large_dictionaries_find_the_same(spark, monkeypatch):
     from lotwise.operators import checks
 
-    many = spark.range(checks.MOST_PATTERNS + 1).selectExpr("'n' as name", "cast(id as string) as pattern")
-    with pytest.raises(ValueError):
-        checks.contains_any(spark.createDataFrame([("a",)], "t string"), many, ["t"])
+    patterns = spark.createDataFrame([("a", "needle"), ("a", "pin"), ("b", "hay"), ("b", "stack of"), ("c", "x"), ("d", "none of it"), ("d", "needle")], "name string, pattern string")
+    rows = spark.createDataFrame([(1, "a needle in", "hay"), (2, "pins, a stack of x", None), (3, None, None), (4, "ne", ""), (5, "needleneedle", "needle")], "k int, t string, u string")
+    small = sorted(map(tuple, checks.contains_any(rows, patterns, ["t", "u"]).select("k", "name").collect()))
+    assert small == [(1, "a"), (1, "b"), (1, "d"), (2, "a"), (2, "b"), (2, "c"), (5, "a"), (5, "d")]
+    monkeypatch.setattr(checks, "MOST_PATTERNS", 2)
+    assert sorted(map(tuple, checks.contains_any(rows, patterns, ["t", "u"]).select("k", "name").collect())) == small
