@@ -9,6 +9,7 @@ from lotwise.functions import parse, text
 from lotwise.functions.fuzzy import weighted_ratio_of
 from lotwise.operators import matching, rules
 from lotwise.plans.market import query
+from lotwise.plans.ratio_sql import partial_ratio_sql, weighted_ratio_sql
 from lotwise.sources import feeds, scratch
 from lotwise.sources import views as v
 from lotwise.streaming import items, stateful
@@ -245,7 +246,7 @@ def pairs(s, d) -> DataFrame:
         (F.col("p_partkey") + 1).alias("doc"), F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 9 == 0, "mixed lot"), F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Brand#"), F.col("p_size") % 25))).alias("wine_name"),
         F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("lot_producer"), F.when(F.col("p_size") % 2 == 0, "Bordeaux").otherwise("Burgundy").alias("region"),
         F.col("p_type").alias("sub_region"), F.when(F.col("p_size") % 8 == 0, "").otherwise("France").alias("country"), F.split("p_name", " ")[0].alias("colour"))
-    known = c.withColumns({"classification": F.lit(None).cast("string"), "site": F.lit(None).cast("string"), "country": F.lit("France")})
+    known = c.withColumns({"classification": F.lit(None).cast("string"), "site": F.when(F.col("id") % 3 == 0, F.element_at(F.split("wine", " "), -1)), "country": F.lit("France")})
     return ask.join(known.select(F.col("id").alias("doc"), *[F.col(x).alias(f"c_{x}") for x in ("display_name", "producer_title", "producer_name", "wine", "region", "sub_region", "colour", "site", "country")]), "doc")
 
 
@@ -259,18 +260,35 @@ def l1_l5_rules(s, d):
     return pairs(s, d).select("doc", *[r.alias(n) for n, r in named.items()])
 
 
-@query()
+STD = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '-', ' ', 'g'), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+BARE = lambda c: f"lower(trim(regexp_replace(regexp_replace({c}, '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')))"
+RULES = v.sql("catalogue").replace("WITH", "WITH RECURSIVE", 1) + f""", a AS (SELECT p_partkey + 1 AS doc, concat_ws(' ', p_name, CASE WHEN p_size % 9 = 0 THEN 'mixed lot' END, CASE WHEN p_size % 4 = 0 THEN 'Brand#' || (p_size % 25) END) AS wn, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS lp,
+ CASE WHEN p_size % 2 = 0 THEN 'Bordeaux' ELSE 'Burgundy' END AS rg, p_type AS sr, CASE WHEN p_size % 8 = 0 THEN '' ELSE 'France' END AS ct, split_part(p_name, ' ', 1) AS col FROM part),
+j AS (SELECT a.*, c.producer_name AS pn, c.sub_region AS csr, c.region AS crg, c.colour AS ccol, c.wine AS cw, CASE WHEN c.id % 3 = 0 THEN split_part(c.wine, ' ', -1) END AS cs, {BARE('a.wn')} AS bn, {BARE('c.producer_name')} AS bp FROM a JOIN catalogue c ON c.id = a.doc),
+s AS (SELECT lower(wn) AS a, lower(cw) AS b FROM j UNION SELECT lower(wn), lower(cs) FROM j UNION SELECT lower(lp), lower(pn) FROM j UNION SELECT lower(ct), 'france' FROM j UNION SELECT lower(rg), lower(crg) FROM j UNION SELECT lower(sr), lower(csr) FROM j), {partial_ratio_sql('s')},
+k AS (SELECT *, coalesce((col NOT LIKE '%red%' AND col NOT LIKE '%white%') OR (col LIKE '%red%' AND ccol LIKE '%red%') OR (col LIKE '%white%' AND ccol LIKE '%white%'), true) AS l1, wn NOT LIKE '%mixed%' AS l3, coalesce(lp, '') <> '' AS l4,
+ rg <> 'Bordeaux' OR bn = bp OR contains(bn, bp) OR levenshtein(bn, bp) <= 2 AS l5, (rg = 'Bordeaux' AND ct <> '') OR lower(sr) = lower(csr) OR contains(lower(trim(wn)), {STD('csr')}) AS l6 FROM j) """
+ALIKE = lambda x, y: f"(coalesce({x}, '') = '' OR coalesce({y}, '') = '' OR (SELECT ratio FROM partials WHERE a = lower({x}) AND b = lower({y})) >= 80)"
+
+
+@query(RULES + f"""SELECT doc, l1 AND l3 AND l4 AND l5 AND l6 AS standard, {ALIKE('wn', 'cw')} AS wine, {ALIKE('wn', 'cw')} OR NOT {ALIKE('wn', 'cs')} AS named, NOT l6 AS not_burgundy,
+{ALIKE('lp', 'pn')} AND {ALIKE('ct', "'France'")} AND {ALIKE('rg', 'crg')} AND {ALIKE('sr', 'csr')} AS fields FROM k""")
 def l6_l10_rule_algebra(s, d):
-    """All standard rules, any of the fuzzy ones, and their negation."""
-    p = pairs(s, d)
-    return p.select("doc", rules.standard().alias("standard"), rules.any_of(rules.wine_in_name(), rules.site_in_name()).alias("named"), rules.none_of(rules.burgundy()).alias("not_burgundy"), rules.fuzzy_fields().alias("fields"))
+    """All standard rules, the fuzzy ones, and how they combine."""
+    wine, site = rules.wine_in_name(), rules.site_in_name()
+    return pairs(s, d).select(
+        "doc", rules.standard().alias("standard"), wine.alias("wine"), rules.any_of(wine, rules.none_of(site)).alias("named"), rules.none_of(rules.burgundy()).alias("not_burgundy"), rules.fuzzy_fields().alias("fields"))
 
 
 def requests(s, d) -> DataFrame:
     """Lot items to be matched: a request for each part that was sold."""
     sold = v.read(s, d, "lineitem").select(F.col("l_partkey").alias("request_id")).distinct()
-    p = v.read(s, d, "part").join(sold, F.col("p_partkey") == F.col("request_id"))
-    return p.select("request_id", F.concat_ws(" ", "p_name", "p_brand").alias("wine_name"), F.col("p_brand").alias("lot_producer"), F.lit("Rhone").alias("region"), F.lit("x").alias("sub_region"), F.lit("France").alias("country"), F.split("p_name", " ")[0].alias("colour"))
+    p, k, n = v.read(s, d, "part").join(sold, F.col("p_partkey") == F.col("request_id")), F.col("p_partkey"), F.col("p_size") % 3
+    region = F.when(k % 13 == 0, "").when(n == 0, "Bordeaux").when(n == 1, "Burgundy").otherwise("Rhone")
+    producer = F.when(k % 11 != 0, F.when(k % 7 == 0, F.concat(F.lit("Domaine "), "p_brand")).otherwise(F.col("p_brand")))
+    return p.select(
+        "request_id", F.concat_ws(" ", "p_name", F.when(k % 17 == 0, "mixed lot"), "p_brand").alias("wine_name"), producer.alias("lot_producer"), region.alias("region"),
+        F.when(k % 3 == 0, F.col("p_type")).when(k % 3 == 1, "").otherwise("x").alias("sub_region"), F.when(k % 5 != 0, "France").otherwise("").alias("country"), F.split("p_name", " ")[0].alias("colour"))
 
 
 @query()
@@ -287,7 +305,9 @@ def k7_match(s, d):
     return got.select("request_id", "matched", F.size("lwin_codes").alias("n"), F.get("lwin_codes", F.lit(0)).alias("lwin_1"), F.round(F.get("match_scores", F.lit(0)), 4).alias("score_1"))
 
 
-@query()
+@query(v.sql("catalogue").replace("WITH", "WITH RECURSIVE", 1) + f""", rq AS (SELECT p_partkey AS request_id, concat_ws(' ', p_name, CASE WHEN p_partkey % 17 = 0 THEN 'mixed lot' END, p_brand) AS wn FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
+c AS (SELECT id, {BARE("concat_ws(' ', display_name, producer_name, wine)")} AS t FROM catalogue), q AS (SELECT request_id AS qid, wn AS t FROM rq), {BM25}, names AS (SELECT request_id, {BARE('wn')} AS a, (SELECT {BARE('display_name')} FROM catalogue WHERE id = 7) AS b FROM rq), {weighted_ratio_sql('names')}
+SELECT request_id, round(0.7 * coalesce(bm25, 0) / (coalesce(bm25, 0) + 1e-5) + 0.3 * ratio / 100, 5) AS score FROM names JOIN weighted USING (a, b) LEFT JOIN (SELECT qid, bm25 FROM sc WHERE doc = 7) ON qid = request_id""")
 def k8_match_target(s, d):
     return matching.score_target(requests(s, d), v.catalogue(s, d), 7).withColumn("score", F.round("score", 5))
 
@@ -298,7 +318,7 @@ def k10_infer_metadata(s, d):
     return matching.infer_metadata(lots, v.catalogue(s, d))
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT p.p_partkey, p.p_name AS a, n.p_name || ' ' || n.p_brand AS b FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1), """ + weighted_ratio_sql("k") + " SELECT p_partkey, round(ratio, 4) AS ratio FROM k JOIN weighted USING (a, b)")
 def k4_weighted_ratio(s, d):
     p = v.read(s, d, "part")
     nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat_ws(" ", "p_name", "p_brand").alias("other"))
