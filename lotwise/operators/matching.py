@@ -144,11 +144,11 @@ def match(requests: DataFrame, catalogue: DataFrame, limit: int = 50, topk: int
     found = by_text.drop("rank").join(held, F.col("doc") == F.col("text_id")).select("wine_name", F.col("_id").alias("doc"), "bm25")
     by_score = Window.partitionBy("wine_name").orderBy(F.desc(F.round("bm25", 9)), "doc")
     found = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= limit)
-    rows = known.select(F.col("id").alias("doc"), *[F.col(c).alias(f"c_{c}") for c in CATALOGUE], clean_title(F.col("display_name")).alias("c_clean"))
+    rows = known.select(F.col("id").alias("doc"), *[F.col(c).alias(f"c_{c}") for c in CATALOGUE], clean_title(F.col("display_name")).alias("c_clean")).withColumns(rules.catalogue_forms())
     # names repeat: what a name and a catalogue row give is found once, in a table of its own, and joined to the requests
     named = found.join(rows, "doc").withColumn("name_score", base_score(F.col("bm25"), "wine_name", "c_clean") + name_bonus())
     named = scratch.saved(named, "named")
-    pairs = able.join(named, "wine_name").filter(rules.standard())
+    pairs = able.withColumns(rules.request_forms()).join(named, "wine_name").filter(rules.standard(made=True))
     scored = pairs.withColumn("score", F.greatest(F.lit(0.0), F.col("name_score") + producer_bonus())).withColumn("code", catalogue_code("c_lwin", "c_reference"))
     w = Window.partitionBy("request_id").orderBy(F.desc("score"), "rank", "doc")
     best = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= topk)

@@ -63,8 +63,8 @@ def bordeaux_name(c: str) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.replace(F.regexp_replace(t, r"(?U)[^\w\s]", " "), F.lit("_"), F.lit(" ")), r"(?U)\s+", " ")))
 
 
-def bordeaux() -> Column:
-    name, producer = bordeaux_name("wine_name"), bordeaux_name("c_producer_name")
+def bordeaux(made: bool = False) -> Column:
+    name, producer = form("bordeaux_wine", made), form("bordeaux_producer", made)
     return ~(has("region", "bordeaux") | has("sub_region", "bordeaux")) | (producer == name) | name.contains(producer) | (F.levenshtein(producer, name) <= 2)
 
 
@@ -73,15 +73,30 @@ def burgundy_name(c: str) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(t, r"(?U)\s*\(.*?\)\s*$", ""), r"(?U)\b\d{4}\b", "")))
 
 
-def burgundy() -> Column:
+def burgundy(made: bool = False) -> Column:
     elsewhere = reduce(and_, [(text(c) != "") & ~has(c, "burgundy") for c in ("region", "country", "sub_region")])
-    name, std = burgundy_name("wine_name"), lambda c: standardize(text(c))
-    place = (text("sub_region") == "") | (text("c_sub_region") == "") | (F.lower(text("sub_region")) == F.lower(text("c_sub_region"))) | name.contains(std("c_sub_region"))
-    whole = standardize(F.concat(text("c_producer_title"), F.lit(" "), text("c_producer_name")))
-    producer = (std("lot_producer") == std("c_producer_name")) | (std("lot_producer") == whole) | name.contains(std("c_producer_name")) | map_name(name).contains(std("c_producer_title"))
+    name, lot, theirs, site = (form(n, made) for n in ("burgundy_wine", "std_lot_producer", "std_producer", "std_sub_region"))
+    place = (text("sub_region") == "") | (text("c_sub_region") == "") | (F.lower(text("sub_region")) == F.lower(text("c_sub_region"))) | name.contains(site)
+    producer = (lot == theirs) | (lot == form("std_whole", made)) | name.contains(theirs) | form("mapped_wine", made).contains(form("std_title", made))
     return elsewhere | (place & producer)
 
 
+def request_forms() -> dict[str, Column]:
+    """What the rules compare of a request; as columns beside it they are worked out once, not for each of its candidates."""
+    return {"bordeaux_wine": bordeaux_name("wine_name"), "burgundy_wine": burgundy_name("wine_name"), "mapped_wine": map_name(burgundy_name("wine_name")), "std_lot_producer": standardize(text("lot_producer"))}
+
+
+def catalogue_forms() -> dict[str, Column]:
+    """The same of a catalogue row with its columns as c_<name>."""
+    return {
+        "bordeaux_producer": bordeaux_name("c_producer_name"), "std_producer": standardize(text("c_producer_name")), "std_sub_region": standardize(text("c_sub_region")), "std_title": standardize(text("c_producer_title")),
+        "std_whole": standardize(F.concat(text("c_producer_title"), F.lit(" "), text("c_producer_name")))}
+
+
+def form(name: str, made: bool) -> Column:
+    return F.col(name) if made else (request_forms() | catalogue_forms())[name]
+
+
 def alike(a: str, b: str, least: float = 80) -> Column:
     """Partial ratio of two fields, passed where one of them is empty."""
     return (text(a) == "") | (text(b) == "") | (partial_ratio_of(F.lower(text(a)), F.lower(text(b))) >= least)
@@ -111,6 +126,6 @@ def none_of(*rules: Column) -> Column:
     return ~any_of(*rules)
 
 
-def standard() -> Column:
-    """The rules that matching applies."""
-    return all_of(colour(), not_assortment(), not_mixed(), has_producer(), bordeaux(), burgundy())
+def standard(made: bool = False) -> Column:
+    """The rules that matching applies; ``made``: the forms they compare are columns already."""
+    return all_of(colour(), not_assortment(), not_mixed(), has_producer(), bordeaux(made), burgundy(made))
