@@ -84,6 +84,8 @@ class Slice:
 
     def add(self, scores: np.ndarray, terms: np.ndarray) -> None:
         """Adds the contributions of terms to the documents' scores."""
+        if not len(self.terms):
+            return
         k = np.searchsorted(self.terms, terms)
         k = k[(k < len(self.terms)) & (self.terms.take(k, mode="clip") == terms)]
         if not len(k):
