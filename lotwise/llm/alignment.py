@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 from lotwise.llm.common import map_arrow, saved, table
 from lotwise.llm.records import byte_letters
 
-#: entries of a worker's cache of parts; it starts anew when full
-CACHE = 500_000
+#: entries of a worker's cache of parts, some 300 bytes each; it starts anew when full
+CACHE = 900_000
 #: the table of id pairs is broadcast up to so many rows (some 80 MB); beyond it the join shuffles by pair
 BROADCAST_PAIRS = 2_000_000
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 LINES = re.compile(r"(?<=\S)(?=\n\S)")
-OVER_SPACE, LETTER_MARK = re.compile(r"\S "), re.compile(r"[^\W\d_][.,;:!?]")
+OVER_SPACE = re.compile(r"\S ")
 #: new parts that are aligned together
 PARTS = 5_000
 
@@ -71,7 +71,8 @@ class Aligner:
         self.parted = not any(OVER_SPACE.search(x.decode(errors="replace")) for x in (*self.a_bytes, *self.b_bytes))
         self.lined = not any(b"\n" in x[1:] or b"\n" in x[:-1] for x in self.b_bytes)
         self.marks = {}
-        if not any(LETTER_MARK.search(x.decode(errors="replace")) for x in self.b_bytes):
+        pieces = [x.decode(errors="replace") for x in self.b_bytes]
+        if not any(a.isalpha() and b in ".,;:!?" for p in pieces for a, b in zip(p, p[1:])):
             for m in ".,;:!?":
                 a, b = vocab[m], self.b.piece_to_id(m)
                 if self.b_bytes[b] == m.encode():
