@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from lotwise.functions.fuzzy import weighted_ratio_of
 from lotwise.functions.stem import stems
-from lotwise.functions.text import clean_title, map_name, standardize
+from lotwise.functions.text import all_tokens_in, clean_title, map_name, standardize
 from lotwise.operators import filters, mutate, rules
 from lotwise.sources import scratch
 
@@ -238,6 +238,11 @@ def infer_metadata(lots: DataFrame, catalogue: DataFrame, least: float = 40.0) -
     return out.select("lot_id", status.alias("status"), *[F.when(sure, F.col(f"row.{c}")).alias(c) for c in ("producer_name", "region", "sub_region")])
 
 
+def confident(producer: Column, title: Column, vintage: Column) -> Column:
+    """Whether an inferred producer counts: all its tokens are in the title, and a vintage is known."""
+    return F.coalesce(vintage.rlike("^(?:1[89]|20)[0-9]{2}$") & all_tokens_in(producer, title), F.lit(False))
+
+
 def fill_missing(lots: DataFrame, inferred: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only what is missing comes from the inferred rows (lot_id and the columns)."""
     new = inferred.select("lot_id", *[F.col(c).alias(f"_{c}") for c in columns])

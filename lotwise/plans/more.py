@@ -9,7 +9,7 @@ from lotwise.operators import api, checks, exports, filters, matching, mutate, r
 from lotwise.operators.filters import Filter
 from lotwise.plans.market import ROLLUP, query
 from lotwise.plans.texts import requests
-from lotwise.sources import scratch
+from lotwise.sources import scratch, sheets
 from lotwise.sources import views as v
 from lotwise.streaming import items, stateful
 
@@ -66,9 +66,7 @@ def d8_filter_on_unjoined_table(s, d):
 def d16_price_sheet(s, d):
     """Lines of a printed price sheet ("Lot 12 ...... 1,234.50") joined to lots by their number."""
     sheet = v.read(s, d, "part").filter("p_partkey % 3 = 0").select(F.concat(F.lit("Lot "), "p_partkey", F.lit(" ...... "), F.format_number("p_retailprice", 2)).alias("line"))
-    number, price = F.regexp_extract("line", r"^Lot ([0-9]+)", 1), F.regexp_extract("line", r"([0-9][0-9,.]*)$", 1)
-    read = sheet.select(number.cast("long").alias("number"), F.replace(price, F.lit(","), F.lit("")).cast("double").alias("price"))
-    return v.read(s, d, "lineitem").join(read, F.col("l_partkey") == F.col("number"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price")
+    return sheets.with_price_lines(v.read(s, d, "lineitem"), sheet, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag <> 'N' THEN l_extendedprice END AS start_price, l_returnflag = 'R' AS sold FROM lineitem""")
@@ -121,8 +119,7 @@ def i9_normalised_name(s, d):
 def k12_confidence_gate(s, d):
     """An inferred producer counts only if the title holds its tokens and a vintage is known."""
     i = v.lot_items(s, d).withColumn("title", F.when(F.col("part_id") % 2 == 0, F.concat_ws(" ", F.lit("Old"), "lot_producer", F.lit("red"))).otherwise("Old red"))
-    year = F.regexp_extract("vintage", "^(1[89]|20)[0-9]{2}$", 0)
-    sure = (year != "") & text.all_tokens_in(F.regexp_replace("lot_producer", "#", ""), F.regexp_replace("title", "#", "")) & F.col("lot_producer").isNotNull()
+    sure = matching.confident(F.regexp_replace("lot_producer", "#", ""), F.regexp_replace("title", "#", ""), F.col("vintage"))
     return i.groupBy("part_id").agg(F.max("vintage").alias("vintage"), F.max(F.when(sure, F.col("lot_producer"))).alias("producer"))
 
 

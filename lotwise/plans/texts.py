@@ -262,9 +262,10 @@ def l1_l5_rules(s, d):
 
 STD = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '-', ' ', 'g'), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 BARE = lambda c: f"lower(trim(regexp_replace(regexp_replace({c}, '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')))"
-RULES = v.sql("catalogue").replace("WITH", "WITH RECURSIVE", 1) + f""", a AS (SELECT p_partkey + 1 AS doc, concat_ws(' ', p_name, CASE WHEN p_size % 9 = 0 THEN 'mixed lot' END, CASE WHEN p_size % 4 = 0 THEN 'Brand#' || (p_size % 25) END) AS wn, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS lp,
+RULES_J = v.sql("catalogue").replace("WITH", "WITH RECURSIVE", 1) + f""", a AS (SELECT p_partkey + 1 AS doc, concat_ws(' ', p_name, CASE WHEN p_size % 9 = 0 THEN 'mixed lot' END, CASE WHEN p_size % 4 = 0 THEN 'Brand#' || (p_size % 25) END) AS wn, CASE WHEN p_size % 5 <> 0 THEN p_brand END AS lp,
  CASE WHEN p_size % 2 = 0 THEN 'Bordeaux' ELSE 'Burgundy' END AS rg, p_type AS sr, CASE WHEN p_size % 8 = 0 THEN '' ELSE 'France' END AS ct, split_part(p_name, ' ', 1) AS col FROM part),
-j AS (SELECT a.*, c.producer_name AS pn, c.sub_region AS csr, c.region AS crg, c.colour AS ccol, c.wine AS cw, CASE WHEN c.id % 3 = 0 THEN split_part(c.wine, ' ', -1) END AS cs, {BARE('a.wn')} AS bn, {BARE('c.producer_name')} AS bp FROM a JOIN catalogue c ON c.id = a.doc),
+j AS (SELECT a.*, c.producer_name AS pn, c.sub_region AS csr, c.region AS crg, c.colour AS ccol, c.wine AS cw, CASE WHEN c.id % 3 = 0 THEN split_part(c.wine, ' ', -1) END AS cs, {BARE('a.wn')} AS bn, {BARE('c.producer_name')} AS bp FROM a JOIN catalogue c ON c.id = a.doc)"""
+RULES = RULES_J + f""",
 s AS (SELECT lower(wn) AS a, lower(cw) AS b FROM j UNION SELECT lower(wn), lower(cs) FROM j UNION SELECT lower(lp), lower(pn) FROM j UNION SELECT lower(ct), 'france' FROM j UNION SELECT lower(rg), lower(crg) FROM j UNION SELECT lower(sr), lower(csr) FROM j), {partial_ratio_sql('s')},
 k AS (SELECT *, coalesce((col NOT LIKE '%red%' AND col NOT LIKE '%white%') OR (col LIKE '%red%' AND ccol LIKE '%red%') OR (col LIKE '%white%' AND ccol LIKE '%white%'), true) AS l1, wn NOT LIKE '%mixed%' AS l3, coalesce(lp, '') <> '' AS l4,
  rg <> 'Bordeaux' OR bn = bp OR contains(bn, bp) OR levenshtein(bn, bp) <= 2 AS l5, (rg = 'Bordeaux' AND ct <> '') OR lower(sr) = lower(csr) OR contains(lower(trim(wn)), {STD('csr')}) AS l6 FROM j) """

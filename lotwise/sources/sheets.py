@@ -86,6 +86,14 @@ def sheet_items(lots: DataFrame) -> DataFrame:
     return expand_items(rows, "lot_producer", "vintage", "unit_format", "wine_colour")
 
 
+def with_price_lines(lots: DataFrame, sheet: DataFrame, number: str, line: str = "line") -> DataFrame:
+    """lots with the price of their number's line in a printed sheet ("Lot 12 ...... 1,234.50"); lots without a line stay."""
+    told = F.regexp_extract(line, r"^\s*(?:Lot\s+)?([0-9]+)\b.*?([0-9][0-9,.]*)\s*$", 1).try_cast("long")
+    price = F.replace(F.regexp_extract(line, r"^\s*(?:Lot\s+)?([0-9]+)\b.*?([0-9][0-9,.]*)\s*$", 2), F.lit(","), F.lit("")).try_cast("double")
+    read = sheet.select(told.alias("_number"), price.alias("price")).filter("_number IS NOT NULL")
+    return lots.join(read, F.col(number) == F.col("_number"), "left").drop("_number")
+
+
 def listing_auctions(listing: DataFrame, house: str, prefix: str, year: int | None = None, continent: str | None = None, words: tuple[str, ...] = ()) -> DataFrame:
     """Auctions of a listing (source_id, title, date_text, city, url, total_lots), one row for each.
 
