@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from lotwise.llm.common import map_arrow, saved, table
 from lotwise.llm.records import byte_letters
 
-#: entries of a worker's cache of parts, some 300 bytes each; it starts anew when full
-CACHE = 900_000
+#: entries of a worker's cache of parts, some 600 bytes each; it starts anew when full
+CACHE = 600_000
 #: the table of id pairs is broadcast up to so many rows (some 80 MB); beyond it the join shuffles by pair
 BROADCAST_PAIRS = 2_000_000
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
