@@ -8,12 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lotwise.functions.parse import UNITS, look_up
-from lotwise.functions.text import fold_accents, squeeze
-
-
-def bind(value: Column, use) -> Column:
-    """use(value) with the value computed once a row, however often ``use`` names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+from lotwise.functions.text import bind, fold_accents, squeeze
 
 
 def first_of(options: list[Column]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,11 @@ NAME_MAP = (("yo", "year old"), ("year old", "yo"), ("vincent dauvissat", "domai
 NO_VINTAGE = ("nv", "n.v.", "non-vintage", "")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold_accents(c: Column) -> Column:
     """Latin letters without their accents; combining marks go."""
     return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}", "")

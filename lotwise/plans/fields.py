@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lotwise.functions import text
+from lotwise.functions import parse, text
 from lotwise.operators import filters, matching
 from lotwise.operators.filters import Filter
 from lotwise.plans.market import query
@@ -28,6 +28,14 @@ def i6_merged_text(s, d):
     return p.select("p_partkey", text.merged("a", "b", "c").alias("merged"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 700 < 601 THEN (1500 + p_partkey % 700) || CASE WHEN p_partkey % 700 < 500 THEN ',2000' ELSE '' END ELSE '2000' END AS years FROM part")
+def j13_wide_years(s, d):
+    """Years from 1500 to 2100; other numbers of four digits are none."""
+    t = F.concat(F.lit("Madeira "), F.lit(1500) + F.col("p_partkey") % 700, F.when(F.col("p_partkey") % 700 > 500, F.when(F.col("p_partkey") % 700 < 601, "").otherwise(" 2000")).otherwise(", 2000 and 1499, 9999"))
+    got = v.read(s, d, "part").select("p_partkey", parse.wide_years(t).alias("y"))
+    return got.select("p_partkey", F.array_join(F.col("y").cast("array<string>"), ",").alias("years"))
+
+
 @query("SELECT l_orderkey || '_' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY ALL")
 def i11_composite_key(s, d):
     return v.read(s, d, "lineitem").groupBy(text.composite_key("l_orderkey", "l_linenumber").alias("key")).agg(F.count("*").alias("n"))

@@ -106,7 +106,7 @@ def listing_auctions(listing: DataFrame, house: str, prefix: str, year: int | No
         rows = rows.filter(text.has_keyword(F.coalesce("title", F.lit("")), list(words)))
     told = F.coalesce(F.nullif(F.trim("date_text"), F.lit("")), F.col("title"))
     day = parse.date_of(told)
-    span = grammar.bind(day, lambda x: F.when(x.isNotNull(), F.struct(x.alias("start"), x.alias("end"))).otherwise(grammar.date_range(told, F.lit(year).cast("int"))))
+    span = text.bind(day, lambda x: F.when(x.isNotNull(), F.struct(x.alias("start"), x.alias("end"))).otherwise(grammar.date_range(told, F.lit(year).cast("int"))))
     place = F.coalesce(F.nullif(F.trim("city"), F.lit("")), F.when(F.size(F.split("title", ",")) >= 2, F.trim(F.element_at(F.split("title", ","), -2))))
     rows = rows.withColumn("_span", span)
     return rows.select(
