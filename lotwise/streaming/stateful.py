@@ -129,9 +129,9 @@ class LateRows(Landing):
         return self.spark.read.schema(ITEM + ", tries int").parquet(f"{self.folder}/dead/batch=*")
 
     def close(self) -> None:
-        letters, known = self.dead(), self.parents()
-        self.keep("accepted", -1, letters.join(known, "key", "left_semi").select("key", "seq", "kind", "body"))
-        self.keep("lost", -1, letters.join(known, "key", "left_anti").withColumn("tries", F.col("tries") + 1))
+        taken, lost = items.retry(self.dead(), self.parents(), "key")
+        self.keep("accepted", -1, taken.select("key", "seq", "kind", "body"))
+        self.keep("lost", -1, lost.withColumn("tries", F.col("tries") + 1))
         self.count(-1, "lost")
 
     def accepted(self) -> DataFrame:
