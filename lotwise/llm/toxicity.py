@@ -7,11 +7,12 @@ Fit (on at most about MAX_DOCS labelled documents a class, by a hash of the id;
    ordinary words in; a term that a few clean documents hold too can be one.
 3. Words and long stems get an edit budget (0, 1 or 2 by length). The Levenshtein automaton of the lexicon's trie is
    built lazily as one deterministic automaton: a state is the set of (trie node, edits), most words die early.
-4. Context: each hit is direct, misspelled or quoted (inside quotation marks or after a word that reports speech);
-   a logistic regression on counts of these, on the weights of the different terms among them, and on the hits' density,
-   gives the score.
+4. Context: each hit is direct, misspelled or quoted (between an opening and a closing mark, or after a word that reports
+   speech); a logistic regression on counts of these, on the different words and the weights of the different terms among
+   them, and on their densities, gives the score.
 
-Scoring reads every whole text and shuffles nothing; the lexicon is bounded by MAX_TERMS.
+Scoring reads every whole text and shuffles nothing. A document counts for at most three terms and a term needs MIN_DOCS of
+them, so the lexicon has at most about 3 * MAX_DOCS / MIN_DOCS terms.
 
 Cases: null and empty texts, and texts without hits, get the model's score for no hits; without labelled rows of both
 classes every score is 0; labels null in toxic are left out; a repeated label row counts as often; every input row
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 from lotwise.llm.common import held_out, map_arrow, table
 
 MAX_DOCS = 6000
-MAX_TERMS = 2000
 #: least toxic documents of a term, least ratio of its shares of toxic and clean documents
 MIN_DOCS, MIN_ODDS = 4, 8.0
 STEMS = range(4, 8)
 CONTEXT = 6
+#: a quoted hit is at most so many characters before the closing mark
+NEAR_MARK = 60
 WORD = re.compile(r"[^\W\d_]+")
 QUOTES = re.compile(r"[\"“”«»„]")
 #: words that report what others say; fixed values
@@ -159,28 +161,29 @@ class Model:
         return [(i, *h) for i, w in enumerate(words) if (h := cache[w])], words
 
     def features(self, text: str | None, seen: tuple | None = None) -> list[float]:
-        """What a score rests on: direct, misspelled and quoted hits, their terms' weights, hits per 100 words."""
+        """What a score rests on: direct, misspelled and quoted hits, hits per 100 words, terms' weights, different words."""
         found, words = seen or (self.hits(text) if text else ([], []))
         if not found:
-            return [0.0] * 8
+            return [0.0] * 10
         quoted = set()
-        marks = [m.start() for m in QUOTES.finditer(text)]
-        spans = [m.span() for m in WORD.finditer(text)] if marks else []
+        quotes = quotations(text)
+        spans = [m.span() for m in WORD.finditer(text)] if quotes else []
         for i, _, _ in found:
             reported = any(w.lower() in REPORTS for w in words[max(0, i - CONTEXT) : i])
-            if not reported and marks:
+            if not reported and quotes:
                 start, end = spans[i]
-                after = bisect.bisect_left(marks, end)
-                reported = bisect.bisect_left(marks, start) % 2 == 1 and after < len(marks) and marks[after] - end < 60
+                k = bisect.bisect_left(quotes, (start,)) - 1
+                reported = k >= 0 and 0 <= quotes[k][1] - end < NEAR_MARK
             if reported:
                 quoted.add(i)
         direct = sum(1 for i, e, _ in found if e == 0 and i not in quoted)
         near = sum(1 for i, e, _ in found if e > 0 and i not in quoted)
         weigh = lambda terms: min(3.0, sum(self.odds[t] for t in terms) / 10) if self.odds else 0.0
         exact = {t for i, e, t in found if e == 0 and i not in quoted}
+        different = {words[i].lower() for i, e, _ in found if e == 0}
         return [
-            float(direct > 0), np.log1p(direct), float(near > 0), np.log1p(near), np.log1p(len(quoted)), min(5.0, 100 * (direct + len(quoted)) / len(words)),
-            weigh(exact), weigh({t for i, e, t in found if e > 0 and i not in quoted} - exact)]
+            float(direct > 0), np.log1p(direct), float(near > 0), np.log1p(near), np.log1p(len(quoted)), np.log1p(100 * direct / len(words)),
+            np.log1p(100 * near / len(words)), weigh(exact), weigh({t for i, e, t in found if e > 0 and i not in quoted} - exact), np.log1p(len(different))]
 
     def score(self, text: str | None, seen: tuple | None = None) -> float:
         if self.weights is None:
@@ -189,6 +192,21 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(opening mark, closing mark) of each quotation: a mark opens after a space and before none, else it closes what is
+    open. A mark without its partner changes nothing after the next opening one."""
+    spans, open_ = [], -1
+    for m in QUOTES.finditer(text):
+        at = m.start()
+        before, after = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+        if (not before or before.isspace() or before in "([{-") and after and not after.isspace():
+            open_ = at
+        elif open_ >= 0:
+            spans.append((open_, at))
+            open_ = -1
+    return spans
+
+
 def terms_of(text: str) -> set[str]:
     words = set(WORD.findall(text.lower()))
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
@@ -214,7 +232,7 @@ def choose(doc_terms: list[set[str]], precise: set[str]) -> list[str]:
     # gains only fall, so a term whose gain is still the one it was queued with is the best of all
     queue = [(-len(holds[t]), k) for k, t in enumerate(order) if len(holds[t]) >= MIN_DOCS]
     heapq.heapify(queue)
-    while queue and len(chosen) < MAX_TERMS:
+    while queue:
         queued, k = heapq.heappop(queue)
         best = order[k]
         if gone(best):
@@ -242,7 +260,7 @@ def choose(doc_terms: list[set[str]], precise: set[str]) -> list[str]:
     return chosen
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-5) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     """Newton steps; the first weight is the constant."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])

@@ -66,9 +66,14 @@ def test_toxicity_held_out(spark):
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the larger tables are not there")
 def test_toxicity_recall_and_precision(spark):
-    got = toxicity.op1_toxicity(spark, "/root/testdata/sf0.1").join(table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").collect()
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    got = toxicity.op1_toxicity(spark, "/root/testdata/sf0.1").join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
     toxic, alarms = [r.predicted for r in got if r.toxic == 1 and r.held_out], [r for r in got if r.toxic == 0 and r.held_out and r.predicted]
-    assert sum(toxic) / len(toxic) >= 0.85 and len(alarms) <= 5
+    assert sum(toxic) / len(toxic) >= 0.9 and len(alarms) <= 5
+    # in each language, over held-out and learned rows, as some have fewer than ten held-out ones
+    for lang in ("en", "de", "fr", "es"):
+        of = [r.predicted for r in got if r.toxic == 1 and r.lang == lang]
+        assert len(of) > 20 and sum(of) / len(of) >= 0.8, lang
 
 
 def test_toxicity_clash(spark):
@@ -86,11 +91,29 @@ def test_toxicity_without_labels(spark):
 def test_quoted_hits_weigh_apart():
     m = toxicity.Model(["idiot"])
     assert m.features('they said "idiot" to me')[4] > 0 and m.features("you idiot")[0] == 1.0
-    assert m.features(None) == [0.0] * 8
+    assert not any(m.features(None))
     assert m.features('"' + "idiot " * 3000 + '"')[4] > 0 and m.features("idiot " * 3000)[0] == 1.0  # marks are searched, not scanned
     assert m.features("İİİİ you idiot, they")[0] == 1.0
 
 
+def test_odd_marks_turn_nothing_round():
+    m = toxicity.Model(["idiot"])
+    assert m.features('a 12" shelf, you idiot, and "so on"')[0] == 1.0  # the mark of inches opens nothing
+    assert m.features('he wrote "idiot" on a 12" shelf')[0] == 0.0
+    assert m.features('one " alone, then “idiot” again')[4] > 0
+    assert toxicity.quotations('"a b" c "d') == [(0, 4)] and toxicity.quotations("„so“ «und» »wo«") == [(0, 3), (5, 9), (11, 14)]
+    assert toxicity.quotations('"') == [] and toxicity.quotations("") == []
+
+
+def test_toxicity_of_no_documents_and_ties(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(k, "you utter idiot" if k % 2 else "a fine day") for k in range(40)], "doc_id long, text string")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.fit(docs.limit(0), labels).terms == []
+    rows = toxicity.score(docs.union(docs), model).collect()  # repeated rows each give a row, equal texts the same score
+    assert len(rows) == 80 and len({(r.doc_id % 2, r.score) for r in rows}) == 2
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
