@@ -434,6 +434,110 @@ def test_extraction_query_rows(spark):
     assert wrappers.extract(pages.limit(0), wrappers.fit(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("name", "user-comments comment-thread article-comments post-comments c-comment related-posts related-articles ad-slot site-ad-unit adsbygoogle share-buttons gdpr-notice breadcrumb-trail".split())
+def test_compound_names_of_boilerplate(name):
+    page = f'<article><p>One</p><div class="{name}"><p>inner words</p></div><p>Two</p></article>'
+    assert wrappers.extract_page(page)[0] == "One\nTwo"
+    assert wrappers.extract_page(f'<body><p>One</p><div class="{name}"><p>inner words</p></div></body>')[0] == "One"
+
+
+@pytest.mark.parametrize("name", "share-price page-with-sidebar has-comments-off adventure commented article-body post entry-content menu-list recipe-menu category-legal".split())
+def test_names_of_content(name):
+    page = f'<article><p>One</p><div class="{name}"><p>inner words</p></div><p>Two</p></article>'
+    assert wrappers.extract_page(page)[0] == "One\ninner words\nTwo"
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p>Tag <label>cheese</label> here</p>", "Tag cheese here"), ("<p>t</p><div><label>Email</label> <input></div>", "t"), ("<p>t</p><div><label>Email</label></div>", "t"),
+    ('<article><p>Food</p><ul class="menu-list"><li>Soup</li><li>Fish</li></ul><ul class="menu"><li><a href=x>Home</a></li></ul></article>', "Food\nSoup\nFish"),
+    ('<p>t</p><div role="contentinfo">c</div>', "t"),
+])
+def test_labels_and_menus(page, want):
+    assert wrappers.extract_page(page)[0] == want
+
+
+def test_matcher_equals_regular_expressions():
+    import random
+
+    rng = random.Random(7)
+
+    def made(depth):
+        return [[rng.randrange(3), rng.randrange(2)] if depth == 0 or rng.random() < 0.6 else [rng.choice("+?"), made(depth - 1)] for _ in range(rng.randint(1, 3))]
+
+    def sound(items):  # a repeat always holds something that is not optional
+        return all(isinstance(i[0], int) or sound(i[1]) and (i[0] == "?" or any(x[0] != "?" for x in i[1])) for i in items)
+
+    def plainly(items):
+        return "".join("abc"[i[0]] if isinstance(i[0], int) else f"(?:{plainly(i[1])}){i[0]}" for i in items)
+
+    tried = hits = 0
+    while tried < 300:
+        items = made(2)
+        if not sound(items):
+            continue
+        tried += 1
+        m, r = wrappers.Matcher(items), re.compile(plainly(items))
+        for _ in range(40):
+            word = [rng.randrange(3) for _ in range(rng.randint(0, 6))]
+            of = m.groups_of(word)
+            assert (of is not None) == (r.fullmatch("".join("abc"[c] for c in word)) is not None), (items, word)
+            hits += of is not None
+    assert hits > 300
+
+
+def test_fitted_pages_are_matched():
+    import random
+
+    rng = random.Random(11)
+    parts = ["<h2>a{k}</h2>", "<p>b{k}<br>c", "<p>d{k}</p>", "<ul><li>e{k}</li><li>f</li></ul>", "<div class=x>g{k}</div>", "<i>h</i>", "<b>i{k}</b><br>"]
+    for _ in range(40):
+        pages = ["".join(rng.choice(parts).format(k=rng.randrange(9)) for _ in range(rng.randint(1, 14))) + rng.choice(["", "</body></html>"]) for _ in range(10)]
+        made = wrappers.infer(pages)
+        assert all(wrappers.extract_page(p, made)[1] for p in pages)
+
+
+def test_a_large_irregular_page_leaves_the_wrapper():
+    import random
+
+    rng = random.Random(3)
+    page = '<html><body><div class="q1"><p>Our shop</p></div><div class="q2"><h2>T{k}</h2><p>text {k}</p></div></body></html>'
+    odd = "<html><body>" + "".join(rng.choice(["<u>x</u>", "<i>y</i><br>", "<b>z", "<s>w</s>"]) for _ in range(4 * wrappers.MAX_SYMBOLS)) + "</body></html>"
+    for pages in ([odd] + [page.format(k=k) for k in range(6)], [page.format(k=k) for k in range(6)] + [odd]):
+        made = wrappers.infer(pages)
+        assert wrappers.extract_page(page.format(k=77), made) == ("T77\ntext 77", True) and wrappers.extract_page(odd, made)[1] is False
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the larger tables are not there")
+def test_most_pages_are_matched(spark):
+    rows = wrappers.op2_html_extraction(spark, "/root/testdata/sf0.1").select("matched").collect()
+    assert sum(r.matched for r in rows) / len(rows) >= 0.98
+
+
+def test_extraction_with_clashing_columns(spark):
+    rows = [(k, f"http://h.example/{k}", PAGE.format(t=f"A{k}", ps=f"<p>x{k}</p>"), "w", ["v"], 1) for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, wrapper string, varied array<string>, salt int")
+    got = wrappers.extract(pages, wrappers.fit(pages)).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [(k, f"A{k}\nx{k}") for k in range(6)]
+
+
+def test_extraction_query_equals_page_by_page(spark):
+    """The query's rows are those of wrappers made and applied page by page, on hosts of fewer than PAGES pages."""
+    pages = table(spark, DATA, "pages")
+    made = {}
+    by_host = {}
+    for r in pages.select("page_id", "html", wrappers.host(F.col("url")).alias("h"), F.xxhash64("html").alias("x")).collect():
+        by_host.setdefault(r.h, []).append(r)
+    small = {h: rows for h, rows in by_host.items() if len({r.x for r in rows}) <= wrappers.PAGES}
+    assert small
+    for h, rows in small.items():
+        different = {r.x: r.html for r in rows if r.html}
+        w = wrappers.infer([different[x] for x in sorted(different)])
+        lacking = frozenset(g for r in rows if r.html and w for g in wrappers.absent(r.html, w))
+        made |= {r.page_id: wrappers.extract_page(r.html, w, lacking)[0] for r in rows}
+    got = {r.page_id: r.text for r in wrappers.op2_html_extraction(spark, DATA).collect()}
+    assert {k: got[k] for k in made} == made
+
+
 def test_quality_accuracy(spark):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     got = quality.judge(docs).join(labels, "doc_id").select("keep", "quality").collect()
