@@ -69,6 +69,13 @@ def majority(df: DataFrame, key: str, value: str, position: str) -> DataFrame:
     return per.groupBy(key).agg(F.min_by(value, F.struct((-F.col("n")).alias("n"), "at")).alias(value))
 
 
+def majorities(df: DataFrame, key: str, values: tuple[str, ...], position: str) -> DataFrame:
+    """majority of several text columns in one pass; null where a key has no value."""
+    each = df.select(key, F.col(position).alias("at"), F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in values])).alias("x")).filter("x.v IS NOT NULL")
+    per = each.groupBy(key, "x.c", "x.v").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    return per.groupBy(key).agg(*[F.min_by("v", F.when(F.col("c") == c, F.struct((-F.col("n")).alias("n"), "at"))).alias(c) for c in values])
+
+
 def top_values(df: DataFrame, value: str, n: int = 200, unknown: str = "(unknown)") -> DataFrame:
     return df.groupBy(F.coalesce(value, F.lit(unknown)).alias(value)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(n)
 

@@ -72,11 +72,9 @@ COUNTRY_OF = {
 
 def by_majority(lots: DataFrame, items: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """lots with the value that most of their items have, the first of equals; lots whose items have none keep their own."""
-    for c in columns:
-        most = rollup.majority(items, "lot_id", c, "position").select(F.col("lot_id").alias("_lot"), F.col(c).alias("_most"))
-        lots = lots.join(most, F.col("external_id") == F.col("_lot"), "left")
-        lots = lots.withColumn(c, F.coalesce("_most", F.col(c)) if c in lots.columns else F.col("_most")).drop("_lot", "_most")
-    return lots
+    most = rollup.majorities(items, "lot_id", columns, "position").select(F.col("lot_id").alias("_lot"), *[F.col(c).alias(f"_{c}") for c in columns])
+    both = lots.join(most, F.col("external_id") == F.col("_lot"), "left")
+    return both.withColumns({c: F.coalesce(f"_{c}", c) if c in lots.columns else F.col(f"_{c}") for c in columns}).drop("_lot", *[f"_{c}" for c in columns])
 
 
 def hit_records(raw: DataFrame) -> DataFrame:
@@ -136,11 +134,14 @@ def related_lots(raw: DataFrame) -> DataFrame:
     words = lambda c: F.array_join(F.flatten(F.transform(F.coalesce(F.col(c), F.array().cast(TOLD)), lambda x: F.array(x.title, x.description, x.info))), " ")
     read = read.withColumn("page", F.concat_ws(" ", words("rel.auctions"), words("rel.catalogs"), words("rel.parts")))
     read = read.select(F.get("rel.auctions", F.lit(0)).alias("a"), "page", F.explode("b.items").alias("r")).filter("r.id is not null and a.id is not null")
-    said = read.withColumn("said", grammar.description(F.coalesce("r.description", F.lit("")))).withColumn("range", parse.estimate_range(grammar.plain(F.col("r.description"), " ")))
+    # descriptions repeat, and what they say takes long to find
+    read = read.withColumns({"short": F.col("r.shortDescription"), "about": F.col("r.description"), "details": F.col("r.details")})
+    words_of = F.concat_ws(" ", "short", "about", "details", "said.title", "said.producer")
+    told = {"said": grammar.description(F.coalesce("about", F.lit(""))), "range": parse.estimate_range(grammar.plain(F.col("about"), " ")), "kind": parse.lot_type(words_of, SPIRITS, WINES)}
+    said = scratch.worked_out(read, ["short", "about", "details"], told, "descriptions")
     auction = F.concat(F.lit("steinfels_"), "a.id")
     high = F.when(F.col("r.upperBasePrice") > 0, F.col("r.upperBasePrice"))
-    kind = parse.lot_type(F.concat_ws(" ", "r.shortDescription", "r.description", "r.details", "said.title", "said.producer"), SPIRITS, WINES)
-    kind = F.when((kind == "Wine & Spirits") & parse.has_keyword(F.col("page"), WINE_SALES), "Wine").otherwise(kind)
+    kind = F.when((F.col("kind") == "Wine & Spirits") & parse.has_keyword(F.col("page"), WINE_SALES), "Wine").otherwise(F.col("kind"))
     return said.select(
         F.concat_ws("_", auction, "r.id").alias("external_id"), auction.alias("auction_id"), F.col("said.title").alias("lot_name"), F.array(kind).alias("lot_type"), F.col("said.ml").alias("volume"),
         F.when(F.size("said.amounts") == 1, F.get("said.amounts", F.lit(0))["qty"].cast("int")).alias("unit"), F.col("a.currency").alias("original_currency"),
@@ -209,7 +210,7 @@ def sale_lots(raw: DataFrame) -> DataFrame:
     whole = lambda c: F.nullif(F.col(c).try_cast("double"), F.lit(0.0)).cast("long")
     said = F.coalesce(F.nullif("price_realised_txt", F.lit("")), F.nullif("estimate_txt", F.lit("")))
     sold = F.coalesce(F.col("price_realised"), F.lit("")) != ""
-    rows = r.withColumn("v", parse.lot_volume(F.col("title_secondary_txt")))
+    rows = scratch.worked_out(r, ["title_secondary_txt"], {"v": parse.lot_volume(F.col("title_secondary_txt"))}, "volumes")
     return rows.select(
         F.concat_ws("_", "auction_id", "object_id").alias("external_id"), "auction_id", F.col("title_primary_txt").alias("lot_name"), F.split(said, " ")[0].alias("original_currency"),
         whole("price_realised").alias("end_price"), whole("estimate_low").alias("low_estimate"), whole("estimate_high").alias("high_estimate"), sold.alias("sold"), F.when(sold, day(F.col("end_date"))).alias("sold_date"),
