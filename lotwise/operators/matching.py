@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +113,7 @@ def rerank(score: Column) -> Column:
     return F.greatest(F.lit(0.0), score + name_bonus() + producer_bonus())
 
 
+REQUEST = ("wine_name", "lot_producer", "region", "sub_region", "country", "colour")
 CATALOGUE = ("display_name", "producer_title", "producer_name", "wine", "country", "region", "sub_region", "site", "colour", "classification", "lwin", "reference")
 
 
@@ -127,7 +128,11 @@ def match(requests: DataFrame, catalogue: DataFrame, limit: int = 50, topk: int
     requests: request_id, wine_name, lot_producer and optionally region, sub_region, country, colour. Requests that the
     rules on requests alone turn down are left out before retrieval; every request has a result row.
     """
-    asked = with_columns(requests, ("lot_producer", "region", "sub_region", "country", "colour"))
+    given = scratch.saved(with_columns(requests, REQUEST).select("request_id", *REQUEST), "requests")
+    # equal requests are matched once, under a number of their own
+    asked = scratch.saved(given.select(*REQUEST).distinct().withColumn("form", F.monotonically_increasing_id()), "forms")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in REQUEST])
+    numbered = given.join(asked.select("form", *[F.col(c).alias(f"_{c}") for c in REQUEST]), same).select("request_id", "form")
     asked = asked.withColumns({"wine_name": clean_title(F.col("wine_name")), "producer_clean": F.lower(clean_title(F.col("lot_producer")))})
     able = asked.filter(rules.all_of(rules.not_mixed(), rules.has_producer()) & (F.col("wine_name") != ""))
     known = with_columns(catalogue, CATALOGUE)
@@ -135,7 +140,8 @@ def match(requests: DataFrame, catalogue: DataFrame, limit: int = 50, topk: int
 
     # equal names are retrieved once, among the different texts of the catalogue; rows with a text rank by their ids
     names = able.select("wine_name").distinct()
-    texts = scratch.saved(known.select("id", clean_title(merged("display_name", "producer_title", "producer_name", "wine")).alias("text")), "texts")
+    raw = known.select("id", merged("display_name", "producer_title", "producer_name", "wine").alias("raw"))
+    texts = scratch.saved(scratch.worked_out(raw, ["raw"], {"text": clean_title(F.col("raw"))}, "titles").select("id", "text"), "texts")
     groups = texts.groupBy("text").agg(F.min("id").alias("text_id"), F.count("*").alias("copies"))
     index = postings(groups, "text_id", F.col("text"), stem=stem, wanted=terms_of(names, F.col("wine_name"), stem=stem), copies="copies")
     by_text = retrieve(names, "wine_name", F.col("wine_name"), index, limit, stem=stem)
@@ -143,18 +149,19 @@ def match(requests: DataFrame, catalogue: DataFrame, limit: int = 50, topk: int
     held = held.join(groups.select(F.col("text"), "text_id"), "text").select("text_id", F.col("id").alias("_id"))
     found = by_text.drop("rank").join(held, F.col("doc") == F.col("text_id")).select("wine_name", F.col("_id").alias("doc"), "bm25")
     by_score = Window.partitionBy("wine_name").orderBy(F.desc(F.round("bm25", 9)), "doc")
-    found = found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= limit)
-    rows = known.select(F.col("id").alias("doc"), *[F.col(c).alias(f"c_{c}") for c in CATALOGUE], clean_title(F.col("display_name")).alias("c_clean")).withColumns(rules.catalogue_forms())
+    found = scratch.saved(found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= limit), "found")
+    rows = known.select(F.col("id").alias("doc"), *[F.col(c).alias(f"c_{c}") for c in CATALOGUE])
+    rows = rows.join(found.select("doc").distinct(), "doc", "left_semi").withColumn("c_clean", clean_title(F.col("c_display_name"))).withColumns(rules.catalogue_forms())
     # names repeat: what a name and a catalogue row give is found once, in a table of its own, and joined to the requests
     named = found.join(rows, "doc").withColumn("name_score", base_score(F.col("bm25"), "wine_name", "c_clean") + name_bonus())
     named = scratch.saved(named, "named")
     pairs = able.withColumns(rules.request_forms()).join(named, "wine_name").filter(rules.standard(made=True))
     scored = pairs.withColumn("score", F.greatest(F.lit(0.0), F.col("name_score") + producer_bonus())).withColumn("code", catalogue_code("c_lwin", "c_reference"))
-    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "rank", "doc")
+    w = Window.partitionBy("form").orderBy(F.desc("score"), "rank", "doc")
     best = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= topk)
     item = F.struct("place", "score", "code", F.struct(F.col("doc").alias("id"), F.col("c_display_name").alias("display_name"), F.col("c_producer_name").alias("producer_name"), F.col("c_region").alias("region")).alias("item"))
-    listed = best.groupBy("request_id").agg(F.array_sort(F.collect_list(item)).alias("found"))
-    return classify(requests.select("request_id").join(listed, "request_id", "left"))
+    listed = best.groupBy("form").agg(F.array_sort(F.collect_list(item)).alias("found"))
+    return classify(numbered.join(listed, "form", "left"))
 
 
 def match_job(requests: DataFrame, catalogue: DataFrame, existing: DataFrame, mode: str = "only_missing", n: int = 1000, seed: int = 42, **options) -> DataFrame:
@@ -207,13 +214,20 @@ def score_target(requests: DataFrame, catalogue: DataFrame, target: int) -> Data
 def infer_metadata(lots: DataFrame, catalogue: DataFrame, least: float = 40.0) -> DataFrame:
     """(lot_id, status, producer_name, region, sub_region): the catalogue row a title speaks of.
 
+    A row's score depends on its wine, producer and sub-region alone, so titles meet the different ones of these, and what
+    they give for wine, producer and sub-region is found once for each pair of texts.
+
     0.3 cosine of tf-idf vectors (smoothed idf) and fuzzy ratios of wine (0.3), producer (0.2) and sub-region (0.2); the
     best row counts above ``least``; several best rows are "ambiguous", none "not_found".
     """
     known = with_columns(catalogue, CATALOGUE)
-    terms = known.select(F.col("id").alias("doc"), F.explode(tokens(F.col("wine"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    n = known.agg(F.count("*").alias("n_docs"))
-    idf = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    parts = ("wine", "producer_name", "sub_region")
+    row = F.min_by(F.struct("producer_name", "region", "sub_region"), "id").alias("row")
+    groups = scratch.saved(known.groupBy(*parts).agg(F.count("*").alias("copies"), F.min("id").alias("doc_id"), row), "catalogue-groups")
+    wines = groups.groupBy("wine").agg(F.sum("copies").alias("copies")).withColumn("doc", F.col("wine"))
+    terms = wines.select("doc", "copies", F.explode(tokens(F.col("wine"))).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("copies").alias("copies"))
+    n = wines.agg(F.sum("copies").alias("n_docs"))
+    idf = terms.groupBy("term").agg(F.sum("copies").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     doc = terms.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = doc.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     doc = doc.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("dw"))
@@ -222,16 +236,37 @@ def infer_metadata(lots: DataFrame, catalogue: DataFrame, least: float = 40.0) -
     q = q.withColumn("w", F.col("tf") * F.col("idf"))
     qn = q.groupBy("title").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
     cosine = q.join(doc, "term").groupBy("title", "doc").agg(F.sum(F.col("w") * F.col("dw")).alias("dot")).join(qn, "title")
-    rows = known.select(F.col("id").alias("doc"), "wine", "producer_name", "region", "sub_region")
-    both = cosine.join(rows, "doc")
-    for c in ("wine", "producer_name", "sub_region"):
+    by_wine = scratch.saved(cosine.select("title", F.col("doc").alias("wine"), (0.3 * F.col("dot") / F.col("qn")).alias("share")), "title-wines")
+
+    def rated(pairs: DataFrame, c: str) -> DataFrame:
         # catalogue values repeat, so each is compared with a title once
-        each = both.select("title", c).distinct().withColumn(f"r_{c}", weighted_ratio_of(F.lower(F.col("title")), F.lower(rules.text(c))))
-        each = each.select(F.col("title").alias("_t"), F.col(c).alias("_v"), f"r_{c}")
-        both = both.join(each, (F.col("title") == F.col("_t")) & F.col(c).eqNullSafe(F.col("_v"))).drop("_t", "_v")
-    scored = both.withColumn("score", F.round(0.3 * F.col("dot") / F.col("qn") + 0.3 * F.col("r_wine") + 0.2 * F.col("r_producer_name") + 0.2 * F.col("r_sub_region"), 6))
-    best = scored.groupBy("title").agg(F.max("score").alias("top"))
-    tops = scored.join(best, "title").filter("score = top").groupBy("title").agg(F.count("*").alias("n"), F.first("top").alias("top"), F.min_by(F.struct("producer_name", "region", "sub_region"), "doc").alias("row"))
+        each = pairs.select("title", c).distinct().repartition("title", c)
+        return scratch.saved(each.withColumn(f"r_{c}", weighted_ratio_of(F.lower(F.col("title")), F.lower(rules.text(c)))), f"ratios-{c}")
+
+    def beside(pairs: DataFrame, rates: DataFrame, c: str) -> DataFrame:
+        r = rates.select(F.col("title").alias("_t"), F.col(c).alias("_v"), f"r_{c}")
+        return pairs.join(r, (F.col("title") == F.col("_t")) & F.col(c).eqNullSafe(F.col("_v"))).drop("_t", "_v")
+
+    of_wine = beside(by_wine, rated(by_wine, "wine"), "wine")
+    rates = {c: rated(by_wine.join(groups.select("wine", c).distinct(), "wine"), c) for c in parts[1:]}
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(groups, "wine")
+        for c in parts[1:]:
+            both = beside(both, rates[c], c)
+        return both.withColumn("score", F.round(F.col("share") + 0.3 * F.col("r_wine") + 0.2 * F.col("r_producer_name") + 0.2 * F.col("r_sub_region"), 6))
+
+    # the best row of a title's best wine is a bound: wines that can't reach it with the title's best ratios are left out
+    mine = F.col("share") + 0.3 * F.col("r_wine")
+    first = of_wine.groupBy("title").agg(F.max_by(F.struct("wine", "share", "r_wine"), mine).alias("w")).select("title", "w.*")
+    bound = scores(first).groupBy("title").agg(F.max("score").alias("least"))
+    for c in parts[1:]:
+        bound = bound.join(rates[c].groupBy("title").agg(F.max(f"r_{c}").alias(f"most_{c}")), "title")
+    near = of_wine.join(bound, "title").filter(mine + 0.2 * F.col("most_producer_name") + 0.2 * F.col("most_sub_region") >= F.col("least") - 1e-5)
+    scored = scores(scratch.saved(near.select("title", "wine", "share", "r_wine"), "near-wines"))
+    # the best score, how many rows have it and the first of them, in one pass: max_by keeps what goes with the highest
+    best = scored.groupBy("title", "score").agg(F.sum("copies").alias("n"), F.min_by("row", "doc_id").alias("row"))
+    tops = best.groupBy("title").agg(F.max_by(F.struct("n", "row"), "score").alias("best"), F.max("score").alias("top")).select("title", "top", "best.n", "best.row")
     sure = (F.col("top") > least) & (F.col("n") == 1)
     out = lots.select("lot_id", "title").join(tops, "title", "left")
     status = F.when(F.col("top").isNull() | (F.col("top") <= least), "not_found").when(F.col("n") > 1, "ambiguous").otherwise("found")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lotwise.operators import rollup
+from lotwise.operators import matching, rollup
 from lotwise.sources import scratch
 
 
@@ -27,3 +27,34 @@ def test_majorities_are_those_of_each_column(spark):
     assert {k: v for k, v in got.items() if v != (None, None)} == {1: ("b", "y"), 2: ("c", "z")}
     for n, c in enumerate("uv"):
         assert {r.k: r[c] for r in rollup.majority(rows, "k", c, "at").collect()} == {k: x[n] for k, x in got.items() if x[n]}
+
+
+def counted(monkeypatch):
+    """The rows of each table that is written, by name."""
+    rows, real = {}, scratch.saved
+
+    def saved(df, name):
+        out = real(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(scratch, "saved", saved)
+    return rows
+
+
+def wines(spark, copies):
+    return spark.range(6 * copies).select(F.col("id"), F.concat(F.lit("Wine "), F.chr(F.col("id") % 3 + 65)).alias("wine"), F.lit("Maker").alias("producer_name"), F.lit("Place").alias("sub_region"), F.lit("Region").alias("region"))
+
+
+def test_pairs_of_titles_do_not_grow_with_copies_of_catalogue_rows(spark, monkeypatch):
+    titles = spark.createDataFrame([(1, "Wine A Maker Place"), (2, "nothing")], "lot_id long, title string")
+    rows = counted(monkeypatch)
+    got = {r.lot_id: r.status for r in matching.infer_metadata(titles, wines(spark, 50)).collect()}
+    assert got == {1: "ambiguous", 2: "not_found"} and rows["near-wines"] <= 3 and rows["catalogue-groups"] == 3
+
+
+def test_equal_requests_are_matched_once(spark, monkeypatch):
+    asked = spark.range(40).select(F.col("id").alias("request_id"), F.concat(F.lit("Wine A "), F.col("id") % 2).alias("wine_name"), F.lit("Maker").alias("lot_producer"))
+    rows = counted(monkeypatch)
+    got = matching.match(asked, wines(spark, 1).withColumn("display_name", F.col("wine")))
+    assert got.count() == 40 and got.select("request_id").distinct().count() == 40 and rows["forms"] == 2
