@@ -18,9 +18,28 @@ def landed(spark: SparkSession, folder: str, file: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
 
 
-def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over all that has landed, batch by batch; a later call with the checkpoint goes on from there."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+#: state that grows with the input stays on the executors' disks, in a bounded share of their memory
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "500",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", large: bool = False) -> None:
+    """Run a stream over all that has landed, batch by batch; a later call with the checkpoint goes on from there. With
+    ``large`` its state is kept on disk; a stream keeps the kind of state it began with."""
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in STATE} if large else {}
+    try:
+        for k in before:
+            conf.set(k, STATE[k])
+        # a query takes the settings it starts with
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        for k, old in before.items():
+            conf.unset(k) if old is None else conf.set(k, old)
     query.awaitTermination()
 
 

@@ -167,8 +167,8 @@ class AuctionSales:
         self.details.land(details)
         lot, detail = self.lots.stream().alias("l"), self.details.stream().filter("lot_producer IS NOT NULL").alias("d")
         named = detail.join(lot, F.expr("d.lot_id = l.external_id AND d.seq > l.seq")).select("auction_id", "lot_producer")
-        items.drain(named, lambda df, _: self.producers.land(df.distinct()), f"{self.folder}/checkpoint-details")
-        items.drain(self.totals(), items.write_batches(f"{self.folder}/totals"), f"{self.folder}/checkpoint", "update")
+        items.drain(named, lambda df, _: self.producers.land(df.distinct()), f"{self.folder}/checkpoint-details", large=True)
+        items.drain(self.totals(), items.write_batches(f"{self.folder}/totals"), f"{self.folder}/checkpoint", "update", large=True)
 
     def totals(self) -> DataFrame:
         lots = self.lots.stream().withColumn("is_lot", F.lit(True))

@@ -62,3 +62,12 @@ def test_auction_sales(spark, folder):
     assert (got[8].lots, got[8].top_lot, got[8].currency, got[8].sale_type, got[8].ex_ch) == (1, None, None, "PAST", False)
     stream.feed(lots(), details(("7", "lot-3", "B")))
     assert {r.auction_id: r.single_cellar for r in stream.close().collect()} == {7: False, 8: True}
+
+
+def test_state_of_the_auction_stream_is_kept_on_disk(spark, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    stream = stateful.AuctionSales(spark, f"file://{tmp_path}/stream")
+    stream.feed(spark.createDataFrame([("1", "lot-1", 7, "USD", 1.0, 2.0, False, None, None)], stateful.LOT), spark.createDataFrame([], stateful.DETAIL))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    for name in ("checkpoint", "checkpoint-details"):
+        assert "RocksDBStateStoreProvider" in (tmp_path / "stream" / name / "offsets" / "0").read_text()
