@@ -14,9 +14,10 @@ links hold most of the text, and a label only where its block is not running tex
 positions that can produce the rest of it, so every page that a wrapper was aligned with is matched. A page that its
 host's wrapper does not match is split into regions by itself.
 
-A wrapper is fitted on at most about PAGES different pages of its host (by a hash of the page, whole pages), of which those
-that would take it beyond MAX_SYMBOLS tags and texts, with repeats of at most MAX_BODY tokens folded, are left out; every
-page is extracted in whole. Wrappers go to the pages by broadcast while they take at most BROADCAST_BYTES together, else in
+A wrapper is fitted on all different pages of its host: about PAGES of them (dealt out by a hash of the page) make a partial
+wrapper, and FAN partial wrappers at a time are aligned with each other until one is left. A page or partial wrapper that
+would take it beyond MAX_SYMBOLS tags and texts, with repeats of at most MAX_BODY tokens folded, is left out; every page is
+extracted in whole. Wrappers go to the pages by broadcast while they take at most BROADCAST_BYTES together, else in
 a join whose pages are dealt out to SALTS parts a host.
 
 Cases: null and empty html give an empty text; a page without tags is text; a tag that does not end before the next "<"
@@ -37,9 +38,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import map_arrow, saved, table
+from lotwise.llm.common import map_arrow, saved, small_batches, table, tidy
 
-PAGES = 24
+#: different pages of a partial wrapper, on average, and partial wrappers that are aligned at a time
+PAGES, FAN = 24, 24
 #: aligned pages that a template text must be equal on
 SAME = 5
 MAX_SYMBOLS = 4000
@@ -216,11 +218,24 @@ def merge(a, b, turn: bool = False):
     return ("t", a[1], (t | u if turn else t & u, k + j, n + m, max(p, q) if turn else p + q, z + y))
 
 
-def fold(items: list, bodies: set[str]) -> list:
-    """Adjacent repeats become one ("+", body); so do single occurrences of bodies that are known to repeat."""
+def repeats(keys: list[str], size: int) -> bool:
+    """Whether a body of ``size`` keys stands there twice in a row."""
+    run = 0
+    for a, b in zip(keys, keys[size:]):
+        run = run + 1 if a == b else 0
+        if run == size:
+            return True
+    return False
+
+
+def fold(items: list, bodies: set[tuple[int, str]]) -> list:
+    """Adjacent repeats become one ("+", body); so do single occurrences of bodies (size, key) that are known to repeat."""
     keys = [key(i) for i in items]
-    heads = {b[1:].split(" ", 1)[0].lstrip("(") for b in bodies}  # how a known body begins
-    for size in range(1, MAX_BODY + 1):
+    for size in range(1, min(MAX_BODY, len(keys)) + 1):
+        known_here = {b for n, b in bodies if n == size}
+        if not known_here and not repeats(keys, size):
+            continue
+        heads = {b[1:].split(" ", 1)[0].lstrip("(") for b in known_here}  # how a known body begins
         starts = {k for k in range(len(keys) - size) if keys[k] == keys[k + size]}
         out, out_keys, at = [], [], 0
         while at < len(items):
@@ -235,7 +250,8 @@ def fold(items: list, bodies: set[str]) -> list:
             while body and len(body) == size and keys[at + turns * size : at + (turns + 1) * size] == body:
                 turns += 1
             joined = f"({''.join(k + ' ' for k in body)})+"
-            if len(body) == size and (turns > 1 or joined in bodies) and not (size == 1 and items[at][0] == "+"):
+            # what may be left out makes no body, as a repeat of it could be empty
+            if len(body) == size and (turns > 1 or joined in known_here) and not (size == 1 and items[at][0] == "+") and all(i[0] != "?" for i in items[at : at + size]):
                 # a body must not begin or end inside an element
                 opens = sum(not k.startswith(("/", "#", "(")) for k in body)
                 if turns > 1 or opens:
@@ -253,41 +269,27 @@ def fold(items: list, bodies: set[str]) -> list:
     return items
 
 
-def bodies_of(items: list) -> set[str]:
-    return {key(i) for i in items if i[0] == "+"} | {b for i in items if i[0] != "t" for b in bodies_of(i[1])}
+def bodies_of(items: list) -> set[tuple[int, str]]:
+    return {(len(i[1]), key(i)) for i in items if i[0] == "+"} | {b for i in items if i[0] != "t" for b in bodies_of(i[1])}
 
 
 def align(wrapper: list, page: list) -> list:
-    """The wrapper generalised to match the page too."""
-    flat = lambda i: i[1] if i[0] == "?" else [i]
-    # optional items can be matched by the page's: compare with the options opened
-    open_items = [(j, x) for j, i in enumerate(wrapper) for x in flat(i)]
-    match = difflib.SequenceMatcher(None, [key(x) for _, x in open_items], [key(i) for i in page], autojunk=False)
+    """The wrapper generalised to match the page too, or what another wrapper matches."""
+    # optional items can be matched by the other side's: compare with the options opened; -1: of no option
+    opened = lambda items: [(j if i[0] == "?" else -1, x) for j, i in enumerate(items) for x in (i[1] if i[0] == "?" else [i])]
+    left, right = opened(wrapper), opened(page)
+    match = difflib.SequenceMatcher(None, [key(x) for _, x in left], [key(x) for _, x in right], autojunk=False)
     out: list = []
-    optional = {j for j, i in enumerate(wrapper) if i[0] == "?"}
-
-    def option(items: list) -> None:
-        if items:
-            out.append(("?", items))
-
     for op, a, b, c, d in match.get_opcodes():
         if op == "equal":
-            run: list = []  # of one option: neighbouring options are taken or left apart
-            for k, y in zip(range(a, b), page[c:d]):
-                j, x = open_items[k]
-                if run and j != open_items[k - 1][0]:
-                    option(run)
-                    run = []
-                if j in optional:
-                    run.append(merge(x, y))
-                else:
-                    out.append(merge(x, y))
-            option(run)
+            # neighbouring options are taken or left apart
+            for (j, k), of in groupby(zip(left[a:b], right[c:d]), lambda o: (o[0][0], o[1][0])):
+                both = [merge(x, y) for (_, x), (_, y) in of]
+                out += both if j < 0 and k < 0 else [("?", both)]
         else:
             # what every page had stays together, and so does what one option held
-            for _, of in groupby(open_items[a:b], lambda o: o[0] if o[0] in optional else -1):
-                option([x for _, x in of])
-            option(list(page[c:d]))
+            for side in (left[a:b], right[c:d]):
+                out += [("?", [x for _, x in of]) for _, of in groupby(side, lambda o: o[0])]
     return out
 
 
@@ -424,18 +426,46 @@ def bits(mask: int) -> list[int]:
     return out
 
 
-def infer(pages: list[str]) -> str:
-    """The wrapper of a host's pages as JSON: symbols, items and groups; empty where none can be made."""
-    wrapper: list | None = None
-    streams = [leaves_of(p) for p in pages]
-    bodies = {b for stream in streams for b in bodies_of(fold(stream, set()))}
-    for stream in streams:
-        items = fold(stream, bodies)
+def aligned(parts: list[list]) -> list:
+    """The items of pages or of partial wrappers as those of one wrapper; empty where none can be made."""
+    wrapper: list = []
+    for items in parts:
         if len(leaves(items)) > MAX_SYMBOLS:
             continue
-        wider = items if wrapper is None else align(wrapper, items)
+        wider = align(wrapper, items) if wrapper else items
         if len(leaves(wider)) <= MAX_SYMBOLS:
             wrapper = wider
+    return wrapper
+
+
+def partial(pages: list[str]) -> list:
+    """The wrapper of some of a host's pages, as items."""
+    streams = [leaves_of(p) for p in pages]
+    bodies = {b for stream in streams for b in bodies_of(fold(stream, set()))}
+    return aligned([fold(stream, bodies) for stream in streams])
+
+
+def together(parts: list[list]) -> list:
+    """Partial wrappers as one, which matches what each of them does; what repeats in one may stand once in another."""
+    if len(parts) == 1:
+        return parts[0]
+    bodies = {b for items in parts for b in bodies_of(items)}
+    return aligned([fold(items, bodies) for items in parts])
+
+
+def packed(items: list) -> str:
+    """Items as JSON, sets as sorted lists."""
+    simple = lambda i: [*i[:2], [sorted(i[2][0]), *i[2][1:]]] if i[0] == "t" else [i[0], [simple(x) for x in i[1]]]
+    return json.dumps([simple(i) for i in items], ensure_ascii=False, separators=(",", ":"))
+
+
+def unpacked(text: str) -> list:
+    whole = lambda i: ("t", i[1], (frozenset(i[2][0]), *i[2][1:])) if i[0] == "t" else (i[0], [whole(x) for x in i[1]])
+    return [whole(i) for i in json.loads(text)]
+
+
+def finished(wrapper: list) -> str:
+    """A host's wrapper as JSON: symbols, items and groups; empty where there is none."""
     if not wrapper:
         return ""
     names = sorted({x[1] for x in leaves(wrapper)})
@@ -443,6 +473,11 @@ def infer(pages: list[str]) -> str:
     return json.dumps({"symbols": names, "items": items, "groups": groups}, ensure_ascii=False, separators=(",", ":"))
 
 
+def infer(pages: list[str]) -> str:
+    """The wrapper of a host's pages as JSON."""
+    return finished(partial(pages))
+
+
 @lru_cache(maxsize=256)
 def compiled(wrapper: str) -> tuple[dict[str, int], Matcher, list] | None:
     if not wrapper:
@@ -527,18 +562,36 @@ def beside(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     return dealt.join(wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
 
 
-def fit(pages: DataFrame, per_host: int = PAGES) -> DataFrame:
+def fit(pages: DataFrame, per_part: int = PAGES) -> DataFrame:
     """(host, wrapper, varied): pages (url, html); varied: the template texts that some page of the host has not."""
     rows = pages.select("url", host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"), F.xxhash64("html").alias("h")).filter("html is not null and html <> ''")
-    counts = rows.groupBy("host").agg(F.approx_count_distinct("h").alias("m"))
-    # a bounded number of each host's different pages, whatever its size: about twice as many are dealt out, the first by hash used
-    few = rows.join(F.broadcast(counts) if counts.count() <= 100_000 else counts, "host").filter(F.pmod("h", F.lit(1 << 30)) <= F.lit(1 << 30) * F.least(F.lit(1.0), 2 * per_host / F.col("m")))
+    counts = saved(rows.select("host", "h").distinct().groupBy("host").agg(F.ceil(F.count("*") / per_part).alias("parts")), "counts")
+    size = counts.agg(F.count("*").alias("hosts"), F.coalesce(F.max("parts"), F.lit(0)).alias("parts")).first()
+    dealt = rows.join(F.broadcast(counts) if size.hosts <= 100_000 else counts, "host").select("host", F.pmod("h", "parts").alias("part"), "h", "html")
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [pdf["part"].iloc[0]], "items": [packed(partial(list(pdf.sort_values("h")["html"])))]})
+
+    def go_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [pdf["part"].iloc[0] // FAN], "items": [packed(together([unpacked(x) for x in pdf.sort_values("part")["items"]]))]})
+
+    schema = "host string, part long, items string"
+    def new_pages(batches):
+        seen = set()  # copies go no further than their task
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in (0, 2)))
+            yield batch.filter(pa.array([k not in seen and not seen.add(k) for k in keys], pa.bool_()))
+
+    # texts are shuffled once: the parts' pages are told apart where they are
+    once = small_batches(dealt).mapInArrow(tidy(new_pages), dealt.schema).repartition("host", "part").dropDuplicates(["host", "part", "h"])
+    parts, left = saved(once.groupBy("host", "part").applyInPandas(begin, schema), "partial"), size.parts
+    while left > 1:
+        parts, left = saved(parts.groupBy("host", F.floor(F.col("part") / FAN)).applyInPandas(go_on, schema), "partial"), -(-left // FAN)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen = pdf.sort_values("h")["html"].head(per_host)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [infer(list(chosen))]})
+    def end(batch: pa.RecordBatch) -> dict:
+        return {"host": batch.column(0), "wrapper": [finished(unpacked(x)) for x in batch.column(1).to_pylist()]}
 
-    wrappers = saved(few.select("host", "html", "h").dropDuplicates(["host", "h"]).groupBy("host").applyInPandas(run, "host string, wrapper string"), "wrappers")
+    wrappers = saved(map_arrow(parts.select("host", "items"), end, "host string, wrapper string"), "wrappers")
 
     def compare(batch: pa.RecordBatch) -> dict:
         found = {(h, g) for h, page, w in zip(*(batch.column(k).to_pylist() for k in range(3))) if w for g in absent(page, w)}

@@ -394,6 +394,28 @@ def test_slots_decide_where_names_say_nothing(spark):
     assert wrappers.extract_page(pages[4])[0] != got[4].text and got[103].text == got[3].text
 
 
+def test_all_pages_of_a_host_make_its_wrapper(spark):
+    """Structures that few of a host's many pages have are in its wrapper."""
+    pages = bare_pages(400)
+    rare = {k: f'<p>Boxed {k}</p><table class="r{k % 4}"><tr><td>cell {k}</td></tr></table>' for k in range(7, 400, 50)}
+    rows = [(k, f"http://bare.example/{k}", p.replace("<p>Share", rare.get(k, "") + "<p>Share")) for k, p in enumerate(pages)]
+    table_ = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in wrappers.extract(table_, wrappers.fit(table_)).collect()}
+    assert len(got) == 400 and all(r.matched for r in got.values())
+    assert all(f"Boxed {k}\ncell {k}" in got[k].text and "Our shop" not in got[k].text for k in rare)
+
+
+def test_partial_wrappers_match_what_each_matches():
+    import random
+
+    rng = random.Random(12)
+    parts = ["<h2>a{k}</h2>", "<p>b{k}<br>c", "<p>d{k}</p>", "<ul><li>e{k}</li><li>f</li></ul>", "<div class=x>g{k}</div>", "<i>h</i>", "<b>i{k}</b><br>"]
+    for _ in range(30):
+        groups = [["".join(rng.choice(parts).format(k=rng.randrange(9)) for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 6))] for _ in range(4)]
+        made = wrappers.finished(wrappers.together([wrappers.unpacked(wrappers.packed(wrappers.partial(g))) for g in groups]))
+        assert all(wrappers.extract_page(p, made)[1] for g in groups for p in g)
+
+
 def test_copies_are_no_template(spark):
     page = bare_pages(2)[1]
     rows = [(k, f"http://copies.example/{k}", page.replace("text 1 0", f"text {k} zero")) for k in range(20)]
