@@ -7,43 +7,36 @@ stream opened again on its folder goes on from its checkpoint and reads nothing
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from lotwise.operators.rollup import whole
 from lotwise.streaming import items
 
 ITEM = "key string, seq long, kind string, body string"
 ACTION = "key string, at long, action string, seq long, body string"
-WAITING = "seen boolean, details string"
-
-
-def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Actions of one parent's items, in order of arrival; the state is whether it came and which details wait."""
-    seen, waiting = state.get if state.exists else (False, "[]")
-    waiting, said = json.loads(waiting), []
-    for r in pd.concat(list(frames)).sort_values("seq", kind="stable").itertuples():
-        if r.kind == "parent":
-            said.append((r.seq, "clear", None, None))
-            said += [(r.seq, "put", seq, body) for seq, body in waiting]
-            seen, waiting = True, []
-        elif r.kind == "close":
-            said += [(r.seq, "orphan", seq, body) for seq, body in waiting]
-            waiting = []
-        elif seen:
-            said.append((r.seq, "put", r.seq, r.body))
-        else:
-            said.append((r.seq, "wait", r.seq, None))
-            waiting.append((int(r.seq), r.body))
-    state.update((seen, json.dumps(waiting)))
-    out = pd.DataFrame(said, columns=["at", "action", "seq", "body"])
-    out.insert(0, "key", key[0])
-    yield out.astype({"at": "int64", "seq": "Int64"})
+
+
+def follow(rows: DataFrame) -> DataFrame:
+    """ACTION rows of what parents' items mean, in order of arrival: of a batch's items (ITEM), the parents that came before
+    it (kind "known") and the details that wait (kind "held"). What still waits in the end is said as "held".
+
+    A detail goes to the first parent or close behind it, unless a parent came before it. Both are windows that run once
+    over a key's rows."""
+    turn = F.when(F.col("kind") == "known", 0).when(F.col("kind") == "held", 1).otherwise(2)
+    by_key = Window.partitionBy("key")
+    before, behind = by_key.orderBy("turn", "seq").rowsBetween(Window.unboundedPreceding, -1), by_key.orderBy(F.desc("turn"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    told = rows.withColumn("turn", turn).withColumns({
+        "seen": F.coalesce(F.max(F.col("kind").isin("known", "parent")).over(before), F.lit(False)),
+        "next": F.last(F.when(F.col("kind").isin("parent", "close"), F.struct("seq", "kind")), ignorenulls=True).over(behind)})
+    say = lambda at, action, seq=None, body=None: F.struct(at.alias("at"), F.lit(action).alias("action"), (F.lit(None).cast("long") if seq is None else seq).alias("seq"), (F.lit(None).cast("string") if body is None else body).alias("body"))
+    seq, body, to = F.col("seq"), F.col("body"), F.col("next")
+    goes = F.when(to.isNull(), say(seq, "held", seq, body)).when(to["kind"] == "parent", say(to["seq"], "put", seq, body)).otherwise(say(to["seq"], "orphan", seq, body))
+    said = (
+        F.when(F.col("kind") == "parent", F.array(say(seq, "clear"))).when(F.col("kind") == "held", F.array(goes)).when(F.col("kind").isin("known", "close"), F.array())
+        .when(F.col("seen"), F.array(say(seq, "put", seq, body))).otherwise(F.array(say(seq, "wait", seq), goes)))
+    return told.select("key", F.explode(said).alias("said")).select("key", "said.*")
 
 
 class Landing:
@@ -62,22 +55,27 @@ class Landing:
 
 
 class ParentDetails(Landing):
-    """Details wait in state until their parent comes; a parent that is sent again deletes the details before it; at the
-    close those that still wait are orphans. Rows: ITEM, kind "parent" or "detail"."""
+    """Details wait until their parent comes; a parent that is sent again deletes the details before it; at the close those
+    that still wait are orphans. Rows: ITEM, kind "parent" or "detail". What waits is carried from batch to batch in the
+    table of actions, without Python and without state in memory."""
 
     def __init__(self, spark: SparkSession, folder: str):
         super().__init__(spark, folder, ITEM)
 
-    def run(self) -> None:
-        told = self.stream().groupBy("key").applyInPandasWithState(follow, ACTION, WAITING, "append", GroupStateTimeout.NoTimeout)
-        items.drain(told, items.write_batches(f"{self.folder}/actions"), f"{self.folder}/checkpoint")
+    def take(self, df: DataFrame, batch: int) -> None:
+        if batch:  # a repeated batch takes its own place and reads those before it
+            said = self.spark.read.schema(ACTION + ", batch int").parquet(f"{self.folder}/actions").filter(F.col("batch") < batch)
+            known = said.filter("action = 'clear'").select("key", F.lit(None).cast("long").alias("seq"), F.lit("known").alias("kind"), F.lit(None).cast("string").alias("body")).dropDuplicates(["key"])
+            held = said.filter((F.col("batch") == batch - 1) & (F.col("action") == "held")).select("key", "seq", F.lit("held").alias("kind"), "body")
+            df = df.unionByName(known).unionByName(held)
+        follow(df).write.mode("overwrite").parquet(f"{self.folder}/actions/batch={batch}")
 
     def feed(self, rows: DataFrame) -> None:
         self.land(rows)
-        self.run()
+        items.drain(self.stream(), self.take, f"{self.folder}/checkpoint")
 
     def actions(self) -> DataFrame:
-        return self.spark.read.schema(ACTION).parquet(f"{self.folder}/actions/batch=*")
+        return self.spark.read.schema(ACTION).parquet(f"{self.folder}/actions/batch=*").filter("action <> 'held'")
 
     def close(self) -> None:
         """Sends a last item to each key whose details wait."""

@@ -33,6 +33,27 @@ def test_details_wait_and_go_with_their_parent(spark, folder):
     assert stored(again) == [("early", 1, "a"), ("early", 6, "d"), ("plain", 9, "f")]
 
 
+def test_details_equal_their_rules_read_one_by_one(spark, folder):
+    """Three batches of mixed items against the rules applied item by item; no Python runs for a key."""
+    import random
+
+    rng, stream = random.Random(5), stateful.ParentDetails(spark, folder)
+    rows = [(f"k{rng.randrange(12)}", n, "parent" if rng.random() < 0.15 else "detail", f"b{n}") for n in range(180)]
+    for k in range(0, 180, 60):
+        stream.feed(item(spark, *rng.sample(rows[k : k + 60], 60)))
+    stream.close()
+    seen, waiting, kept = set(), {}, {}
+    for key, seq, kind, body in rows:
+        if kind == "parent":
+            kept[key] = waiting.pop(key, [])
+            seen.add(key)
+        else:
+            (kept if key in seen else waiting).setdefault(key, []).append((key, seq, body))
+    assert stored(stream) == sorted(x for of in kept.values() for x in of)
+    assert sorted((r.key, r.seq, r.body) for r in stream.orphans().collect()) == sorted(x for of in waiting.values() for x in of)
+    assert "Python" not in stateful.follow(item(spark, *rows))._jdf.queryExecution().toString()
+
+
 def test_late_rows_are_tried_once_more(spark, folder):
     stream = stateful.LateRows(spark, folder)
     stream.feed(item(spark, ("a", 1, "row", "early"), ("b", 2, "parent", None), ("b", 3, "row", "at once")))
