@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lotwise.functions import grammar
 from lotwise.operators import taxonomy
 from lotwise.plans.market import query
-from lotwise.sources import feeds, sheets
+from lotwise.sources import feeds, scratch, sheets
 from lotwise.sources import views as v
 
 # fixed values: a title for each form of descriptor, {n} is a count; millilitres for each, and the last count if it is not {n}
@@ -51,7 +51,8 @@ def j9_descriptions(s, d):
         F.concat(F.lit("<strong>TEMENT</strong><br>Zieregg Sauvignon Blanc, 2019<br>Kollektion mit 6 Flaschen:<br>2x Karmeliten "), name, F.lit(" 2010<br>2x Oberer Steilriegel<br>2x Weisse Wand<br><b>1 Sammlerbox OHK</b>")),
         F.concat(F.lit("<b>"), n, F.lit(" bottles</b><p><strong>Mixed &amp; case</strong></p>note 1985<br/>"), n, F.lit(" bottles + 1 magnum<div>Schätzpreis: <span>160 - 240 CHF</span></div>")),
         F.concat(F.lit("<p>plain "), name, F.lit("</p>"))]
-    got = v.read(s, d, "part").select("p_partkey", grammar.description(chosen(html, F.col("p_partkey"))).alias("g"))
+    said = v.read(s, d, "part").select("p_partkey", chosen(html, F.col("p_partkey")).alias("html"))
+    got = scratch.worked_out(said, ["html"], {"g": grammar.description(F.col("html"))}, "descriptions")
     first, item = F.get("g.amounts", F.lit(0)), F.get("g.items", F.lit(0))
     return got.select("p_partkey", "g.title", "g.producer", first["qty"].alias("qty"), first["unit"].alias("unit"), "g.ml", F.array_join(F.col("g.vintages").cast("array<string>"), ",").alias("vintages"),
                       F.size("g.items").alias("n_items"), item["title"].alias("first_item"), item["vintage"].alias("first_vintage"))
