@@ -110,8 +110,9 @@ def j8_count_and_container(s, d):
 @query("SELECT p_partkey, p AS position, CASE p WHEN 0 THEN p_brand ELSE 'Opus One' END AS producer, CASE p WHEN 0 THEN p_size ELSE 2 END AS qty FROM part, (SELECT unnest([0, 1]) AS p)")
 def j10_components(s, d):
     t = F.concat("p_brand", F.lit(", "), "p_name", F.lit(" 1998 ("), F.col("p_size").cast("string"), F.lit(" bottles); Opus One 2001 (2 magnums) (torn label)"))
-    rows = v.read(s, d, "part").select("p_partkey", F.posexplode(parse.components(t)).alias("position", "c"))
-    return rows.select("p_partkey", "position", parse.component_producer(F.col("c.title")).alias("producer"), "c.qty")
+    said = F.transform(parse.components(F.col("t")), lambda c: F.struct(parse.component_producer(c.title).alias("producer"), c.qty.alias("qty")))
+    rows = scratch.worked_out(v.read(s, d, "part").select("p_partkey", t.alias("t")), ["t"], {"said": said}, "components")
+    return rows.select("p_partkey", F.posexplode("said").alias("position", "c")).select("p_partkey", "position", "c.producer", "c.qty")
 
 
 @query("""SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) || CASE WHEN year(o_orderdate) <> 1999 THEN ',1999' ELSE '' END AS seen FROM orders""")

@@ -1,5 +1,6 @@
 """What repeats is worked out once, whatever the number of rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lotwise.operators import exports, matching, rollup
@@ -60,6 +61,17 @@ def test_equal_requests_are_matched_once(spark, monkeypatch):
     assert got.count() == 40 and got.select("request_id").distinct().count() == 40 and rows["forms"] == 2
 
 
+@pytest.mark.parametrize("name,table", [("j9_descriptions", "descriptions"), ("j10_components", "components")])
+def test_equal_texts_of_parts_are_read_once(spark, sf_dir, tmp_path, monkeypatch, name, table):
+    import __spark_entry__ as entry
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    spark.range(3).join(part).withColumn("p_partkey", F.col("p_partkey") + 6_000_000 * F.col("id")).drop("id").write.parquet(f"{tmp_path}/part.parquet")
+    rows = counted(monkeypatch)
+    got = entry.queries()[name](spark, str(tmp_path))
+    assert got.select("p_partkey").distinct().count() == 3 * part.count() and 0 < rows[table] <= part.count()
+
+
 def test_export_joins_matches_before_wide_rows(spark):
     lots = spark.createDataFrame([("l", 1, "n", ["t"], 1.0, 1, "EUR", 1, 1.0, 1, 1, True, None)], "external_id string, auction_id long, lot_name string, lot_type array<string>, volume double, unit int, original_currency string, start_price long, end_price double, low_estimate long, high_estimate long, sold boolean, sold_date date")
     auctions = spark.createDataFrame([(1, "s", "h", "c", "k", None, None, 1, 1)], "external_id long, auction_title string, auction_house string, city string, continent string, start_date date, end_date date, year int, quarter int")
