@@ -142,11 +142,13 @@ def sheet(s, d):
     """Sheets of auctions whose lots have several lines, some without a number, and how many lots each should have."""
     li = v.read(s, d, "lineitem").join(v.read(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     line = F.col("l_linenumber") + (F.col("l_partkey") * 10000 + F.col("l_suppkey")) * 100
-    one = li.groupBy("l_orderkey", line.alias("line"), F.when(F.col("p_partkey") % 7 != 0, F.floor(F.col("l_linenumber") / 2)).alias("lot")).agg(
+    # a sheet's lines are dealt by their auction, as all that follows needs them
+    li = li.withColumn("auction_id", F.concat(F.lit("zachys_"), "l_orderkey")).repartition("auction_id")
+    one = li.groupBy("auction_id", line.alias("line"), F.when(F.col("p_partkey") % 7 != 0, F.floor(F.col("l_linenumber") / 2)).alias("lot")).agg(
         F.max("p_name").alias("lot_title"), F.max("p_brand").alias("producer"), F.max("p_size").alias("p_size"), F.max(F.col("l_quantity").cast("int")).alias("q"), F.max(F.col("p_size") % 5 == 0).alias("mixed"), F.max(F.year("l_shipdate")).alias("y"))
     none = F.lit(None).cast("string")
     rows = one.select(
-        F.concat(F.lit("zachys_"), "l_orderkey").alias("auction_id"), "line", F.when(F.col("lot").isNotNull(), F.concat(F.col("lot").cast("string"), F.lit(".0"))).alias("lot"), "lot_title",
+        "auction_id", "line", F.when(F.col("lot").isNotNull(), F.concat(F.col("lot").cast("string"), F.lit(".0"))).alias("lot"), "lot_title",
         F.when(F.col("mixed"), "Mixed").when(F.col("p_size") % 2 == 0, "16 oz").otherwise("750ml").alias("size"), F.when(F.col("mixed"), F.concat("q", F.lit(" 750ml 1998, 1 1.5l 2001"))).otherwise("").alias("lot_details"),
         F.col("q").cast("string").alias("qty"), F.lit("100").alias("low_estimate"), F.lit("nan").alias("high_estimate"), F.lit("California").alias("region"), none.alias("country"), F.when(F.col("p_size") % 3 != 0, F.col("producer")).alias("producer"),
         F.when(F.col("mixed"), "Mixed").otherwise(F.col("y").cast("string")).alias("vintage"), F.lit("Red").alias("class"), none.alias("url"))

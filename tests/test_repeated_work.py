@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.operators import exports, matching, rollup
-from lotwise.sources import scratch
+from lotwise.sources import scratch, sheets
 
 
 def test_equal_keys_are_worked_out_once(spark):
@@ -80,3 +80,21 @@ def test_export_joins_matches_before_wide_rows(spark):
     assert out.first().lwin_7 == "7"
     plan = out._jdf.queryExecution().analyzed().toString()
     assert plan.index("external_id") < plan.index("part_id") and plan.split("Join LeftOuter")[1].split("\n")[0].find("lot_id") > 0
+
+
+def test_lines_of_a_sheet_are_read_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(x):
+        calls.add(1)
+        return f"{x}.0"
+
+    none = F.lit(None).cast("string")
+    read = read.asNondeterministic()  # else the filter on numbers calls it too
+    lines = spark.range(60).select(F.lit("a").alias("auction_id"), F.col("id").alias("line"), read((59 - F.col("id")) % 20).alias("lot"), *[none.alias(c) for c in sheets.SHEET if c not in ("lot", "size", "lot_details", "vintage")],
+                                   F.when(F.col("id") % 2 == 0, "Mixed").otherwise("75cl").alias("size"), F.lit("2 750ml 1998, 1 1.5l 2001").alias("lot_details"), F.when(F.col("id") % 2 == 0, "Mixed").otherwise("1990").alias("vintage"))
+    got = {r.number: r for r in sheets.sheet_lots(lines, None, spark.createDataFrame([("a", 2)], "auction_id string, expected_lots int")).collect()}
+    assert set(got) == {"19", "18"} and calls.value == 60
+    assert got["19"].volume == 3000.0 and got["19"].vintage == ["1998", "2001"] * 3 and got["19"].unit_format == ["750ML", "1.5L"] * 3
+    assert got["18"].volume == 750.0 and got["18"].vintage == ["1990"] * 3 and got["18"].unit_format == ["75cl"] * 3
