@@ -12,8 +12,9 @@ from lotwise.streaming import items
 
 def bodies(rows, by: str, record, name: str | None):
     """A body of JSON for each value of ``by``: {name: [records]}, or the list alone."""
-    many = F.collect_list(record)
-    return rows.groupBy(by).agg(F.to_json(F.struct(many.alias(name)) if name else many).alias("body"))
+    # texts are cheaper to gather than structs of lists
+    many = F.concat(F.lit("["), F.concat_ws(",", F.collect_list("record")), F.lit("]"))
+    return rows.select(by, F.to_json(record).alias("record")).groupBy(by).agg((F.concat(F.lit(f'{{"{name}":'), many, F.lit("}")) if name else many).alias("body"))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS external_id, 'Sale ' || o_orderkey AS auction_title, 'Asia' AS continent, 'Hong Kong' AS city, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start_date, CAST(year(o_orderdate) AS INT) AS year, CAST(quarter(o_orderdate) AS INT) AS quarter FROM orders""")
@@ -128,26 +129,28 @@ def cards(s, d):
     rec = F.struct(
         F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("objectID"), F.col("l_orderkey").cast("string").alias("auctionId"), F.concat("p_name", F.lit(" 1995")).alias("title"),
         F.lit(-1).alias("lowEstimate"), F.col("l_extendedprice").cast("long").alias("highEstimate"), F.array(F.lit("Bordeaux")).alias("Region"), F.array("p_brand").alias("Winery"), both.alias("Vintage"))
-    return houses.card_lots(bodies(li, "l_orderkey", rec, "hits")), li
+    return houses.card_lots(bodies(li, "l_orderkey", rec, "hits"))
 
 
 @query("WITH " + CARD + """ SELECT CAST(l_orderkey AS VARCHAR) AS auction_id, p_brand AS lot_producer, CASE WHEN p_size % 3 <> 0 THEN '1995' WHEN k = 0 THEN '1998' ELSE '1999' END AS vintage, 'France' AS country, CAST(0 AS BIGINT) AS low_estimate, count(*) AS n
 FROM c, (SELECT unnest([0, 1]) AS k) WHERE k = 0 OR p_size % 3 = 0 GROUP BY ALL""")
 def j22_card_items(s, d):
     """Lots of cards with a row for each item: lists of one value repeat along the longest list."""
-    lots, _ = cards(s, d)
+    lots = cards(s, d)
     rows = items.expand_items(lots.select("auction_id", "country", "low_estimate", "lot_producer", "vintage", "wine_colour"), "lot_producer", "vintage", "wine_colour")
     return rows.groupBy("auction_id", "lot_producer", "vintage", "country", "low_estimate").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS auction_id, count(*) AS lots, count(*) FILTER (WHERE l_returnflag = 'R') AS sold, count(*) FILTER (WHERE l_returnflag <> 'N') AS with_bids FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_returnflag FROM lineitem) GROUP BY ALL""")
 def j22_bid_states(s, d):
-    lots, li = cards(s, d)
-    card = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"))
+    """Auctions of cards with the bid states of their lots, each counted once; a card's key deals out both sides."""
+    lots = cards(s, d)
+    card = F.concat_ws("_", "l_orderkey", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")))
     state = F.struct(F.struct(F.col("l_extendedprice").alias("amount")).alias("startingBid"), F.struct((F.col("l_returnflag") == "R").alias("isSold")).alias("sold"))
-    bids = li.filter("l_returnflag <> 'N'").select(F.concat_ws("_", "l_orderkey", card).alias("lot"), F.to_json(state).alias("bidState")).dropDuplicates(["lot"])
-    lots = lots.withColumn("card_id", F.col("external_id")).dropDuplicates(["external_id"])
-    got = houses.with_bids(lots, bids.withColumnRenamed("lot", "card_id"))
+    bids = v.read(s, d, "lineitem").filter("l_returnflag <> 'N'").select(card.alias("card_id"), F.to_json(state).alias("bidState")).dropDuplicates(["card_id"])
+    # named behind the deduplication, the key keeps its order for the join
+    lots = lots.select("external_id", "auction_id").dropDuplicates(["external_id"]).withColumnRenamed("external_id", "card_id")
+    got = houses.with_bids(lots, bids)
     return got.groupBy("auction_id").agg(F.count("*").alias("lots"), F.count_if("sold").alias("sold"), F.count("start_price").alias("with_bids"))
 
 

@@ -98,3 +98,10 @@ def test_lines_of_a_sheet_are_read_once(spark):
     assert set(got) == {"19", "18"} and calls.value == 60
     assert got["19"].volume == 3000.0 and got["19"].vintage == ["1998", "2001"] * 3 and got["19"].unit_format == ["750ML", "1.5L"] * 3
     assert got["18"].volume == 750.0 and got["18"].vintage == ["1990"] * 3 and got["18"].unit_format == ["75cl"] * 3
+
+
+def test_bid_states_do_not_meet_parts(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["j22_bid_states"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("p_partkey") and len([x for x in plan.split("\n") if "Join Inner" in x]) == 1
