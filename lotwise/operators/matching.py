@@ -43,17 +43,20 @@ def postings(docs: DataFrame, id_col: str, text: Column, stopwords: Sequence[str
     """(term, doc, weight): the BM25 share of each term in each document, idf ln(1 + (N - df + 0.5) / (df + 0.5)).
 
     With ``wanted`` (term) only those terms are counted and shuffled; lengths and totals are those of all words. A row
-    stands for as many documents as its column ``copies`` says. Counts are aggregated per (document, term) before they are
-    shuffled by term; the two totals are one row.
+    stands for as many documents as its column ``copies`` says. Texts are cut into words once: counts are aggregated per
+    (document, term) and written, frequencies and totals come from that table; the two totals are one row.
     """
     n = F.col(copies) if copies else F.lit(1)
     words = docs.select(F.col(id_col).alias("doc"), n.alias("copies"), tokens(text, stopwords, stem).alias("words"))
-    size = words.agg(F.sum("copies").alias("n_docs"), (F.sum(F.col("copies") * F.size("words")) / F.sum("copies")).alias("mean"))
-    each = words.select("doc", "copies", F.size("words").alias("dl"), F.explode("words").alias("term"))
+    # "" is no term: it stands for the document itself
+    each = words.select("doc", "copies", F.size("words").alias("dl"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
     if wanted is not None:
-        each = each.join(wanted, "term", "left_semi")
-    tf = each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("copies").alias("copies"))
-    df = tf.groupBy("term").agg(F.sum("copies").alias("df"))
+        each = each.join(wanted.union(docs.sparkSession.range(1).select(F.lit(""))), "term", "left_semi")
+    counted = each.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("copies").alias("copies"), F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("dl")).alias("length"))
+    counted = scratch.saved(counted, "term-counts")
+    size = counted.filter("term = ''").agg(F.sum("n").alias("n_docs"), (F.sum("length") / F.sum("n")).alias("mean"))
+    tf = counted.filter("term <> ''").drop("n", "length")
+    df = scratch.saved(tf.groupBy("term").agg(F.sum("copies").alias("df")), "term-frequencies")
     both = tf.join(df, "term").join(F.broadcast(size))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return both.select("term", "doc", (idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))).alias("weight"))

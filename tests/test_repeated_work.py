@@ -1,5 +1,7 @@
 """What repeats is worked out once, whatever the number of rows."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +102,23 @@ def test_lines_of_a_sheet_are_read_once(spark):
     assert got["18"].volume == 750.0 and got["18"].vintage == ["1990"] * 3 and got["18"].unit_format == ["75cl"] * 3
 
 
+def test_texts_of_an_index_are_cut_into_words_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(x):
+        calls.add(1)
+        return "the red wine" if x % 2 else "white wine wine" if x else None
+
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), read.asNondeterministic()("id").alias("text"))
+    asked = spark.createDataFrame([(1, "Red wine, red"), (2, "white port")], "item_id int, text string")
+    index = matching.postings(docs, "doc_id", F.col("text"), wanted=matching.terms_of(asked, F.col("text")))
+    got = matching.retrieve(asked, "item_id", F.col("text"), index, 3).collect()
+    assert {(r.item_id, r.rank, r.doc) for r in got} == {(1, 1, 1), (1, 2, 3), (1, 3, 5), (2, 1, 2), (2, 2, 4), (2, 3, 6)} and calls.value == 20
+    mean = (10 * 2 + 9 * 3) / 20  # a text of no words is a document too
+    assert all(abs(r.bm25 - math.log(1 + 11.5 / 9.5) / (1 + 1.5 * (0.25 + 0.75 * 3 / mean))) < 1e-9 for r in got if r.item_id == 2)
+
+
 def test_bid_states_do_not_meet_parts(spark, sf_dir):
     import __spark_entry__ as entry
 
