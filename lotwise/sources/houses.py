@@ -180,7 +180,7 @@ def card_lots(raw: DataFrame) -> DataFrame:
     r = records(raw, CARDS, "hits").select("r.*").filter("objectID is not null")
     first = lambda c: F.get(F.col(c), F.lit(0))
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
-    title_year = F.transform(F.slice(parse.years(F.col("title")), 1, 1), lambda y: y.cast("string"))
+    title_year = F.array_compact(F.array(F.array_min(F.regexp_extract_all("title", F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)))))
     return r.select(
         F.concat_ws("_", "auctionId", "objectID").alias("external_id"), F.col("auctionId").alias("auction_id"), F.col("objectID").alias("card_id"), F.col("title").alias("lot_name"), F.col("departments").alias("lot_type"),
         F.col("currency").alias("original_currency"), F.when(F.col("lowEstimate") == -1, 0).otherwise(F.col("lowEstimate")).alias("low_estimate"), F.when(F.col("highEstimate") == -1, 0).otherwise(F.col("highEstimate")).alias("high_estimate"),

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from lotwise.functions import parse
 from lotwise.operators import exports, matching, rollup
 from lotwise.sources import scratch, sheets
 
@@ -119,6 +120,13 @@ def test_texts_of_an_index_are_cut_into_words_once(spark):
     assert all(abs(r.bm25 - math.log(1 + 11.5 / 9.5) / (1 + 1.5 * (0.25 + 0.75 * 3 / mean))) < 1e-9 for r in got if r.item_id == 2)
 
 
+def test_parallel_lists_are_lists_without_a_step_for_each_element(spark):
+    rows = spark.createDataFrame([(["a"], ["1", "2"]), (None, []), (["a", "b"], ["1", "2", "3"]), ([None], ["1"])], "p array<string>, v array<string>")
+    got = rows.select(parse.zip_padded("p", "v").alias("z"))
+    assert [[tuple(x) for x in r.z] for r in got.collect()] == [[("a", "1"), ("a", "2")], [(None, None)], [("a", "1"), ("b", "2"), (None, "3")], [(None, "1")]]
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bid_states_do_not_meet_parts(spark, sf_dir):
     import __spark_entry__ as entry
 
