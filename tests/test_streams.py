@@ -92,3 +92,33 @@ def test_state_of_the_auction_stream_is_kept_on_disk(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
     for name in ("checkpoint", "checkpoint-details"):
         assert "RocksDBStateStoreProvider" in (tmp_path / "stream" / name / "offsets" / "0").read_text()
+
+
+def test_auction_stream_meets_earlier_batches_without_a_store_of_keys(spark, tmp_path):
+    """Lots and details in any batch, lots sent again for another auction, equal arrivals, against the rule for each pair; a
+    batch that runs again changes nothing, and no stream keeps state key by key."""
+    import random
+
+    rng, folder = random.Random(11), f"file://{tmp_path}/stream"
+    lots = [(f"{rng.randrange(60):02d}", f"lot-{rng.randrange(25)}", rng.choice([1, 2, 3, None]), rng.choice([None, "", "USD", "EUR"]), 10.7, None, rng.choice([True, False, None]), rng.choice([None, 0.5, 70.0, 90.0]), rng.choice([None, 1.5])) for _ in range(60)]
+    details = [(rng.choice([None, *[f"{n:02d}" for n in range(60)]]), rng.choice([None, *[f"lot-{n}" for n in range(30)]]), rng.choice([None, "A", "A", "A", "B"])) for _ in range(50)]
+    stream = stateful.AuctionSales(spark, folder)
+    for k in range(3):
+        stream.feed(spark.createDataFrame(lots[k::3], stateful.LOT), spark.createDataFrame(details[(k + 1) % 3 :: 3], stateful.DETAIL))
+        stream = stateful.AuctionSales(spark, folder)
+    first = sorted(stream.close().collect(), key=str)
+    for auction in (1, 2, 3, None):
+        mine = [x for x in lots if x[2] == auction]
+        told = {d[2] for d in details for x in mine if d[2] and d[0] and d[1] == x[1] and d[0] > x[0]}
+        sold = [x for x in mine if x[6]]
+        top = min(((-int(x[7] or 0), x[0], x[1]) for x in sold if int(x[7] or 0) > 0), default=(0, "", None))[2]
+        named = [(x[0], x[3]) for x in mine if x[3]]
+        r = next(r for r in first if r.auction_id == auction)
+        assert (r.lots, r.sold, r.single_cellar, r.top_lot, r.total_low_estimate, r.total_high_estimate) == (len(mine), len(sold), len(told) <= 1, top, 10 * len(mine), 0)
+        assert (r.currency, r.total_sales, r.volume_sold) == (min(named)[1], sum(int(x[7] or 0) for x in sold), sum(x[8] or 0.0 for x in sold))
+    assert len({r.single_cellar for r in first}) == 2
+    assert not [p for name in ("checkpoint", "checkpoint-details") for p in (tmp_path / "stream" / name / "state").glob("*")]
+    # batch 1 runs again, as after a loss before its commit
+    stream.meet(spark.createDataFrame([(x[1], x[0], x[2], None) for x in lots[1::3]], "lot_id string, seq string, auction_id long, lot_producer string").unionByName(spark.createDataFrame([(d[1], d[0], None, d[2]) for d in details[2::3] if d[0] and d[1] and d[2]], "lot_id string, seq string, auction_id long, lot_producer string")), 1)
+    stream.add(spark.createDataFrame(lots[1::3], stateful.LOT), 1)
+    assert sorted(stream.close().collect(), key=str) == first
