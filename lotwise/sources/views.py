@@ -7,7 +7,7 @@ line number and ship date.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,9 +38,19 @@ def lot_key() -> list:
     return [F.concat_ws("_", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.date_format("l_shipdate", "yyyyMMdd")).alias("external_id")]
 
 
-def lots(spark: SparkSession, d: str) -> DataFrame:
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that lots and items are made of, with their part."""
+    return read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+
+
+def lot_home() -> Column:
+    """The first number of a line's lot key: its auction, the part where it has none."""
+    return F.coalesce("l_orderkey", "l_partkey")
+
+
+def lot_columns() -> list[Column]:
     price = F.col("l_extendedprice")
-    return read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+    return [
         *lot_key(),
         F.col("l_orderkey").alias("auction_id"),
         F.col("l_partkey").alias("part_id"),
@@ -55,19 +65,27 @@ def lots(spark: SparkSession, d: str) -> DataFrame:
         (price * (1 + F.col("l_tax") - F.col("l_discount") / 2)).cast("long").alias("high_estimate"),
         (F.col("l_returnflag") == "R").alias("sold"),
         F.col("l_shipdate").cast("date").alias("sold_date"),
-    )
+    ]
 
 
-def lot_items(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat_ws("_", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.date_format("l_shipdate", "yyyyMMdd")).alias("lot_id"),
+def item_columns() -> list[Column]:
+    return [
+        *[c.alias("lot_id") for c in lot_key()],
         F.col("l_orderkey").alias("auction_id"),
         F.col("l_partkey").alias("part_id"),
         F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("lot_producer"),
         F.when(F.col("p_size") % 10 == 0, "NV").otherwise(F.year("l_shipdate").cast("string")).alias("vintage"),
         F.concat(F.col("p_size").cast("string"), F.lit(" cl")).alias("unit_format"),
         F.split("p_name", " ")[0].alias("wine_colour"),
-    )
+    ]
+
+
+def lots(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).select(*lot_columns())
+
+
+def lot_items(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).select(*item_columns())
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:

@@ -132,3 +132,46 @@ def test_bid_states_do_not_meet_parts(spark, sf_dir):
 
     plan = entry.queries()["j22_bid_states"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("p_partkey") and len([x for x in plan.split("\n") if "Join Inner" in x]) == 1
+
+
+def test_lines_of_the_export_are_read_once_and_equal_sql(spark, sf_dir, tmp_path):
+    """Lines that occur twice, lack numbers or share a key by that, parts and orders that occur twice, against SQL."""
+    import random
+
+    import __spark_entry__ as entry
+    import duckdb
+
+    from tests.test_oracles import rows
+
+    rng, maybe = random.Random(3), lambda x: x if rng.random() < 0.85 else None
+    real, made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region", "customer", "part", "orders", "lineitem")}, {}
+    parts = real["part"].filter("p_partkey < 12").collect()
+    made["part"] = [*parts, *[{**r.asDict(), "p_brand": "Brand#other", "p_size": 10} for r in parts[:4]], {**parts[0].asDict(), "p_partkey": None}]
+    orders = real["orders"].filter("o_orderkey < 6").collect()
+    made["orders"] = [*orders, orders[1], {**orders[2].asDict(), "o_orderkey": None}, {**orders[3].asDict(), "o_custkey": None}]
+    like = [r.asDict() for r in real["lineitem"].limit(3).collect()]
+    number = lambda top: maybe(rng.randrange(top))
+    made["lineitem"] = [{**rng.choice(like), "l_orderkey": number(8), "l_partkey": number(14), "l_suppkey": number(2), "l_linenumber": number(2), "l_shipdate": maybe(like[0]["l_shipdate"])} for _ in range(400)]
+    made["lineitem"] += [{**like[0], "l_orderkey": a, "l_partkey": b, "l_suppkey": c, "l_linenumber": 1} for a, b, c in ((5, 3, None), (None, 5, 3), (5, 3, None))]
+    for t, df in real.items():
+        (spark.createDataFrame([tuple(dict(r.asDict() if hasattr(r, "asDict") else r)[c] for c in df.columns) for r in made[t]], df.schema) if t in made else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    c = duckdb.connect()
+    for t in real:
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = c.sql(entry.oracle_sql()["c4_lot_export"])
+    got = entry.queries()["c4_lot_export"](spark, str(tmp_path))
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall()) and got.count() > 400
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 1
+
+
+def test_export_of_lines_is_that_of_lots_and_items(spark):
+    """Several matches of a part, and 11-digit codes."""
+    lines = spark.createDataFrame([(1, 5, "1_5"), (1, 5, "1_5"), (1, 6, "1_6"), (2, 5, "2_5"), (None, 2, "2")], "auction long, part long, key string")
+    none = {"lot_name": "string", "lot_type": "array<string>", "volume": "double", "unit": "int", "original_currency": "string", "start_price": "long", "end_price": "double", "low_estimate": "long", "high_estimate": "long", "sold": "boolean", "sold_date": "date"}
+    lot = [F.col("key").alias("external_id"), F.col("auction").alias("auction_id"), F.col("part").alias("part_id"), *[F.lit(None).cast(k).alias(n) for n, k in none.items()]]
+    item = [F.col("key").alias("lot_id"), F.col("part").alias("part_id"), F.concat(F.lit("p"), "part").alias("lot_producer"), *[F.lit(None).cast("string").alias(n) for n in ("vintage", "unit_format", "wine_colour")]]
+    auctions = spark.createDataFrame([(1, "s", "h", "c", "k", None, None, 1, 1), (2, "t", "h", "c", "k", None, None, 1, 1)], "external_id long, auction_title string, auction_house string, city string, continent string, start_date date, end_date date, year int, quarter int")
+    matches = spark.createDataFrame([(5, [7], ["70", "71"]), (5, [8, 9], None), (7, [1], None)], "part_id long, lwin array<long>, lwin_11 array<string>")
+    got = exports.line_export(lines, F.coalesce("auction", "part"), lot, item, auctions, matches)
+    want = exports.lot_export(lines.select(*lot), auctions, lines.select(*item), matches)
+    assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 8 + 1 + 2
