@@ -181,8 +181,11 @@ class AuctionSales:
     def meet(self, df: DataFrame, batch: int) -> None:
         self.keep("known", batch, df.filter("lot_producer IS NULL"))
         self.keep("details-known", batch, df.filter("lot_producer IS NOT NULL"))
-        lot, detail = (self.spark.read.schema(KEY).parquet(f"{self.folder}/{name}").filter(F.col("batch") <= batch).alias(name[0]) for name in ("known", "details-known"))
-        met = lot.join(detail, F.expr("d.lot_id = k.lot_id AND d.seq > k.seq") & (F.greatest("k.batch", "d.batch") == batch))
+        lot, detail = (self.spark.read.schema(KEY).parquet(f"{self.folder}/{name}").filter(F.col("batch") <= batch) for name in ("known", "details-known"))
+        lots, details = (x.filter(F.col("batch") == batch) for x in (lot, detail))
+        # without new lots only new details can meet any, and the other way round
+        lot, detail = lots if details.isEmpty() else lot, details if lots.isEmpty() else detail
+        met = lot.alias("k").join(detail.alias("d"), F.expr("d.lot_id = k.lot_id AND d.seq > k.seq") & (F.greatest("k.batch", "d.batch") == batch))
         self.keep("named", batch, met.groupBy("k.auction_id").agg(F.min("d.lot_producer").alias("least"), F.max("d.lot_producer").alias("greatest")))
 
     def add(self, df: DataFrame, batch: int) -> None:
